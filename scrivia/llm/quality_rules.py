@@ -25,7 +25,7 @@ _SYMBOLS = b"#*$%&|<>"
 _UPPER = bytes(range(65, 91))
 _MARKS = b"!?"
 #: Measure, the least that its threshold may be: below it no group's documents are rejected.
-FLOORS = {"symbol_share": 0.05, "upper_share": 0.4, "mark_share": 0.05, "dup_line_share": 0.3, "repeat_share": 0.3, "word_length": 14.0}
+FLOORS = {"symbol_share": 0.05, "upper_share": 0.4, "mark_share": 0.05, "dup_line_share": 0.5, "repeat_share": 0.3, "word_length": 14.0}
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_upper long, n_marks long, n_lines long"
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivia.llm import decontamination, packing, quality_rules
-from scrivia.llm.common import table
+from scrivia.llm import decontamination, packing, quality_classifier, quality_rules, toxicity
+from scrivia.llm.common import crc_mod, table
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
@@ -15,6 +15,21 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _predicted(scored: DataFrame, modulus: int, remainder: int) -> DataFrame:
+    held_out = F.coalesce(crc_mod("doc_id", modulus) == remainder, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").filter(crc_mod("doc_id", 4) != 2)
+    return _predicted(toxicity.score(docs, toxicity.fit(docs, labels)), 4, 2)
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").filter(crc_mod("doc_id", 5) != 0)
+    return _predicted(quality_classifier.score(docs, quality_classifier.fit(docs, labels)), 5, 0)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "broken_rule")
@@ -38,4 +53,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op6_best_fit_packing, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_quality_rules, op6_best_fit_packing, op9_quality_classifier, op10_decontamination)}
