@@ -1,5 +1,7 @@
 """DuckDB SQL for those corpus queries that SQL can express whole."""
 
+from scrivia.llm.secrets import RULES
+
 OP10 = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id,
     coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
@@ -17,4 +19,27 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN hit USING (rid) LEFT JOIN own USING (rid)
 """
 
-ORACLE_SQL = {"op10_decontamination": OP10}
+
+
+def _op5() -> str:
+    """The rules of the operator as SQL: matches, the gaps between them, and so their places."""
+    parts = []
+    for rank, rule in enumerate(RULES):
+        regex = rule.pattern.replace("'", "''")
+        parts.append(f"""SELECT rid, {rank} AS rank, '{rule.kind}' AS kind, regexp_extract_all(t, '{regex}') AS m, regexp_extract_all(t, '{regex}', {rule.group}) AS p,
+            string_split_regex(t, '{regex}') AS g, {rule.least} AS least FROM d WHERE regexp_matches(t, '{regex}')""")
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({" UNION ALL ".join(parts)}),
+x AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM f),
+y AS (SELECT rid, rank, kind, least, len(p[i]) AS n, list_sum(list_transform(g[1:i], lambda v: len(v))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda v: len(v))), 0) AS b, len(m[i]) AS l FROM x),
+s AS (SELECT rid, rank, kind, CAST(b AS BIGINT) AS b, CAST(b + l AS BIGINT) AS e FROM y WHERE n >= least),
+a AS (SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+      string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, rank) FILTER (rank < 3) AS base, string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, rank) AS spans FROM s GROUP BY rid)
+SELECT doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(n_access, 0) AS BIGINT) AS n_access, CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN a USING (rid)
+"""
+
+
+ORACLE_SQL = {"op5_secret_scan": _op5(), "op10_decontamination": OP10}
