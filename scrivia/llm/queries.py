@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivia.llm import decontamination, packing, quality_classifier, quality_rules, secrets, toxicity
+from scrivia.llm import decontamination, packing, quality_classifier, quality_rules, secrets, toxicity, url_filter
 from scrivia.llm.common import crc_mod, table
 
 
@@ -35,6 +35,14 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "broken_rule")
 
 
+#: Host suffix, path prefix, verdict.
+URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -60,4 +68,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_quality_rules, op5_secret_scan, op6_best_fit_packing, op9_quality_classifier, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_quality_rules, op4_url_filter, op5_secret_scan, op6_best_fit_packing, op9_quality_classifier, op10_decontamination)}

@@ -155,9 +155,10 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, id_col: st
     marked = docs.join(candidates(docs, rules, id_col=id_col, text_col=text_col), F.col(id_col).eqNullSafe(F.col("_id")), "left")
     text = F.coalesce(F.col(text_col), F.lit(""))
     none = F.array().cast(SPAN)
+    tagged = lambda kind, rank: lambda s: F.struct(s["begin"].alias("begin"), F.lit(kind).alias("kind"), s["end"].alias("end"), F.lit(rank).alias("rank"))
     each = []
     for rank, rule in enumerate(rules):
-        own = F.transform(spans_of(text, rule), lambda s, k=rule.kind, n=rank: F.struct(s["begin"].alias("begin"), F.lit(k).alias("kind"), s["end"].alias("end"), F.lit(n).alias("rank")))
+        own = F.transform(spans_of(text, rule), tagged(rule.kind, rank))
         each.append(own if rule in full else F.when(F.array_contains("rules", rule.kind), own).otherwise(none))
     by_place = lambda a, b: F.when(a["begin"] != b["begin"], F.when(a["begin"] < b["begin"], -1).otherwise(1)).otherwise(a["rank"] - b["rank"])
     spans = F.array_sort(F.concat(*each), by_place)
