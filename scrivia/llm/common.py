@@ -81,3 +81,31 @@ def bucket_bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Where each bucket begins in sorted keys: bucket b holds the b-th equal share of the 64-bit range."""
     edges = np.array([(b << 64) // buckets for b in range(buckets)], dtype=np.uint64)
     return np.append(np.searchsorted(keys, edges), len(keys))
+
+
+def by_bucket(block: int, keys: np.ndarray, values: np.ndarray, buckets: int, names: tuple[str, str] = ("keys", "found")) -> pa.Table:
+    """One row for each bucket of the key range that sorted keys reach: what a block asks of that bucket."""
+    edge = bucket_bounds(keys, buckets)
+    own = [b for b in range(buckets) if edge[b] < edge[b + 1]]
+    cuts = lambda x: pa.array([x[edge[b] : edge[b + 1]].tobytes() for b in own], pa.binary())
+    return pa.table([pa.array([block] * len(own), pa.int32()), pa.array(own, pa.int32()), cuts(keys), cuts(values)], names=["_block", "bucket", *names])
+
+
+def summed(rows: pa.Table) -> pa.Table:
+    """Rows of one bucket, (block, bucket, keys, counts): each block gets, in its keys' order, their counts over all blocks."""
+    parts = [np.frombuffer(x, np.uint64) for x in rows.column("keys").to_pylist()]
+    counts = np.concatenate([np.frombuffer(x, np.uint32) for x in rows.column("found").to_pylist()])
+    place = np.unique(np.concatenate(parts), return_inverse=True)[1]
+    total = np.bincount(place, weights=counts).astype(np.uint64)[place]
+    out, at = [], 0
+    for p in parts:
+        out.append(total[at : at + len(p)].tobytes())
+        at += len(p)
+    return pa.table([rows.column("_block"), rows.column("bucket"), pa.array(out, pa.binary())], names=["_block", "bucket", "found"])
+
+
+def answered(rows: pa.Table) -> np.ndarray:
+    """A block's answers in the order of its sorted keys."""
+    order = np.argsort(np.asarray(rows.column("bucket").to_pylist()), kind="stable")
+    found = rows.column("found").to_pylist()
+    return np.frombuffer(b"".join(found[i] for i in order), np.uint64)
