@@ -104,8 +104,8 @@ def summed(rows: pa.Table) -> pa.Table:
     return pa.table([rows.column("_block"), rows.column("bucket"), pa.array(out, pa.binary())], names=["_block", "bucket", "found"])
 
 
-def answered(rows: pa.Table) -> np.ndarray:
+def answered(rows: pa.Table, kind: type = np.uint64) -> np.ndarray:
     """A block's answers in the order of its sorted keys."""
     order = np.argsort(np.asarray(rows.column("bucket").to_pylist()), kind="stable")
     found = rows.column("found").to_pylist()
-    return np.frombuffer(b"".join(found[i] for i in order), np.uint64)
+    return np.frombuffer(b"".join(found[i] for i in order), kind)

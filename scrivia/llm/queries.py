@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivia.llm import decontamination, lm_scoring, packing, quality_classifier, quality_rules, secrets, toxicity, url_filter
+from scrivia.llm import decontamination, lm_scoring, packing, quality_classifier, quality_rules, secrets, suffix_dedup, toxicity, url_filter
 from scrivia.llm.common import crc_mod, table
 
 
@@ -29,6 +29,12 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_texts(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").filter(crc_mod("doc_id", 5) != 0)
     return _predicted(quality_classifier.score(docs, quality_classifier.fit(docs, labels)), 5, 0)
@@ -72,4 +78,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_quality_rules, op4_url_filter, op5_secret_scan, op6_best_fit_packing, op7_lm_scoring, op9_quality_classifier, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_quality_rules, op4_url_filter, op5_secret_scan, op6_best_fit_packing, op7_lm_scoring, op8_suffix_dedup, op9_quality_classifier, op10_decontamination)}
