@@ -1,13 +1,68 @@
-"""The training-corpus pipeline: stages over `documents`, each written and read again before the next."""
+"""The training-corpus pipeline: stages over `documents`, each written and read again before the next.
+
+No SQL expresses the learned and the packed stages; tests compare a run with the stages' brute-force versions.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scrivia.llm import decontamination, ngram_join, quality_classifier, secrets
+from scrivia.llm.common import table
+from scrivia.llm.queries import packed_digest
+
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject; it learns from all labels."""
+    model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
+    rest = tuple(c for c in docs.columns if c != "doc_id")
+    return quality_classifier.score(docs, model, carry=rest).filter("score >= 0.3").select(docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class, that with the least id; a row without an id stays if its class has none."""
+    found = ngram_join.similar_documents(docs)
+    chosen = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any window of a benchmark item."""
+    return decontamination.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with every secret replaced by a mark."""
+    found = secrets.find_secrets(docs, keep_text=True)
+    clean = found.withColumn("text", secrets.redact(F.col("text"), F.col("spans")))
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packed_digest(docs)
+
+
+STAGES = [
+    ("quality_classifier", good_documents),
+    ("ngram_jaccard_join", one_of_each),
+    ("benchmark_decontamination", uncontaminated),
+    ("secret_scan", redacted),
+    ("best_fit_packing", packed),
+]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; the stages between are written to the folder in spark.checkpoint.dir."""
+    shared = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='scrivia-pipeline-')}/pipeline-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs.write.parquet(f"{shared}/{k}")
+            docs = spark.read.parquet(f"{shared}/{k}")
     return docs

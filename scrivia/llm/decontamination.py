@@ -76,13 +76,27 @@ def matches(machine: ahocorasick.Automaton, text: bytes, words: list[bytes]) ->
 _machines: dict[str, ahocorasick.Automaton] = {}
 
 
+def _machine(key: str, items: Broadcast, size: int) -> ahocorasick.Automaton:
+    """The worker's automaton of a block of items, built once."""
+    if key not in _machines:
+        _machines.clear()
+        _machines[key] = automaton(items.value, size)
+    return _machines[key]
+
+
+def _shared(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list[Broadcast]:
+    """The items, broadcast in blocks of about block_bytes."""
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).filter("item is not null and text is not null")
+    blocks = max(1, math.ceil((items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / block_bytes))
+    own = lambda b: items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).collect()
+    return [benchmark.sparkSession.sparkContext.broadcast([(r.item, r.text.encode()) for r in own(b)]) for b in range(blocks)]
+
+
 def _scan(items: Broadcast, size: int, begun: bool, ended: bool):
     key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (machine := _machines.get(key)) is None:
-            _machines.clear()
-            machine = _machines[key] = automaton(items.value, size)
+        machine = _machine(key, items, size)
         hit = pa.list_(pa.struct([("item", pa.string()), ("first_word", pa.int32()), ("last_word", pa.int32()), ("begin", pa.int32()), ("end", pa.int32())]))
         for batch in slices(batches, 1):
             counts, hits = [], []
@@ -104,19 +118,34 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     The benchmark is the stated query set: it is broadcast in blocks whose text holds block_bytes
     on average, and each block's automaton reads all documents in one narrow pass, without a shuffle.
     """
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).filter("item is not null and text is not null")
-    blocks = max(1, math.ceil((items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / block_bytes))
-    context = docs.sparkSession.sparkContext
     id_type = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    for b in range(blocks):
-        own = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
-        shared = context.broadcast([(r.item, r.text.encode()) for r in own.collect()])
-        ended = b == blocks - 1
+    blocks = _shared(benchmark, item_col, item_text_col, block_bytes)
+    for b, shared in enumerate(blocks):
+        ended = b == len(blocks) - 1
         out = out.mapInArrow(_scan(shared, window, b > 0, ended), f"id {id_type}, {'' if ended else 'text string, '}n_words long, hits {HIT}")
     return out.withColumnRenamed("id", id_col)
 
 
+def without_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = 32 << 20) -> DataFrame:
+    """The rows of docs, all columns, in which no benchmark window occurs."""
+    place = docs.columns.index(text_col)
+
+    def sieve(shared: Broadcast):
+        key = uuid.uuid4().hex
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            machine = _machine(key, shared, window)
+            for batch in slices(batches, place):
+                yield batch.filter(pa.array([not matches(machine, t, words_of(t)) for t in texts(batch.column(place))], pa.bool_()))
+
+        return run
+
+    for shared in _shared(benchmark, item_col, item_text_col, block_bytes):
+        docs = docs.mapInArrow(sieve(shared), docs.schema)
+    return docs
+
+
 def covered_words(hits: str = "hits") -> F.Column:
     """How many words stand inside any hit: hits in order of first word, overlaps counted once."""
     ordered = F.array_sort(F.transform(hits, lambda h: F.struct(h["first_word"].alias("a"), h["last_word"].alias("b"))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivia.llm import decontamination, lm_scoring, packing, quality_classifier, quality_rules, secrets, suffix_dedup, toxicity, url_filter
+from scrivia.llm import decontamination, lm_scoring, ngram_join, packing, quality_classifier, quality_rules, secrets, suffix_dedup, toxicity, url_filter
 from scrivia.llm.common import crc_mod, table
 
 
@@ -20,6 +20,10 @@ def _predicted(scored: DataFrame, modulus: int, remainder: int) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").filter(crc_mod("doc_id", 4) != 2)
     return _predicted(toxicity.score(docs, toxicity.fit(docs, labels)), 4, 2)
@@ -78,4 +82,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_quality_rules, op4_url_filter, op5_secret_scan, op6_best_fit_packing, op7_lm_scoring, op8_suffix_dedup, op9_quality_classifier, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op3_quality_rules, op4_url_filter, op5_secret_scan, op6_best_fit_packing, op7_lm_scoring, op8_suffix_dedup, op9_quality_classifier, op10_decontamination)}
