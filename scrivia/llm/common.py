@@ -83,20 +83,30 @@ def bucket_bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.append(np.searchsorted(keys, edges), len(keys))
 
 
-def by_bucket(block: int, keys: np.ndarray, values: np.ndarray, buckets: int, names: tuple[str, str] = ("keys", "found")) -> pa.Table:
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences, byte by byte of equal weight, so that the shuffle's compression finds the high zeros."""
+    return np.ascontiguousarray(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpacked_keys(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(blob, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def by_bucket(block: int, keys: np.ndarray, values: np.ndarray, buckets: int) -> pa.Table:
     """One row for each bucket of the key range that sorted keys reach: what a block asks of that bucket."""
     edge = bucket_bounds(keys, buckets)
     own = [b for b in range(buckets) if edge[b] < edge[b + 1]]
-    cuts = lambda x: pa.array([x[edge[b] : edge[b + 1]].tobytes() for b in own], pa.binary())
-    return pa.table([pa.array([block] * len(own), pa.int32()), pa.array(own, pa.int32()), cuts(keys), cuts(values)], names=["_block", "bucket", *names])
+    cuts = lambda x, form: pa.array([form(x[edge[b] : edge[b + 1]]) for b in own], pa.binary())
+    return pa.table([pa.array([block] * len(own), pa.int32()), pa.array(own, pa.int32()), cuts(keys, packed_keys), cuts(values, bytes)], names=["_block", "bucket", "keys", "found"])
 
 
 def summed(rows: pa.Table) -> pa.Table:
     """Rows of one bucket, (block, bucket, keys, counts): each block gets, in its keys' order, their counts over all blocks."""
-    parts = [np.frombuffer(x, np.uint64) for x in rows.column("keys").to_pylist()]
+    parts = [unpacked_keys(x) for x in rows.column("keys").to_pylist()]
     counts = np.concatenate([np.frombuffer(x, np.uint32) for x in rows.column("found").to_pylist()])
     place = np.unique(np.concatenate(parts), return_inverse=True)[1]
-    total = np.bincount(place, weights=counts).astype(np.uint64)[place]
+    total = np.bincount(place, weights=counts).astype(np.uint64)[place]  # whole numbers below 2^53
     out, at = [], 0
     for p in parts:
         out.append(total[at : at + len(p)].tobytes())

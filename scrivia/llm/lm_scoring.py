@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivia.llm.common import LOWER, answered, block_of, by_bucket, mix64, slices, summed, text_bytes, texts
+from scrivia.llm.common import LOWER, answered, block_of, by_bucket, mix64, slices, summed, text_bytes, texts, unpacked_keys
 
 #: What no word can be: words hold no white space.
 _END, _START = xxhash.xxh3_64_intdigest(b" end"), xxhash.xxh3_64_intdigest(b" start")
@@ -93,7 +93,7 @@ def _training(name: str, modulus: int, remainder: int) -> F.Column:
     return F.coalesce(F.crc32(F.col(name).cast("string").cast("binary")) % modulus != remainder, F.lit(True))
 
 
-def vocabulary(texts_only: DataFrame, buckets: int, most: int = 1_000_000) -> tuple[int, int]:
+def vocabulary(texts_only: DataFrame, buckets: int, most: int = 400_000) -> tuple[int, int]:
     """(N, V): all tokens and the distinct ones, ends included, of a DataFrame of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +119,7 @@ def vocabulary(texts_only: DataFrame, buckets: int, most: int = 1_000_000) -> tu
             yield flush()
 
     def distinct(rows: pa.Table) -> pa.Table:
-        keys = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in rows.column("keys").to_pylist()]))
+        keys = np.unique(np.concatenate([unpacked_keys(x) for x in rows.column("keys").to_pylist()]))
         return pa.table([pa.array([len(keys)], pa.int64()), pa.array([sum(rows.column("n").to_pylist())], pa.int64())], names=["v", "n"])
 
     asked = texts_only.mapInArrow(run, "bucket int, keys binary, n long")
@@ -127,7 +127,7 @@ def vocabulary(texts_only: DataFrame, buckets: int, most: int = 1_000_000) -> tu
     return int(total.n or 0), int(total.v or 0)
 
 
-def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", modulus: int = 5, held_out_remainder: int = 1, mu: float = 16.0, block_bytes: int = 16 << 20, bucket_bytes: int = 8 << 20) -> DataFrame:
+def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", modulus: int = 5, held_out_remainder: int = 1, mu: float = 16.0, block_bytes: int = 10 << 20, bucket_bytes: int = 8 << 20) -> DataFrame:
     """(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
     size = text_bytes(docs, text_col)
     blocks, buckets = -(-size // block_bytes) or 1, -(-size // bucket_bytes) or 1

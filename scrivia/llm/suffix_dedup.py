@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivia.llm.common import answered, block_of, by_bucket, mix64, text_bytes, texts
+from scrivia.llm.common import answered, block_of, by_bucket, mix64, text_bytes, texts, unpacked_keys
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -134,7 +134,7 @@ def contexts(behind: np.ndarray, around: np.ndarray, state: np.ndarray | None =
 
 def _merge_contexts(rows: pa.Table) -> pa.Table:
     """One bucket of parse suffixes from all blocks: a state for every key that a block has sent."""
-    keys = [np.frombuffer(x, np.uint64) for x in rows.column("keys").to_pylist()]
+    keys = [unpacked_keys(x) for x in rows.column("keys").to_pylist()]
     sent = np.concatenate([np.frombuffer(x, np.uint64) for x in rows.column("found").to_pylist()])
     whole = np.concatenate(keys)
     key, _, known = contexts(whole, sent & ~np.uint64(3), sent & np.uint64(3))
@@ -146,7 +146,7 @@ def _merge_windows(rows: pa.Table) -> pa.Table:
     """One bucket of windows from all blocks: 1 where a window occurs twice or more. Rows with a negative bucket pass."""
     if rows.column("bucket")[0].as_py() < 0:
         return rows.drop_columns(["keys"])
-    keys = [np.frombuffer(x, np.uint64) for x in rows.column("keys").to_pylist()]
+    keys = [unpacked_keys(x) for x in rows.column("keys").to_pylist()]
     sent = np.concatenate([np.frombuffer(x, np.uint64) for x in rows.column("found").to_pylist()])
     whole, behind, twice = np.concatenate(keys), sent & ~np.uint64(1), (sent & np.uint64(1)).astype(np.int64)
     order = np.lexsort((behind, whole))
