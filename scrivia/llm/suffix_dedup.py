@@ -179,7 +179,7 @@ def _states(parsed: list[Parse], found: np.ndarray) -> list[np.ndarray]:
     return [found[np.searchsorted(key, b)] for b in behind]
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, reach: int = 200, block_bytes: int = 16 << 20, bucket_bytes: int = 16 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 400, reach: int = 200, block_bytes: int = 8 << 20, bucket_bytes: int = 16 << 20) -> DataFrame:
     """(id_col, n_bytes, spans, kept) of every row: removed byte ranges, and the bytes that are left."""
     size = text_bytes(docs, text_col)
     blocks, buckets = -(-size // block_bytes) or 1, -(-size // bucket_bytes) or 1
