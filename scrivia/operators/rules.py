@@ -97,15 +97,14 @@ def rate_limited(requests: DataFrame, *, client: str, ts: str, tie: str, window_
 
 
 def keep_first_of_two_keys(rows: DataFrame, *, group: str, order: str, first: str, second: str) -> DataFrame:
-    """Rows kept in order unless one of their two keys is that of a kept row before."""
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        a, b, keep = set(), set(), []
-        for x, y in zip(part.sort_values(order)[first], part.sort_values(order)[second]):
-            ok = x not in a and y not in b
-            keep.append(ok)
-            if ok:
-                a.add(x), b.add(y)
-        return part.sort_values(order)[keep]
-
-    return rows.groupBy(group).applyInPandas(fold, rows.schema)
+    """Rows kept in order unless one of their two keys is that of a kept row before; a group is one document's rules."""
+    types = dict(rows.dtypes)
+    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(first).alias("a"), F.col(second).alias("b"))))
+    none = F.array().cast(f"array<struct<o:{types[order]},a:{types[first]},b:{types[second]}>>")
+
+    def step(kept: Column, item: Column) -> Column:
+        seen = F.exists(kept, lambda x: (x["a"] == item["a"]) | (x["b"] == item["b"]))
+        return F.when(seen, kept).otherwise(F.concat(kept, F.array(item)))
+
+    kept = rows.groupBy(group).agg(F.aggregate(items, none, step).alias("_kept"))
+    return kept.select(group, F.explode("_kept").alias("_k")).select(group, F.col("_k.a").alias(first), F.col("_k.b").alias(second), F.col("_k.o").alias(order))

@@ -76,8 +76,12 @@ def coverage(own: DataFrame, matches: DataFrame) -> DataFrame:
 def precheck_shingles(text: Column) -> Column:
     """Distinct five-word shingles of the words of three characters or more; fewer than five words have none."""
     words = F.filter(x.words_of(text), lambda w: F.length(w) >= 3)
-    n = F.size(words) - 4
-    return F.when(n >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(words, i, F.lit(5)), " ")))).otherwise(F.array().cast("array<string>"))
+
+    def of(own: Column) -> Column:
+        n = F.size(own) - 4
+        return F.when(n >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(own, i, F.lit(5)), " ")))).otherwise(F.array().cast("array<string>"))
+
+    return F.element_at(F.transform(F.array(words), of), 1)  # the words are split once, not for each shingle
 
 
 def best_jaccard(reports: DataFrame, *, id_col: str, text_col: str, scope_col: str) -> DataFrame:
