@@ -141,7 +141,7 @@ def f12_level(t):
     return t.embeddings.select("vec_id", v.similarity_level(F.col("vec_id") % 101, F.lit(0.0)).alias("level"))
 
 
-@query("SELECT vec_id, len(embedding) AS dim, round(list_sum(list_transform(embedding, lambda e: floor(CAST(e AS DOUBLE) * 100000 + 0.5) / 100000)), 4) AS total FROM embeddings")
+@query("SELECT vec_id, len(embedding) AS dim, CAST(list_sum(list_transform(embedding, lambda e: floor(CAST(e AS DOUBLE) * 100000 + 0.5))) AS BIGINT) AS total FROM embeddings")
 def f35_compact_vectors(t):
-    compact = F.transform("embedding", lambda e: F.floor(e.cast("double") * 100000 + 0.5) / 100000)
-    return t.embeddings.select("vec_id", F.size("embedding").cast("long").alias("dim"), F.round(F.aggregate(compact, F.lit(0.0), lambda a, e: a + e), 4).alias("total"))
+    compact = F.transform("embedding", lambda e: F.floor(e.cast("double") * 100000 + 0.5))
+    return t.embeddings.select("vec_id", F.size("embedding").cast("long").alias("dim"), F.aggregate(compact, F.lit(0).cast("long"), lambda a, e: a + e).alias("total"))
