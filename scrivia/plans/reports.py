@@ -121,7 +121,7 @@ def t7_j13_a23_best_jaccard(t):
     return s.best_jaccard(t.documents, id_col="doc_id", text_col="text", scope_col="lang").withColumn("similarity", F.round("similarity", 6))
 
 
-@query("SELECT a.vec_id AS own, b.vec_id AS peer, round(list_cosine_similarity(a.embedding, b.embedding), 4) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.embedding, b.embedding) >= 0.3")
+@query("SELECT a.vec_id AS own, b.vec_id AS peer, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 4) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.3")
 def f9_cosine_search(t):
     """Queries are the vectors whose id is divisible by 100, against all of their label."""
     b = t.embeddings.select(F.col("vec_id").alias("peer"), "label", F.col("embedding").alias("eb"))
@@ -130,7 +130,7 @@ def f9_cosine_search(t):
     return scored.filter("cosine >= 0.3").withColumn("cosine", F.round("cosine", 4))
 
 
-@query("SELECT vec_id, CASE WHEN l >= 0.55 OR sem >= 0.9 THEN 1.0 WHEN l >= 0.3 OR sem >= 0.82 THEN 0.6 END AS strength, round(0.65 * l + 0.35 * greatest(0, sem), 6) AS hybrid FROM (SELECT vec_id, vec_id % 100 / 100 AS l, vec_id % 97 / 97 AS sem FROM embeddings)")
+@query("SELECT vec_id, CAST(CASE WHEN l >= 0.55 OR sem >= 0.9 THEN 1.0 WHEN l >= 0.3 OR sem >= 0.82 THEN 0.6 END AS DOUBLE) AS strength, round(0.65 * l + 0.35 * greatest(0, sem), 6) AS hybrid FROM (SELECT vec_id, vec_id % 100 / 100 AS l, vec_id % 97 / 97 AS sem FROM embeddings)")
 def f10_f11_match_strength(t):
     lexical, semantic = F.col("vec_id") % 100 / 100, F.col("vec_id") % 97 / 97
     return t.embeddings.select("vec_id", v.match_strength(lexical, semantic)["strength"].alias("strength"), F.round(v.hybrid(lexical, semantic), 6).alias("hybrid"))
