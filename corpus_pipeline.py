@@ -20,14 +20,15 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents that the quality classifier does not reject; it learns from all labels."""
     model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
     rest = tuple(c for c in docs.columns if c != "doc_id")
-    return quality_classifier.score(docs, model, carry=rest).filter("score >= 0.3").select(docs.columns)
+    name = "_quality" + "_" * max(map(len, docs.columns))  # no column of docs has it
+    return quality_classifier.score(docs, model, carry=rest, score_col=name).filter(F.col(name) >= 0.3).select(docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class, that with the least id; a row without an id stays if its class has none."""
     found = ngram_join.similar_documents(docs)
     chosen = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    return docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["_id"]), "left_semi")
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +40,7 @@ def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every secret replaced by a mark."""
     found = secrets.find_secrets(docs, keep_text=True)
     clean = found.withColumn("text", secrets.redact(F.col("text"), F.col("spans")))
-    return clean.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select([c for c in docs.columns if c != "spans"])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -156,15 +156,15 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     return model
 
 
-def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """(id_col, score) of every document, with the columns named in carry."""
+def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), score_col: str = "score") -> DataFrame:
+    """(id_col, score_col) of every document, with the columns named in carry."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     columns = [id_col, *carry]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 0, 1 << 20):
             x, doc = encode(texts(batch.column(0)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(shared.value.scores(x, doc, batch.num_rows))], names=[*columns, "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(shared.value.scores(x, doc, batch.num_rows))], names=[*columns, score_col])
 
     types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return docs.select(F.col(text_col).cast("string").alias("_text"), *(F.col(c) for c in columns)).mapInArrow(run, f"{types}, _score double").withColumnRenamed("_score", "score")
+    return docs.select(F.col(text_col).cast("string").alias("_text"), *(F.col(c) for c in columns)).mapInArrow(run, f"{types}, `{score_col}` double")

@@ -9,7 +9,7 @@ Postings stay rows that are dealt out by document, so neither a frequent trigram
 in one task, and no list of a trigram's documents is ever built.
 
 Defined results: a null text is empty; equal ids are looked up together and verified one by one; a null id is an id like any other;
-spans of different rules may overlap.
+spans of different rules may overlap; with keep_text an input column named spans gives way, others pass.
 """
 
 from __future__ import annotations
@@ -152,18 +152,19 @@ SPAN = "array<struct<begin:long,kind:string,end:long,rank:int>>"
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """Every row's id with `spans`, ordered by begin, then as the rules are listed; with keep_text all columns of docs."""
     full = [r for r in rules if not trigram_query(r.pattern)]
-    marked = docs.join(candidates(docs, rules, id_col=id_col, text_col=text_col), F.col(id_col).eqNullSafe(F.col("_id")), "left")
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    found = candidates(docs, rules, id_col=id_col, text_col=text_col)
+    marked = docs.join(found, docs[id_col].eqNullSafe(found["_id"]), "left")  # by DataFrame: docs may have columns of these names
+    text = F.coalesce(docs[text_col], F.lit(""))
     none = F.array().cast(SPAN)
     tagged = lambda kind, rank: lambda s: F.struct(s["begin"].alias("begin"), F.lit(kind).alias("kind"), s["end"].alias("end"), F.lit(rank).alias("rank"))
     each = []
     for rank, rule in enumerate(rules):
         own = F.transform(spans_of(text, rule), tagged(rule.kind, rank))
-        each.append(own if rule in full else F.when(F.array_contains("rules", rule.kind), own).otherwise(none))
+        each.append(own if rule in full else F.when(F.array_contains(found["rules"], rule.kind), own).otherwise(none))
     by_place = lambda a, b: F.when(a["begin"] != b["begin"], F.when(a["begin"] < b["begin"], -1).otherwise(1)).otherwise(a["rank"] - b["rank"])
     spans = F.array_sort(F.concat(*each), by_place)
-    columns = docs.columns if keep_text else [id_col]
-    return marked.select(*columns, spans.alias("spans"))
+    columns = [c for c in docs.columns if c != "spans"] if keep_text else [id_col]
+    return marked.select(*(docs[c] for c in columns), spans.alias("spans"))
 
 
 def listed(spans: Column) -> Column:
