@@ -19,6 +19,8 @@ from tests.conftest import DATA, rows_of, rows_of_sql
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 TEN = "/root/testdata/sf0.01"
+#: Large enough for accuracy: a twentieth of the toxic labels stand on texts without any toxic word, which nothing can learn.
+TENTH = "/root/testdata/sf0.1"
 
 
 def lower(text: str) -> str:
@@ -81,9 +83,9 @@ def labelled(duck, name: str, sf: str) -> dict[int, int]:
 
 @pytest.mark.parametrize(("query", "label", "modulus", "remainder", "least"), [("op2_toxicity", "toxic", 4, 2, 0.9), ("op9_quality_classifier", "quality", 5, 0, 0.85)])
 def test_classifiers_on_held_out_labels(spark, duck, query, label, modulus, remainder, least):
-    truth = labelled(duck, label, TEN)
-    rows = QUERIES[query](spark, TEN).collect()
-    assert len(rows) == spark.read.parquet(f"{TEN}/documents.parquet").count()
+    truth = labelled(duck, label, TENTH)
+    rows = QUERIES[query](spark, TENTH).collect()
+    assert len(rows) == spark.read.parquet(f"{TENTH}/documents.parquet").count()
     for r in rows:
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % modulus == remainder)
         assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3)
