@@ -297,3 +297,20 @@ def u5_j14_difference(t):
 @query("SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY 1, 2")
 def u7_d16_insert_or_ignore(t):
     return t.events.groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
+
+
+@query("""SELECT application_id, status, updated_at FROM app WHERE application_id = 7 AND judge_id = 7
+    UNION ALL SELECT application_id, status, updated_at FROM app WHERE application_id = 8 AND judge_id = 7""")
+def p24_visible_and_id(t):
+    own = visible(t.app, "03", 7, None)
+    return own.filter(F.col("application_id").isin(7, 8)).select("application_id", "status", "updated_at")
+
+
+@query("""SELECT 'customer' AS name, count(*) AS n_before, CAST(coalesce(sum(CASE WHEN c_acctbal >= 0 THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_after FROM customer
+    UNION ALL SELECT 'orders', count(*), CAST(coalesce(sum(CASE WHEN o_orderstatus <> 'F' THEN 1 ELSE 0 END), 0) AS BIGINT) FROM orders
+    UNION ALL SELECT 'events', count(*), CAST(coalesce(sum(CASE WHEN user_id % 10 <> 3 THEN 1 ELSE 0 END), 0) AS BIGINT) FROM events""")
+def a24_counts_around_cleanup(t):
+    """Rows of each table before and after a cleanup's predicate, in one scan of each."""
+    kept = (("customer", "c_acctbal >= 0"), ("orders", "o_orderstatus != 'F'"), ("events", "user_id % 10 != 3"))
+    counts = [getattr(t, name).agg(F.count("*").alias("n_before"), F.count_if(F.expr(rule)).alias("n_after")).select(F.lit(name).alias("name"), "n_before", "n_after") for name, rule in kept]
+    return reduce(lambda a, b: a.unionByName(b), counts)
