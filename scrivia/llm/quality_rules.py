@@ -2,8 +2,9 @@
 
 Each document's measures are taken once. Their distribution per language and source is kept in
 mergeable KLL quantile sketches, built in partial aggregation and merged upwards, so a small group borrows its language's
-sketch and a small language the corpus's. A threshold is the upper quartile plus a multiple
-of the spread, never below a floor; documents are joined with their group's thresholds.
+sketch and a small language the corpus's. A threshold is an upper quantile of the group plus a multiple of its
+interquartile range; where a measure is 0 in most documents that range is 0, and a small least range stands in for it.
+Documents are joined with their group's thresholds.
 
 Defined results: a null or empty text has zero measures and fails the base rule; null language or
 source is a group of its own; groups under min_group rows use the next wider sketch; repeated rows
@@ -24,8 +25,8 @@ from scrivia.llm.common import CONTINUATION, SPACES, cut, slices, texts
 _SYMBOLS = b"#*$%&|<>"
 _UPPER = bytes(range(65, 91))
 _MARKS = b"!?"
-#: Measure, the least that its threshold may be: below it no group's documents are rejected.
-FLOORS = {"symbol_share": 0.05, "upper_share": 0.4, "mark_share": 0.05, "dup_line_share": 0.5, "repeat_share": 0.3, "word_length": 14.0}
+#: Measure: the quantile that its threshold starts from (rarely positive measures take one from the tail), and the least interquartile range.
+RULES = {"symbol_share": (0.75, 0.001), "upper_share": (0.75, 0.001), "mark_share": (0.75, 0.001), "dup_line_share": (0.95, 0.03), "repeat_share": (0.9, 0.03), "word_length": (0.75, 0.01)}
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_upper long, n_marks long, n_lines long"
 
 
@@ -88,21 +89,21 @@ def shares() -> dict[str, Column]:
 
 def thresholds(rows: DataFrame, groups: tuple[str, ...], *, min_group: int, spread: float) -> DataFrame:
     """One row per group, from its own sketches or the next wider ones."""
-    own = [F.kll_sketch_agg_double(c).alias(c) for c in FLOORS]
-    merged = [F.kll_merge_agg_double(c).alias(c) for c in FLOORS]
-    quartile = lambda c, q: F.kll_sketch_get_quantile_double(F.col(c), F.lit(q))
-    limit = lambda c: F.greatest(F.lit(FLOORS[c]), quartile(c, 0.75) + spread * (quartile(c, 0.75) - quartile(c, 0.25)))
+    own = [F.kll_sketch_agg_double(c).alias(c) for c in RULES]
+    merged = [F.kll_merge_agg_double(c).alias(c) for c in RULES]
+    quantile = lambda c, q: F.kll_sketch_get_quantile_double(F.col(c), F.lit(q))
+    limit = lambda c: quantile(c, RULES[c][0]) + spread * F.greatest(F.lit(RULES[c][1]), quantile(c, 0.75) - quantile(c, 0.25))
     levels = [cut(rows.groupBy(*groups).agg(F.count("*").alias("n"), *own))]
     for wide in range(len(groups) - 1, -1, -1):
         levels.append(levels[-1].groupBy(*groups[:wide]).agg(F.sum("n").alias("n"), *merged))
-    out = levels[0].select(*groups, "n", *(limit(c).alias(c) for c in FLOORS))
+    out = levels[0].select(*groups, "n", *(limit(c).alias(c) for c in RULES))
     for k, level in enumerate(levels[1:]):
         keys = groups[: len(groups) - 1 - k]
-        wider = level.select(*(F.col(g).alias(f"_{g}") for g in keys), F.col("n").alias("_n"), *(limit(c).alias(f"_{c}") for c in FLOORS))
+        wider = level.select(*(F.col(g).alias(f"_{g}") for g in keys), F.col("n").alias("_n"), *(limit(c).alias(f"_{c}") for c in RULES))
         on = [out[g].eqNullSafe(wider[f"_{g}"]) for g in keys]
         out = out.join(F.broadcast(wider) if not keys else wider, on or None, "left") if on else out.crossJoin(F.broadcast(wider.limit(1)))
         small = F.col("n") < min_group
-        out = out.select(*groups, F.when(small, F.col("_n")).otherwise(F.col("n")).alias("n"), *(F.when(small, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in FLOORS))
+        out = out.select(*groups, F.when(small, F.col("_n")).otherwise(F.col("n")).alias("n"), *(F.when(small, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in RULES))
     return out
 
 
@@ -116,7 +117,7 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", gr
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     limits = cut(thresholds(rows, groups, min_group=min_group, spread=spread))
     few = limits.count() <= broadcast_groups
-    limits = limits.select(*(F.col(g).alias(f"_{g}") for g in groups), *(F.col(c).alias(f"max_{c}") for c in FLOORS))
+    limits = limits.select(*(F.col(g).alias(f"_{g}") for g in groups), *(F.col(c).alias(f"max_{c}") for c in RULES))
     joined = rows.join(F.broadcast(limits) if few else limits, [rows[g].eqNullSafe(limits[f"_{g}"]) for g in groups], "left")
-    broken = F.coalesce(*(F.when(F.col(c) > F.col(f"max_{c}"), F.lit(c)) for c in FLOORS))
+    broken = F.coalesce(*(F.when(F.col(c) > F.col(f"max_{c}"), F.lit(c)) for c in RULES))
     return joined.withColumn("base_failed", base).withColumn("broken_rule", broken).withColumn("kept", ~F.col("base_failed") & F.col("broken_rule").isNull()).drop(*(f"_{g}" for g in groups))

@@ -122,6 +122,21 @@ def test_op3_measures(spark, documents):
     assert sum(r.kept for r in rows) > 0.5 * len(rows)
 
 
+def test_op3_groups_decide_their_own_limits(spark):
+    """The same text is kept where its like is common and rejected where it stands out."""
+    from scrivia.llm import quality_rules
+
+    def text(k: int, length: int, symbols: int) -> str:
+        return " ".join([*(f"{k * 60 + i:0{length + (i < k % 7)}d}" for i in range(60)), *["#"] * symbols])
+
+    short, long = [("aa", text(k, 5, 0)) for k in range(250)], [("bb", text(k, 9, k % 7)) for k in range(250)]
+    probes = [(lang, probe) for probe in (text(1, 9, 0), text(0, 5, 6)) for lang in ("aa", "bb")]
+    docs = spark.createDataFrame([(k, t, lang, "web") for k, (lang, t) in enumerate([*short, *long, *probes])], "doc_id long, text string, lang string, source string")
+    rows = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
+    assert rows[0].max_word_length < rows[250].max_word_length and rows[0].max_symbol_share < rows[250].max_symbol_share
+    assert [(rows[k].kept, rows[k].broken_rule) for k in range(500, 504)] == [(False, "word_length"), (True, None), (False, "symbol_share"), (True, None)]
+
+
 def test_op4_hosts_paths_and_rules(spark, duck):
     def brute(url: str | None) -> tuple:
         rest = url.partition("://")[2] if url and "://" in url else ""
