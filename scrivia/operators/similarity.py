@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scrivia import constants as k
 from scrivia.functions import text as x
 from scrivia.functions import vectors as v
+from scrivia.llm.common import cut
 
 
 def rounded(value: Column) -> Column:
@@ -39,9 +40,8 @@ def lsh_peers(signed: DataFrame, *, id_col: str, scope_col: str, rows: int = 2)
     return keyed.join(other, (F.col(scope_col) == F.col("_s")) & (F.col("band") == F.col("_b")) & (F.col(id_col) != F.col("peer"))).select(F.col(id_col).alias("own"), "peer").distinct()
 
 
-def top_peers(reports: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", scope_col: str = "lang", top: int = 3) -> DataFrame:
-    """(own, peer, similarity, rank): each report's most similar peers in its scope."""
-    signed = document_signatures(reports, id_col=id_col, text_col=text_col, scope_col=scope_col)
+def lsh_top_peers(signed: DataFrame, *, id_col: str, scope_col: str, top: int) -> DataFrame:
+    """top_peers of the pairs that lsh_peers proposes alone: fewer pairs, of which some are missed."""
     pairs = lsh_peers(signed, id_col=id_col, scope_col=scope_col)
     a = signed.select(F.col(id_col).alias("own"), F.col("signature").alias("sa"))
     b = signed.select(F.col(id_col).alias("peer"), F.col("signature").alias("sb"))
@@ -50,6 +50,54 @@ def top_peers(reports: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return scored.withColumn("rank", rank).filter(F.col("rank") <= top)
 
 
+def common_cells(nodes: DataFrame, *, hot: int, salts: int) -> DataFrame:
+    """nodes (scope, node, signature) to (scope, a, b, common): how many cells (seed, value) two nodes of a scope share, both ways.
+
+    A cell of more than `hot` nodes is dealt over `salts` tasks.
+    """
+    cells = nodes.select("scope", "node", F.posexplode("signature").alias("seed", "value"))
+    often = cells.groupBy(F.col("scope").alias("_s"), F.col("seed").alias("_seed"), F.col("value").alias("_value")).agg(F.count("*").alias("_n"))
+    same = F.col("scope").eqNullSafe(F.col("_s")) & (F.col("seed") == F.col("_seed")) & (F.col("value") == F.col("_value"))
+    cells = cells.join(often.filter("_n > 1"), same).select("scope", "seed", "value", "node", (F.col("_n") > hot).alias("_hot"))
+    lot = F.when(F.col("_hot"), F.pmod(F.xxhash64("node"), F.lit(salts))).otherwise(0)
+    lots = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    left = cells.select("scope", "seed", "value", F.col("node").alias("a"), lot.cast("int").alias("lot"))
+    right = cells.select(F.col("scope").alias("_s"), F.col("seed").alias("_seed"), F.col("value").alias("_value"), F.col("node").alias("b"), F.explode(lots).alias("_lot"))
+    met = left.join(right, same & (F.col("lot") == F.col("_lot")) & (F.col("a") < F.col("b"))).groupBy("scope", "a", "b").agg(F.count("*").alias("common"))
+    return met.select("scope", F.inline(F.array(F.struct("a", "b", "common"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "common"))))
+
+
+def top_peers(reports: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", scope_col: str = "lang", top: int = 3, exact: bool = True, hot: int = 2000, salts: int = 16) -> DataFrame:
+    """(own, peer, similarity, rank): each report's most similar peers in its scope, the lesser id of equals; a null scope is one of its own.
+
+    Every peer counts, also those of similarity 0; texts without words are alike. Reports of one signature are one node, so copies
+    are never paired with each other. Ids are unique and not null. exact=False ranks only what lsh_peers proposes.
+    """
+    signed = document_signatures(reports, id_col=id_col, text_col=text_col, scope_col=scope_col)
+    if not exact:
+        return lsh_top_peers(signed, id_col=id_col, scope_col=scope_col, top=top)
+    signed = cut(signed.select(F.col(scope_col).alias("scope"), F.col(id_col).alias("own"), "signature"))
+    least = Window.partitionBy("scope", "signature").orderBy("own")
+    heads = signed.withColumn("_r", F.row_number().over(least)).filter(F.col("_r") <= top + 1)
+    nodes = cut(heads.groupBy("scope", "signature").agg(F.min("own").alias("node"), F.array_sort(F.collect_list("own")).alias("members")))
+
+    met = common_cells(nodes.select("scope", "node", "signature"), hot=hot, salts=salts)
+    ranked = met.withColumn("_r", F.row_number().over(Window.partitionBy("scope", "a").orderBy(F.desc("common"), "b"))).filter(F.col("_r") <= top + 1)
+    member = nodes.select(F.col("scope").alias("_s"), F.col("node").alias("_node"), "members")
+    other = ranked.join(member, F.col("scope").eqNullSafe(F.col("_s")) & (F.col("b") == F.col("_node"))).select("scope", F.col("a").alias("node"), F.explode("members").alias("peer"), (F.col("common") / k.MINHASH_SEEDS).alias("similarity"))
+    own = nodes.select("scope", "node", F.explode("members").alias("peer"), F.lit(1.0).alias("similarity"))
+    listed = own.unionByName(other).groupBy(F.col("scope").alias("_s"), F.col("node").alias("_node")).agg(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("far"), "peer"))).alias("near"))
+    first = signed.withColumn("_r", F.row_number().over(Window.partitionBy("scope").orderBy("own"))).filter(F.col("_r") <= 2 * top)
+    first = first.groupBy(F.col("scope").alias("_f")).agg(F.array_sort(F.collect_list("own")).alias("first"))
+
+    of = nodes.join(listed, F.col("scope").eqNullSafe(F.col("_s")) & (F.col("node") == F.col("_node"))).join(F.broadcast(first), F.col("scope").eqNullSafe(F.col("_f")))
+    zero = F.filter("first", lambda i: ~F.array_contains(F.transform("near", lambda p: p["peer"]), i))
+    of = of.select(F.col("scope").alias("_s"), F.col("signature").alias("_sig"), F.concat("near", F.transform(zero, lambda i: F.struct(F.lit(-0.0).alias("far"), i.alias("peer")))).alias("near"))
+    each = signed.join(of, F.col("scope").eqNullSafe(F.col("_s")) & (F.col("signature") == F.col("_sig")))
+    best = F.slice(F.filter("near", lambda p: p["peer"] != F.col("own")), 1, top)
+    return each.select("own", F.posexplode(best).alias("_r", "p")).select("own", "p.peer", F.abs(F.col("p.far")).alias("similarity"), (F.col("_r") + 1).alias("rank"))
+
+
 def template_chunks(counted: DataFrame, pool: int) -> DataFrame:
     """counted (hash, seen by peers) with is_template: found in half of a pool of two or more."""
     return counted.withColumn("is_template", F.lit(pool >= 2) & (F.col("seen") >= F.greatest(F.lit(2), F.ceil(F.lit(0.5 * pool)))))

@@ -106,7 +106,7 @@ def t3_signatures(t):
 
 @query()
 def t3_top_peers(t):
-    """The flagship: scan, fold, signatures, banded join inside a language, exact scoring, top three."""
+    """The flagship: scan, fold, signatures, join of their cells inside a language, top three of all peers."""
     return s.top_peers(t.documents)
 
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from scrivia.functions import text as x
 from scrivia.functions import vectors as v
-from scrivia.operators import checks, rules
+from scrivia.operators import checks, rules, similarity
 from scrivia.plans.registry import QUERIES
 from scrivia.streaming.lifecycle import replay_applications, step, stream_applications
 from tests.conftest import DATA
@@ -100,6 +101,23 @@ def test_report_similarity_is_all_pairs(spark):
     assert [(r.peer_id, r.percent, r.level) for r in checks.pool_ranking(own, checks.lexical_chunk_matches(own, peers)).collect()] == [(2, 83, "high")]
 
 
+@pytest.mark.parametrize("hot", [2000, 2])
+def test_top_peers_are_all_pairs(spark, hot):
+    """Weak peers, copies, texts without words, a null scope and a scope of two, against every pair."""
+    draw = np.random.default_rng(3)
+    base = [[f"w{b}x{i}" for i in range(40)] for b in range(4)]
+    rows = [(n, " ".join(w if draw.random() > (n % 5) * 0.06 else f"own{n}" for w in base[n % 4]), ("a", "b", None)[n % 3]) for n in range(60)]
+    rows += [(60 + n, rows[n % 2][1], rows[n % 2][2]) for n in range(12)] + [(80, "", "a"), (81, None, "a"), (82, "!", "a"), (83, "alone here", "c"), (84, "another text", "c")]
+    sign = {i: v.signature_of(w) for i, w in spark.createDataFrame(rows, "i int, t string, s string").select("i", x.normalized_words(F.col("t"))).collect()}
+    wanted = set()
+    for i, _, scope in rows:
+        peers = sorted((-sum(a == b for a, b in zip(sign[i], sign[j])) / 64, j) for j, _, s in rows if j != i and s == scope)
+        wanted |= {(i, j, -near, r + 1) for r, (near, j) in enumerate(peers[:3])}
+    found = similarity.top_peers(spark.createDataFrame(rows, "doc_id long, text string, lang string"), hot=hot).collect()
+    assert {(r.own, r.peer, r.similarity, r["rank"]) for r in found} == wanted and len(found) == len(wanted)
+    assert any(0 < w[2] < 0.3 for w in wanted)
+
+
 def test_folds(spark):
     row = spark.createDataFrame([("İNSANSIZ IŞIK Çağrı é",)], "t string").select(x.tr_lower(F.col("t")), x.fold(F.col("t")), x.fold_line(F.col("t")), x.fold_line_exact(F.col("t"))).first()
     assert tuple(row) == ("insansız ışık çağrı é", "insansiz isik cagri é", "insansiz isik cagri e", "insansiz isik cagri e")
