@@ -25,10 +25,19 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class, that with the least id; a row without an id stays if its class has none."""
-    found = ngram_join.similar_documents(docs)
-    chosen = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["_id"]), "left_semi")
+    """One row of each near-duplicate class: that with the least id, then the least hash of its text; of rows repeated with id and text any.
+
+    Rows without an id come last. Texts without words are classes of their own, so all their rows stay.
+    """
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    name = "_key" + "_" * max(map(len, docs.columns))  # no column of docs has it
+    keyed = docs.withColumn(name, key)
+    found = ngram_join.similar_documents(keyed, id_col=name)
+    chosen = found.filter(F.col(name) == F.col("class_id")).groupBy(F.col(name).alias("_chosen")).agg(F.count("*").alias("_rows"))
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    once = keyed.join(chosen.filter("_rows = 1"), F.col(name) == F.col("_chosen"), "left_semi")
+    repeated = keyed.join(chosen.filter("_rows > 1"), F.col(name) == F.col("_chosen"), "left_semi")
+    return once.unionByName(repeated.filter(~worded)).unionByName(repeated.filter(worded).dropDuplicates([name])).select(docs.columns)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -115,3 +115,15 @@ def test_pipeline_stages(spark, odd, none, labels, tmp_path):
         assert corpus_pipeline.redacted(spark, rows, "").count() == rows.count()
     one = corpus_pipeline.one_of_each(spark, docs, "").collect()
     assert sum(r.doc_id == 5 for r in one) == 2 or sum(r.doc_id == 5 for r in one) == 1
+
+
+def test_one_row_of_each_class(spark):
+    """Repeated rows, one id on two texts, rows without an id that copy others, and texts without words."""
+    one, two, three = (" ".join(f"{w}{i}" for i in range(30)) for w in "abc")
+    rows = [(5, one), (5, one), (3, two), (5, two), (None, one), (None, three), (None, three), (9, three + " more"), (7, ""), (7, ""), (None, None), (4, one), (4, one)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = corpus_pipeline.one_of_each(spark, docs, "").collect()
+    wanted = [(3, two), (4, one), (7, ""), (7, ""), (9, three + " more"), (None, None)]
+    assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, wanted))
+    odd_rows = spark.createDataFrame(ROWS, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sum(r.doc_id == 5 for r in corpus_pipeline.one_of_each(spark, odd_rows, "").collect()) == 1
