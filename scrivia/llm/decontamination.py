@@ -5,7 +5,7 @@ once and read once, left to right; match ends are mapped back to words and, thro
 code-point offsets in the original text.
 
 Defined results: a null or empty text has no words and no hits; a null item text has no windows;
-repeated rows are judged one by one; equal windows of several items count for each item; an item
+an item without an id counts like others, all of them as one item, named null; repeated rows are judged one by one; equal windows of several items count for each item; an item
 with fewer words than a window, but not none, is one window; no items: nothing is hit.
 """
 
@@ -40,14 +40,14 @@ def windows_of(words: list[bytes], size: int) -> set[str]:
     return {(b" %s " % b" ".join(words[i : i + size])).decode("latin-1") for i in range(max(1, len(words) - size + 1))} if words else set()
 
 
-def automaton(items: list[tuple[str, bytes]], size: int) -> ahocorasick.Automaton:
-    owners: dict[str, set[str]] = {}
+def automaton(items: list[tuple[str | None, bytes]], size: int) -> ahocorasick.Automaton:
+    owners: dict[str, set[str | None]] = {}
     for item, text in items:
         for window in windows_of(words_of(text), size):
             owners.setdefault(window, set()).add(item)
     machine = ahocorasick.Automaton()
     for window, own in owners.items():
-        machine.add_word(window, (window.count(" ") - 1, len(window), sorted(own)))
+        machine.add_word(window, (window.count(" ") - 1, len(window), sorted(own, key=lambda i: (i is None, i or ""))))
     if owners:
         machine.make_automaton()
     return machine
@@ -86,7 +86,7 @@ def _machine(key: str, items: Broadcast, size: int) -> ahocorasick.Automaton:
 
 def _shared(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list[Broadcast]:
     """The items, broadcast in blocks of about block_bytes."""
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).filter("item is not null and text is not null")
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).filter("text is not null")
     blocks = max(1, math.ceil((items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / block_bytes))
     own = lambda b: items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).collect()
     return [benchmark.sparkSession.sparkContext.broadcast([(r.item, r.text.encode()) for r in own(b)]) for b in range(blocks)]

@@ -127,3 +127,12 @@ def test_one_row_of_each_class(spark):
     assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, wanted))
     odd_rows = spark.createDataFrame(ROWS, "doc_id long, text string, lang string, source string, n_chars long")
     assert sum(r.doc_id == 5 for r in corpus_pipeline.one_of_each(spark, odd_rows, "").collect()) == 1
+
+
+def test_items_without_an_id_count(spark):
+    items = spark.createDataFrame([(None, "secret question"), (None, "another one"), (2, "secret question")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "a secret question, and another one"), (2, "nothing"), (3, "the secret question")], "doc_id long, text string")
+    found = decontamination.find_leaks(docs, items)
+    rows = found.select("doc_id", decontamination.covered_words().alias("n_hit"), decontamination.items_hit().alias("items")).collect()
+    assert {r.doc_id: (r.n_hit, set(r["items"])) for r in rows} == {1: (4, {None, "2"}), 2: (0, set()), 3: (2, {None, "2"})}
+    assert [r.doc_id for r in decontamination.without_leaks(docs, items).collect()] == [2]
