@@ -107,9 +107,14 @@ def lexical_chunk_matches(own: DataFrame, peers: DataFrame) -> DataFrame:
     return scored.groupBy("own_id", "own_idx", "word_count", "peer_id").agg(best.alias("b")).select("own_id", "own_idx", "word_count", "peer_id", "b.peer_idx", "b.lexical", "b.m.kind", "b.m.strength")
 
 
-def pool_ranking(own: DataFrame, matches: DataFrame) -> DataFrame:
-    """(own_id, peer_id, percent, level): each report's closest peer by covered words, the least peer of equals; null and normal where none matches."""
+def pool_ranking(own: DataFrame, matches: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """(own_id, peer_id, percent, level): each report's closest peer by covered words, the least peer of equals; null and normal where none matches.
+
+    ids (own_id): the reports that get a row, also those too short for a chunk; else those of own.
+    """
     total = own.groupBy("own_id").agg(F.sum("word_count").alias("_all"))
+    if ids is not None:
+        total = ids.join(total, "own_id", "left")
     hit = matches.groupBy("own_id", "peer_id").agg(F.sum(F.col("word_count") * F.col("strength")).alias("_hit")).withColumnRenamed("own_id", "_own")
     top = hit.groupBy("_own").agg(F.max_by("peer_id", F.struct("_hit", -F.col("peer_id"))).alias("peer_id"), F.max("_hit").alias("_hit"))
     percent = F.coalesce(rounded(F.col("_hit") / F.col("_all") * 100), F.lit(0)).cast("int")

@@ -70,7 +70,8 @@ def t5_t6_report_similarity(t):
     signed = chunked.select("scope", "doc_id", "chunk_index", "word_count", v.min_hash(x.normalized_words(F.col("chunk"))).alias("sig"))
     own = signed.filter("doc_id % 100 = 0").withColumnsRenamed({"doc_id": "own_id", "chunk_index": "own_idx"})
     peers = signed.select("scope", F.col("doc_id").alias("peer_id"), F.col("chunk_index").alias("peer_idx"), F.col("sig").alias("psig"))
-    return c.pool_ranking(own, c.lexical_chunk_matches(own, peers))
+    ids = t.documents.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("own_id"))
+    return c.pool_ranking(own, c.lexical_chunk_matches(own, peers), ids)
 
 
 @query()
