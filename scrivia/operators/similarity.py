@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from scrivia import constants as k
 from scrivia.functions import text as x
 from scrivia.functions import vectors as v
-from scrivia.llm.common import cut
+from scrivia.lineage import cut
 
 
 def rounded(value: Column) -> Column:
