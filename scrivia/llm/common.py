@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +11,8 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scrivia.lineage import cut  # noqa: F401
+
 #: ASCII white space, as in `[^\x20\x09-\x0D]+`; bytes.split() cuts at exactly these.
 SPACES = b"\t\n\x0b\x0c\r "
 #: Bytes 0x80-0xBF continue a code point in UTF-8.
@@ -20,15 +21,6 @@ CONTINUATION = bytes(range(0x80, 0xC0))
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint, in the folder that the cluster names in spark.checkpoint.dir."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="scrivia-checkpoint-"))
-    return df.checkpoint()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
