@@ -5,12 +5,12 @@ No SQL expresses the learned and the packed stages; tests compare a run with the
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scrivia.lineage import shared_folder
 from scrivia.llm import decontamination, ngram_join, quality_classifier, secrets
 from scrivia.llm.common import table
 from scrivia.llm.queries import packed_digest
@@ -68,7 +68,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows; the stages between are written to the folder in spark.checkpoint.dir."""
-    shared = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='scrivia-pipeline-')}/pipeline-{uuid.uuid4().hex}"
+    shared = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
