@@ -51,3 +51,29 @@ ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ"
 PLAIN = "aaaaaaeeeeiiiiooooouuuuncyy"
 # The search fold's letters.
 SEARCH_FROM, SEARCH_TO = "ışğüöçâîû", "isguocaiu"
+
+# File kinds, their labels and the extensions of each.
+FILE_KINDS = {
+    "pdf": ("PDF", ("pdf",)), "word": ("DOC", ("doc", "docx", "odt", "rtf")), "excel": ("XLS", ("xls", "xlsx", "ods", "csv")), "powerpoint": ("PPT", ("ppt", "pptx", "odp")),
+    "image": ("IMG", ("png", "jpg", "jpeg", "gif", "webp", "svg", "bmp")), "text": ("TXT", ("txt", "md", "json")), "archive": ("ZIP", ("zip", "rar", "7z")),
+    "video": ("VID", ("mp4", "mov", "avi", "mkv", "webm")), "other": ("DOSYA", ()),
+}
+SHOWS_EXTENSION = ("word", "excel", "powerpoint", "archive", "other")
+
+# Permissions and the roles that hold them.
+PERMISSIONS = {
+    "manage_accounts": ("00",), "author_criteria": ("01",), "author_profile": ("01",), "publish_profile": ("01",), "read_profiles": ("01", "02", "04"),
+    "submit_application": ("03",), "read_applications": ("02", "03", "04"), "read_application_file": ("02", "03"), "run_ai_prescreen": ("02",), "final_judgement": ("02",),
+    "operations_dashboard": ("04",), "coordinate_evaluation": ("04",), "manage_competition_stage": ("01",), "toggle_competition_activation": ("01", "04"), "archive_competition": ("01",),
+    "archive_application": ("02",), "flag_competition_priority": ("04",), "read_extractions": ("01", "04"), "read_timeline": ("01", "02", "04"),
+}
+
+# Check stages in order, verdict labels, and words of the generated lines.
+STAGES = ("language_template", "headings_content", "category_similarity", "criteria_evidence")
+STAGE_TITLES = ("Dil ve Şablon Uygunluğu", "Başlık ve İçerik Kontrolü", "Kategori Uygunluğu ve Benzerlik", "Kriter Bazlı Kanıt Çıkarma")
+VERDICT_LABELS = {"BASARILI": "BAŞARILI", "REVIZYON": "REVİZYON", "KRITIK_HATA": "KRİTİK HATA", "DEGERLENDIRILEMEDI": "PDF'DEN DEĞERLENDİRİLEMEZ"}
+VERIFIABILITY = ("PDF_DENETLENEBILIR", "HARICI_KANIT_GEREKLI", "HAKEM_KONTROLU_GEREKLI")
+VIOLATION_ACTIONS = ("block", "warn", "jury", "unspecified")
+LANGUAGE_LABELS = {"tr": "Türkçe", "en": "İngilizce"}
+UNSTATED = "Belgede belirtilmemiş"
+FILLED_CHARS, MOST_CRITERIA, EMBEDDING_DIM, EMBEDDING_BATCH = 200, 400, 768, 16

@@ -37,6 +37,14 @@ def signature_of(words: list[str]) -> list[int]:
     return out.astype(np.int64).tolist()
 
 
+def fnv1a(text: Column, seed: Column) -> Column:
+    """Seeded 32-bit FNV-1a over the characters of an ASCII text, with its halves folded."""
+    whole = F.lit(0xFFFFFFFF).cast("bigint")
+    start = F.lit(2166136261).cast("bigint").bitwiseXOR((seed.cast("bigint") * 2654435761).bitwiseAND(whole))
+    h = F.aggregate(F.split(text, ""), start, lambda h, c: (h.bitwiseXOR(F.ascii(c).cast("bigint")) * 16777619).bitwiseAND(whole))
+    return h.bitwiseXOR(F.shiftrightunsigned(h, 16))
+
+
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def min_hash(words: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for series in words:

@@ -108,3 +108,16 @@ def keep_first_of_two_keys(rows: DataFrame, *, group: str, order: str, first: st
 
     kept = rows.groupBy(group).agg(F.aggregate(items, none, step).alias("_kept"))
     return kept.select(group, F.explode("_kept").alias("_k")).select(group, F.col("_k.a").alias(first), F.col("_k.b").alias(second), F.col("_k.o").alias(order))
+
+
+def revoked_in_order(accounts: DataFrame, commands: DataFrame, *, order: str) -> DataFrame:
+    """(id, outcome) of commands that revoke accounts (id, status, admin), one after another: the last active administrator stays.
+
+    With n active administrators the first n - 1 of them in order may go; only administrators are numbered together, and they are few.
+    """
+    total = accounts.agg(F.count_if("admin").alias("_n"))
+    rows = commands.select(F.col("id").alias("_id")).distinct().join(accounts, F.col("_id") == F.col("id"), "left")
+    place = rows.filter("admin").select(F.col("_id").alias("_a"), F.row_number().over(Window.orderBy(order)).alias("_place"))
+    rows = rows.join(F.broadcast(place), F.col("_id") == F.col("_a"), "left").join(F.broadcast(total))
+    gone = F.coalesce(F.col("status") != "active", F.lit(True))
+    return rows.select(F.col("_id").alias("id"), F.when(gone, "not_found").when(F.col("_place") >= F.col("_n"), "last_moderator").otherwise("revoked").alias("outcome"))
