@@ -186,3 +186,10 @@ def unsupported_reasons(quote: Column, page: Column, pages: Column) -> Column:
 def hit_count(text: Column, keywords: Column) -> Column:
     low = x.tr_lower(text)
     return F.size(F.filter(keywords, lambda w: F.contains(low, x.tr_lower(w))))
+
+
+def redacted_evaluation(evaluation: Column) -> Column:
+    """An evaluation (report, findings, similarity) as operations may see it: no names, reasons, quotations or percents."""
+    findings = F.transform(evaluation["findings"], lambda f: f.withField("rationale", F.lit("")).withField("evidence", F.array().cast("array<string>")))
+    similarity = F.when(evaluation["similarity"].isNotNull(), evaluation["similarity"].withField("closest", F.lit(None).cast("string")).withField("percent", F.lit(None).cast("int")))
+    return evaluation.withField("report.name", F.lit("")).withField("findings", findings).withField("similarity", similarity)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scrivia import constants as k
 from scrivia.functions import text as x
 from scrivia.functions import vectors as v
+from scrivia.lineage import cut
 from scrivia.operators import rules
 from scrivia.operators.similarity import rounded
 
@@ -53,12 +54,15 @@ def stage_verdicts(findings: DataFrame, stages: tuple[str, ...], *, id_col: str)
 
 
 def feedback(findings: DataFrame, *, id_col: str, order: str) -> DataFrame:
-    """(id_col, strengths, improvements): at most six and eight lines, in the findings' order; what a PDF cannot show is left out."""
+    """(id_col, strengths, improvements, suggestions): at most six, eight and six lines, in the findings' order; what a PDF cannot show is left out."""
     side = F.when(F.col("verdict") == "BASARILI", "s").when(F.col("verdict") != "DEGERLENDIRILEMEDI", "i")
     rows = findings.withColumn("_side", side).filter("_side is not null")
     rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy(id_col, "_side").orderBy(order))).filter(F.col("_r") <= F.when(F.col("_side") == "s", 6).otherwise(8))
     listed = lambda s: F.transform(F.array_sort(F.collect_list(F.when(F.col("_side") == s, F.struct("_r", "line")))), lambda p: p["line"])
-    return rows.groupBy(id_col).agg(listed("s").alias("strengths"), listed("i").alias("improvements"))
+    advice = F.when(F.col("verdict") == "KRITIK_HATA", F.concat(F.lit("“"), F.col("name"), F.lit("” zorunlu kuralı için şartnamedeki koşulu karşılayan, kanıtlanabilir bir bölüm ekleyin.")))
+    advice = F.coalesce(advice, F.concat(F.lit("“"), F.col("name"), F.lit("” bölümündeki eksik kanıtları ölçüm, tablo veya doğrulama sonucu ile tamamlayın.")))
+    suggested = F.transform(F.array_sort(F.collect_list(F.when((F.col("_side") == "i") & (F.col("_r") <= 6), F.struct("_r", advice.alias("line"))))), lambda p: p["line"])
+    return rows.groupBy(id_col).agg(listed("s").alias("strengths"), listed("i").alias("improvements"), suggested.alias("suggestions"))
 
 
 def decision_error(judge: Column, result: Column, reason: Column, mode: Column, page: Column, quote: Column, missing: Column) -> Column:
@@ -121,17 +125,36 @@ def pool_ranking(own: DataFrame, matches: DataFrame, ids: DataFrame | None = Non
     return total.join(top, F.col("own_id") == F.col("_own"), "left").select("own_id", "peer_id", percent.alias("percent"), v.similarity_level(percent, F.lit(0.0)).alias("level"))
 
 
+def numbered(rows: DataFrame, key: str, order: list[str], *, parts: int = 0) -> DataFrame:
+    """rows with `_n`, their place within key from 0, without gathering a key in one task: ranges are counted first, then numbered one by one."""
+    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(rows.repartitionByRange(parts, key, *order).withColumn("_part", F.spark_partition_id()))
+    counts = ranged.groupBy(F.col(key).alias("_k"), F.col("_part").alias("_p")).agg(F.count("*").alias("_c"))
+    before = Window.partitionBy("_k").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("_k", "_p", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(key, "_part").orderBy(*order)) - 1
+    placed = ranged.withColumn("_i", inside).join(F.broadcast(counts), F.col(key).eqNullSafe(F.col("_k")) & (F.col("_part") == F.col("_p")))
+    return placed.withColumn("_n", F.col("_before") + F.col("_i")).drop("_part", "_k", "_p", "_before", "_i")
+
+
 def least_loaded(queue: DataFrame, judges: DataFrame, *, key: str, order: list[str]) -> DataFrame:
-    """Queue rows with the judge that taking the least loaded one, row after row, would give them.
+    """Queue rows with the judge that taking the least loaded one, row after row, would give them; without judges, no rows.
 
-    judges: (judge, load, scoped, since). The n-th row takes the n-th slot, where a judge of load l has slots at l, l + 1, ... and slots of a
-    level go by more scoped work, then longer service: so the loop is two numberings and a join. Rows are numbered within `key`.
+    judges: (judge, load, scoped, since). Of equally loaded judges those go first who have a file of the competition (scoped > 0, or one given before in
+    this queue), then longer service. A judge of load l has one slot at each level l, l + 1, ...; the n-th row takes the n-th slot. How many slots
+    lie below a level is arithmetic, and above the greatest load every level is the same list, so no slot is ever written out. Queues of different keys are apart.
     """
-    numbered = queue.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
-    most = numbered.groupBy(key).agg(F.max("_n").alias("_most"))
-    # with n rows no slot above the least load + n is reached
-    base = judges.agg(F.min("load").alias("_base"))
-    slots = most.join(F.broadcast(judges.join(F.broadcast(base)))).select(key, "judge", "scoped", "since", "load", F.explode(F.sequence("load", F.greatest("load", F.col("_base") + F.col("_most")))).alias("_level"))
-    place = Window.partitionBy(key).orderBy("_level", F.desc(F.col("scoped") + F.col("_level") - F.col("load")), "since", "judge")
-    slots = slots.withColumn("_n", F.row_number().over(place)).select(F.col(key).alias("_key"), F.col("_n").alias("_slot"), "judge")
-    return numbered.join(slots, (F.col(key) == F.col("_key")) & (F.col("_n") == F.col("_slot"))).drop("_key", "_slot", "_n")
+    loads = judges.groupBy("load").agg(F.count("*").alias("_c"))
+    ends = judges.agg(F.min("load").alias("_low"), F.max("load").alias("_high"), F.count("*").alias("_all"))
+    levels = ends.filter("_all > 0").select("_low", "_high", F.explode(F.sequence("_low", F.col("_high") + 1)).alias("_level"))
+    # slots below a level: every judge of less load has one at each level from their own on
+    below = levels.join(F.broadcast(loads), F.col("load") < F.col("_level"), "left").groupBy("_level", "_high").agg(F.coalesce(F.sum((F.col("_level") - F.col("load")) * F.col("_c")), F.lit(0)).alias("_below"))
+    table = below.agg(F.array_sort(F.collect_list(F.struct("_below", "_level"))).alias("_levels"), F.first("_high").alias("_top"))
+    flag = (F.col("load") < F.col("_level")) | (F.col("scoped") > 0)
+    places = levels.select("_level").join(judges, F.col("load") <= F.col("_level")).withColumn("_place", F.row_number().over(Window.partitionBy("_level").orderBy(F.desc(flag), "since", "judge")) - 1)
+    places = places.select(F.col("_level").alias("_l"), F.col("_place").alias("_q"), "judge")
+    rows = numbered(queue, key, order).join(F.broadcast(table)).join(F.broadcast(ends.select("_all")))
+    at = F.element_at(F.filter("_levels", lambda v: v["_below"] <= F.col("_n")), -1)
+    rows = rows.withColumn("_at", at).withColumn("_off", F.col("_n") - F.col("_at._below"))
+    rows = rows.withColumn("_off", F.when(F.col("_at._level") > F.col("_top"), F.col("_off") % F.col("_all")).otherwise(F.col("_off")))
+    return rows.join(places, (F.col("_at._level") == F.col("_l")) & (F.col("_off") == F.col("_q"))).select(*queue.columns, "judge")

@@ -61,22 +61,27 @@ def current_rows(history: DataFrame, *, key: str, order: list[str]) -> DataFrame
     return history.withColumn("valid_from", F.col(order[0])).withColumn("valid_to", F.lead(order[0]).over(by)).withColumn("active", F.lead(order[0]).over(by).isNull())
 
 
-def replay_stages(commands: DataFrame, *, key: str = "competition", order: str = "seq", target: str = "target", start: str = "draft_criteria") -> DataFrame:
-    """Commands in order per competition, with the state before, the state after and whether the transition was allowed."""
+def replay_stages(commands: DataFrame, *, key: str = "competition", order: str = "seq", target: str = "target", unresolved: str = "unresolved", start: str = "draft_criteria") -> DataFrame:
+    """Commands in order per competition, with the state before, the state after, whether the transition was allowed, and whether decisions are locked.
+
+    Decisions freeze only where no application is unresolved. One competition's commands are one group: a life has few stages.
+    """
+    locked = ("decisions_frozen", "results_published", "archived")
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order)
         state, before, after, accepted = start, [], [], []
-        for wanted in rows[target]:
-            ok = wanted in k.COMPETITION_TRANSITIONS.get(state, ())
+        for wanted, left in zip(rows[target], rows[unresolved]):
+            ok = wanted in k.COMPETITION_TRANSITIONS.get(state, ()) and not (wanted == "decisions_frozen" and left > 0)
             before.append(state)
             state = wanted if ok else state
             after.append(state)
             accepted.append(ok)
-        return rows[[key, order, target]].assign(before=before, after=after, accepted=accepted)
+        return rows[[key, order, target]].assign(before=before, after=after, accepted=accepted, locked=[s in locked for s in after])
 
     types = dict(commands.dtypes)
-    return commands.select(key, order, target).groupBy(key).applyInPandas(fold, f"{key} {types[key]}, {order} {types[order]}, {target} string, before string, after string, accepted boolean")
+    out = f"{key} {types[key]}, {order} {types[order]}, {target} string, before string, after string, accepted boolean, locked boolean"
+    return commands.select(key, order, target, unresolved).groupBy(key).applyInPandas(fold, out)
 
 
 def rate_limited(requests: DataFrame, *, client: str, ts: str, tie: str, window_s: int, most: int) -> DataFrame:

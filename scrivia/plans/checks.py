@@ -37,13 +37,14 @@ def a11_f29_stage_verdicts(t):
     return c.stage_verdicts(findings, ("s0", "s1", "s2", "s3"), id_col="id")
 
 
-@query("""WITH e AS (SELECT user_id, event_id, event_type || ':' || event_id AS line, CASE event_type WHEN 'view' THEN 's' ELSE 'i' END AS side FROM events),
+@query("""WITH e AS (SELECT user_id, event_id, event_type, event_type || ':' || event_id AS line, CASE event_type WHEN 'view' THEN 's' ELSE 'i' END AS side FROM events),
 r AS (SELECT *, row_number() OVER (PARTITION BY user_id, side ORDER BY event_id) AS n FROM e)
-SELECT user_id, coalesce(string_agg(line, '|' ORDER BY n) FILTER (side = 's' AND n <= 6), '') AS strengths, coalesce(string_agg(line, '|' ORDER BY n) FILTER (side = 'i' AND n <= 8), '') AS improvements FROM r GROUP BY 1""")
+SELECT user_id, coalesce(string_agg(line, '|' ORDER BY n) FILTER (side = 's' AND n <= 6), '') AS strengths, coalesce(string_agg(line, '|' ORDER BY n) FILTER (side = 'i' AND n <= 8), '') AS improvements,
+coalesce(string_agg(CASE event_type WHEN 'error' THEN '“e' || event_id || '” zorunlu kuralı için şartnamedeki koşulu karşılayan, kanıtlanabilir bir bölüm ekleyin.' ELSE '“e' || event_id || '” bölümündeki eksik kanıtları ölçüm, tablo veya doğrulama sonucu ile tamamlayın.' END, '|' ORDER BY n) FILTER (side = 'i' AND n <= 6), '') AS suggestions FROM r GROUP BY 1""")
 def t14_feedback(t):
-    verdict = F.when(F.col("event_type") == "view", "BASARILI").otherwise("REVIZYON")
-    rows = t.events.select("user_id", "event_id", F.concat_ws(":", "event_type", F.col("event_id").cast("string")).alias("line"), verdict.alias("verdict"))
-    return c.feedback(rows, id_col="user_id", order="event_id").select("user_id", F.array_join("strengths", "|").alias("strengths"), F.array_join("improvements", "|").alias("improvements"))
+    verdict = F.when(F.col("event_type") == "view", "BASARILI").when(F.col("event_type") == "error", "KRITIK_HATA").otherwise("REVIZYON")
+    rows = t.events.select("user_id", "event_id", F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("name"), F.concat_ws(":", "event_type", F.col("event_id").cast("string")).alias("line"), verdict.alias("verdict"))
+    return c.feedback(rows, id_col="user_id", order="event_id").select("user_id", *(F.array_join(n, "|").alias(n) for n in ("strengths", "improvements", "suggestions")))
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 2 THEN '' WHEN o_orderkey % 3 = 0 THEN 'result' WHEN o_orderkey % 5 = 0 THEN 'reason' WHEN o_orderkey % 7 = 0 THEN 'mode'
@@ -81,7 +82,13 @@ def t9_w6_heading_pages(t):
     return c.heading_pages(pages, ("the thing that counts", "nicht ohne einlich"), id_col="doc_id", page_col="page", text_col="line")
 
 
-@query()
+_TAKES = "(VALUES " + ", ".join(f"('{c}', '{s or ''}', '{after}')" for c, (states, after) in APPLICATION_COMMANDS.items() for s in states) + ") tr(c, f, t)"
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT user_id, event_id, [{", ".join(f"'{n}'" for n in APPLICATION_COMMANDS)}][event_id % {len(APPLICATION_COMMANDS)} + 1] AS command, event_id % 10 <> 0 AS ok, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+s AS (SELECT user_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS seq, CAST('' AS VARCHAR) AS command, CAST('' AS VARCHAR) AS before, CAST('' AS VARCHAR) AS after, false AS accepted FROM (SELECT DISTINCT user_id FROM events)
+UNION ALL SELECT c.user_id, c.n, c.event_id, c.command, s.after, CASE WHEN ok AND t IS NOT NULL THEN t ELSE s.after END, ok AND t IS NOT NULL FROM s JOIN c ON c.user_id = s.user_id AND c.n = s.n + 1 LEFT JOIN {_TAKES} ON tr.c = c.command AND f = s.after)
+SELECT user_id AS application, seq, command, nullif(before, '') AS before, nullif(after, '') AS after, accepted FROM s WHERE n > 0""")
 def x2_application_states(t):
     """Each user's events as commands, replayed against the transition table."""
     names = F.array(*map(F.lit, APPLICATION_COMMANDS))
@@ -89,8 +96,12 @@ def x2_application_states(t):
     return replay_applications(t.events.select(F.col("user_id").alias("application"), F.col("event_id").alias("seq"), command.alias("command"), (F.col("event_id") % 10 != 0).alias("ok")))
 
 
-@query()
+@query("""WITH app AS (SELECT o_orderkey AS application_id, o_orderpriority AS competition_key, o_orderdate AS updated_at FROM orders WHERE o_orderkey % 3 = 0),
+q AS (SELECT *, row_number() OVER (PARTITION BY competition_key ORDER BY updated_at, application_id) AS n FROM app), m AS (SELECT competition_key, max(n) AS most FROM q GROUP BY 1),
+j AS (SELECT s_suppkey AS judge, s_suppkey % 4 AS load, s_suppkey % 3 AS scoped, s_nationkey AS since FROM supplier), d AS (SELECT min(load) AS base, count(*) AS c, max(load) AS top FROM j),
+s AS (SELECT competition_key, judge, row_number() OVER (PARTITION BY competition_key ORDER BY level, load < level OR scoped > 0 DESC, since, judge) AS n FROM (SELECT m.competition_key, j.*, unnest(range(load, top + 2 + CAST(ceil(most / c) AS BIGINT))) AS level FROM m, d, j))
+SELECT q.competition_key, application_id, updated_at, judge FROM q JOIN s ON q.competition_key = s.competition_key AND q.n = s.n""")
 def x3_least_loaded_assignment(t):
-    """Unassigned applications of each competition to the suppliers as judges, their load by key."""
-    judges = t.supplier.filter("s_suppkey <= 50").select(F.col("s_suppkey").alias("judge"), (F.col("s_suppkey") % 4).alias("load"), (F.col("s_suppkey") % 3).alias("scoped"), F.col("s_nationkey").alias("since"))
+    """Unassigned applications of each competition to all suppliers as judges, their load by key."""
+    judges = t.supplier.select(F.col("s_suppkey").alias("judge"), (F.col("s_suppkey") % 4).alias("load"), (F.col("s_suppkey") % 3).alias("scoped"), F.col("s_nationkey").alias("since"))
     return c.least_loaded(t.app.filter("judge_id is null").select("competition_key", "application_id", "updated_at"), judges, key="competition_key", order=["updated_at", "application_id"])

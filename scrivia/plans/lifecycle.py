@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scrivia import constants as k
-from scrivia.operators import rules
+from scrivia.operators import evaluation, rules
 from scrivia.plans.registry import query
 
 
@@ -75,21 +75,40 @@ def d17_uniqueness_checks(t):
     return t.customer.join(taken, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.col("o_custkey").isNotNull().alias("rejected"))
 
 
-@query()
+_PAIRS = "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, own in k.COMPETITION_TRANSITIONS.items() for b in own) + ") tr(f, t)"
+_LOCKED = "('decisions_frozen', 'results_published', 'archived')"
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT user_id, event_id, [{", ".join(f"'{n}'" for n in k.COMPETITION_TRANSITIONS)}][row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) % 9 + 1] AS target, event_id % 3 AS unresolved, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+s AS (SELECT user_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS seq, CAST('' AS VARCHAR) AS target, CAST('' AS VARCHAR) AS before, CAST('draft_criteria' AS VARCHAR) AS after, false AS accepted FROM (SELECT DISTINCT user_id FROM events)
+UNION ALL SELECT c.user_id, c.n, c.event_id, c.target, s.after, CASE WHEN f IS NOT NULL AND NOT (c.target = 'decisions_frozen' AND unresolved > 0) THEN c.target ELSE s.after END, f IS NOT NULL AND NOT (c.target = 'decisions_frozen' AND unresolved > 0) FROM s JOIN c ON c.user_id = s.user_id AND c.n = s.n + 1 LEFT JOIN {_PAIRS} ON f = s.after AND t = c.target)
+SELECT user_id AS competition, seq, target, before, after, accepted, after IN {_LOCKED} AS locked FROM s WHERE n > 0""")
 def x1_competition_stages(t):
-    """Each user's events as stage commands; replayed in order against the transition table."""
+    """Each user's events as stage commands, replayed in order against the transition table; freezing waits until no application is open."""
     names = F.array(*map(F.lit, k.COMPETITION_TRANSITIONS))
     target = F.element_at(names, (F.pmod(F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")), F.lit(9)) + 1).cast("int"))
-    return rules.replay_stages(t.events.select(F.col("user_id").alias("competition"), F.col("event_id").alias("seq"), target.alias("target")))
+    return rules.replay_stages(t.events.select(F.col("user_id").alias("competition"), F.col("event_id").alias("seq"), target.alias("target"), (F.col("event_id") % 3).alias("unresolved")))
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+s AS (SELECT user_id, event_id, ts, n, ts AS start, 1 AS used, true AS allowed FROM c WHERE n = 1
+UNION ALL SELECT c.user_id, c.event_id, c.ts, c.n, CASE WHEN c.ts >= s.start + INTERVAL 1 HOUR THEN c.ts ELSE s.start END, CASE WHEN c.ts >= s.start + INTERVAL 1 HOUR THEN 1 ELSE least(s.used + 1, 2) END, c.ts >= s.start + INTERVAL 1 HOUR OR s.used < 2 FROM s JOIN c ON c.user_id = s.user_id AND c.n = s.n + 1)
+SELECT user_id, event_id, ts, allowed FROM s""")
 def x6_rate_limit(t):
     """Windows of an hour from a client's first request, two requests each."""
     return rules.rate_limited(t.events, client="user_id", ts="ts", tie="event_id", window_s=3600, most=2)
 
 
 @query()
+def x6_guarded_requests(t):
+    """Requests of eight servers with windows for a client and for all, and places at once; tested against a loop."""
+    rows = t.events.select((F.col("user_id") % 8).alias("server"), F.col("user_id").alias("client"), F.col("event_id").alias("seq"), "ts", F.when(F.col("event_type") == "view", "release").otherwise("acquire").alias("kind"))
+    return evaluation.guarded_requests(rows, server="server", client="client", seq="seq", ts="ts", kind="kind", window_s=86_400, most=3, most_all=20, at_once=2)
+
+
+@query("""WITH i AS (SELECT l_orderkey, list({'a': [l_partkey], 'b': [l_suppkey], 'o': [place]} ORDER BY place) AS items FROM (SELECT l_orderkey, l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate) AS place FROM lineitem) GROUP BY 1),
+o AS (SELECT l_orderkey, list_reduce(items, lambda acc, y: CASE WHEN list_has_any(acc.a, y.a) OR list_has_any(acc.b, y.b) THEN acc ELSE {'a': list_concat(acc.a, y.a), 'b': list_concat(acc.b, y.b), 'o': list_concat(acc.o, y.o)} END) AS k FROM i)
+SELECT l_orderkey, unnest(k.a) AS l_partkey, unnest(k.b) AS l_suppkey, unnest(k.o) AS place FROM o""")
 def w8_two_key_dedup(t):
     """Lines of an order kept unless part or supplier is that of a line kept before."""
     rows = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")).alias("place"))

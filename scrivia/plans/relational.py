@@ -8,6 +8,7 @@ from operator import and_
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from scrivia.functions import records as r
 from scrivia.functions import text as x
 from scrivia.operators.similarity import rounded
 from scrivia.plans.registry import query
@@ -56,9 +57,17 @@ def p5_participant_view(t):
     return t.app.select("application_id", "status", F.when(done, F.col("judge_id")).alias("judge_id"), F.when(done, F.col("amount")).otherwise(0.0).alias("amount"))
 
 
-@query("SELECT event_id, event_type, '' AS detail FROM events WHERE event_type = 'error' UNION ALL SELECT event_id, event_type, props FROM events WHERE event_type <> 'error'")
+@query("""SELECT l_orderkey AS id, string_agg(l_linenumber || ':' || l_returnflag || ':', ',' ORDER BY l_linenumber, l_returnflag) AS findings, 0 AS quotes, '' AS report_name, CASE WHEN l_orderkey % 2 = 0 THEN 'review' END AS similarity FROM lineitem GROUP BY 1""")
 def p6_redaction(t):
-    return t.events.select("event_id", "event_type", F.when(F.col("event_type") == "error", "").otherwise(F.col("props")).alias("detail"))
+    """Nested evaluations with every text blanked and every quotation emptied; states and verdicts stay."""
+    finding = F.struct("l_linenumber", F.col("l_returnflag").alias("verdict"), F.col("l_linestatus").alias("rationale"), F.array(F.lit("quote")).alias("evidence"))
+    similarity = F.when(F.col("id") % 2 == 0, F.struct(F.lit("review").alias("level"), F.lit("someone").alias("closest"), F.lit(40).alias("percent")))
+    docs = t.lineitem.groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(finding)).alias("findings"))
+    docs = docs.select("id", F.struct(F.struct(F.lit("rapor.pdf").alias("name")).alias("report"), "findings", similarity.alias("similarity")).alias("e"))
+    hidden = r.redacted_evaluation(F.col("e"))
+    shown = F.transform(hidden["findings"], lambda f: F.concat_ws(":", f["l_linenumber"].cast("string"), f["verdict"], f["rationale"]))
+    quotes = F.aggregate(hidden["findings"], F.lit(0), lambda n, f: n + F.size(f["evidence"]))
+    return docs.select("id", F.array_join(shown, ",").alias("findings"), quotes.alias("quotes"), hidden["report"]["name"].alias("report_name"), hidden["similarity"]["level"].alias("similarity"))
 
 
 @query("SELECT application_id, status FROM app WHERE status = 'submitted' AND judge_id IS NOT NULL AND amount > 0")
@@ -164,10 +173,10 @@ def j19_a7_judge_workload(t):
     return t.supplier.join(n, F.col("s_suppkey") == F.col("judge_id"), "left").select("s_suppkey", F.coalesce("o", F.lit(0)).alias("open_n"), F.coalesce("d", F.lit(0)).alias("done_n"))
 
 
-@query("SELECT n_name, p_partkey FROM nation JOIN part ON p_name LIKE lower(substr(n_name, 1, 1)) || '%' WHERE n_nationkey = 3")
+@query("SELECT n_name, p_partkey FROM nation JOIN part ON p_name LIKE lower(substr(n_name, 1, 1)) || '%'")
 def j21_prefix_theta_join(t):
-    few = F.broadcast(t.nation.filter("n_nationkey = 3"))
-    return t.part.join(few, F.startswith("p_name", F.lower(F.substring("n_name", 1, 1)))).select("n_name", "p_partkey")
+    """Every name that begins with a nation's letter; nations are twenty-five rows at every size."""
+    return t.part.join(F.broadcast(t.nation), F.startswith("p_name", F.lower(F.substring("n_name", 1, 1)))).select("n_name", "p_partkey")
 
 
 @query("""SELECT count(*) AS total, count(*) FILTER (status = 'submitted') AS submitted, count(*) FILTER (status = 'judge_in_review') AS in_review, count(*) FILTER (status = 'completed') AS completed,
@@ -267,10 +276,12 @@ def o1_o2_o5_recent(t):
     return t.app.orderBy(F.desc("updated_at"), "application_id").limit(60).select("application_id", "status", "updated_at")
 
 
-@query("SELECT s_suppkey, coalesce(o, 0) AS open_n FROM supplier LEFT JOIN (SELECT judge_id, count(*) AS o FROM app WHERE status <> 'completed' GROUP BY 1) ON s_suppkey = judge_id ORDER BY 2, s_suppkey LIMIT 1")
+@query("SELECT s_suppkey, coalesce(o, 0) AS open_n, coalesce(c, 0) > 0 AS scoped FROM supplier LEFT JOIN (SELECT judge_id, count(*) FILTER (status <> 'completed') AS o, count(*) FILTER (competition_key = '1-URGENT') AS c FROM app GROUP BY 1) ON s_suppkey = judge_id ORDER BY 2, 3 DESC, s_nationkey, s_suppkey LIMIT 1")
 def o7_least_loaded(t):
-    n = t.app.filter("status != 'completed'").groupBy("judge_id").agg(F.count("*").alias("o"))
-    return t.supplier.join(n, F.col("s_suppkey") == F.col("judge_id"), "left").select("s_suppkey", F.coalesce("o", F.lit(0)).alias("open_n")).orderBy("open_n", "s_suppkey").limit(1)
+    """The judge for the next application of a competition: fewest open files, then some file of it, then longest service, then id."""
+    n = t.app.groupBy("judge_id").agg(F.count_if(F.col("status") != "completed").alias("o"), F.count_if(F.col("competition_key") == "1-URGENT").alias("c"))
+    rows = t.supplier.join(n, F.col("s_suppkey") == F.col("judge_id"), "left").select("s_suppkey", "s_nationkey", F.coalesce("o", F.lit(0)).alias("open_n"), (F.coalesce("c", F.lit(0)) > 0).alias("scoped"))
+    return rows.orderBy("open_n", F.desc("scoped"), "s_nationkey", "s_suppkey").limit(1).drop("s_nationkey")
 
 
 @query("SELECT event_id, ts, event_type FROM events WHERE user_id = 8 ORDER BY ts, event_id LIMIT 200")
