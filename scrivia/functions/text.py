@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,7 +16,8 @@ from scrivia import constants as k
 
 def tr_lower(text: Column) -> Column:
     """Lower case by the Turkish rule: I to dotless i, I with dot to i."""
-    return F.lower(F.translate(F.replace(text, F.lit("İ"), F.lit("i")), "Iİ", "ıi"))
+    dotted = F.replace(F.replace(text, F.lit("İ"), F.lit("i")), F.lit("İ"), F.lit("i"))
+    return F.lower(F.replace(dotted, F.lit("I"), F.lit("ı")))
 
 
 def fold(text: Column) -> Column:
@@ -22,32 +25,47 @@ def fold(text: Column) -> Column:
     return F.translate(tr_lower(text), k.SEARCH_FROM, k.SEARCH_TO)
 
 
+def _letters_of(char: str) -> str:
+    """The ASCII letters and digits of a character's compatibility decomposition, other signs as spaces."""
+    marks = re.sub("[̀-ͯ]", "", unicodedata.normalize("NFKD", char.lower()))
+    return re.sub("[^a-z0-9]+", " ", marks.replace("ı", "i"))
+
+
+#: By rule: every character of the basic plane beyond ASCII that stands for letters or digits, one or several.
+_FOLDED = {c: own for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x10000))) if c not in "İ" and (own := _letters_of(c)).strip()}
+_ONE = {c: own for c, own in _FOLDED.items() if len(own) == 1}
+_MANY = {c: own for c, own in _FOLDED.items() if len(own) > 1}
+#: Ranges around the characters of _MANY; a text without any of them is not searched for each.
+_SPELLED = "[¼-¾Ĳ-ŉǄ-ǳẚ₨℀-↉⑩-⒵㉑-㋎㍘-㏿ﬀ-ﬆ]"
+
+
 def _plain(text: Column) -> Column:
-    return F.translate(F.regexp_replace(F.translate(tr_lower(text), k.ACCENTED + "ğş", k.PLAIN + "gs"), "[̀-ͯ]", ""), "ı", "i")
+    return F.replace(F.regexp_replace(F.translate(tr_lower(text), k.ACCENTED + "ğş", k.PLAIN + "gs"), "[̀-ͯ]", ""), F.lit("ı"), F.lit("i"))
 
 
 def fold_line(text: Column) -> Column:
-    """The fold of lines and chunk keys, for Latin script; fold_line_exact decomposes anything."""
-    return F.trim(F.regexp_replace(_plain(text), "[^a-z0-9]+", " "))
+    """The fold of lines, chunk keys and signatures: compatibility characters count as the letters and digits they stand for."""
+    pairs = F.array(*(F.struct(F.lit(c).alias("a"), F.lit(own).alias("b")) for c, own in _MANY.items()))
+    spelled = F.when(text.rlike(_SPELLED), F.aggregate(pairs, text, lambda acc, p: F.replace(acc, p["a"], p["b"]))).otherwise(text)
+    low = F.translate(tr_lower(spelled), "".join(_ONE), "".join(_ONE.values()))
+    return F.trim(F.regexp_replace(F.replace(F.regexp_replace(low, "[̀-ͯ]", ""), F.lit("ı"), F.lit("i")), "[^a-z0-9]+", " "))
 
 
 def fold_key(text: Column) -> Column:
-    """The fold of rule names: as fold_line, of canonical decompositions only."""
+    """The fold of rule names: canonical decompositions only, so ligatures, full-width letters and the like split words here, as any other sign does."""
     return F.trim(F.regexp_replace(_plain(text), "[^a-z0-9]+", " "))
 
 
 @F.pandas_udf(T.StringType())
 def fold_line_exact(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """fold_line by full Unicode decomposition."""
-    import re
-    import unicodedata
+    """fold_line by Python's own Unicode decomposition, also beyond the basic plane."""
 
     def one(text: str | None) -> str | None:
         if text is None:
             return None
         low = text.replace("İ", "i").replace("I", "ı").replace("İ", "i").lower()
         marks = re.sub("[̀-ͯ]", "", unicodedata.normalize("NFKD", low)).replace("ı", "i")
-        return " ".join(re.sub("[^a-z0-9çğıöşü]+", " ", marks).split())
+        return " ".join(re.sub("[^a-z0-9]+", " ", marks).split())
 
     for series in texts:
         yield series.map(one)
@@ -64,20 +82,26 @@ def words_of(text: Column) -> Column:
 
 
 def slug_key(*parts: Column) -> Column:
-    """Slugs of the parts that have one, joined by ` -- `-like dashes, at most 220 characters."""
+    """Slugs of the parts that have one, joined by two dashes, at most 220 characters; every run of other characters is one dash inside a slug."""
     slug = lambda p: F.regexp_replace(F.regexp_replace(fold(p), "[^a-z0-9]+", "-"), "^-|-$", "")
     return F.substring(F.concat_ws("--", *(F.when(slug(p) != "", slug(p)) for p in parts)), 1, 220)
 
 
+_LETTER = "[a-zçğıöşüâîû0-9]"
+
+
+def _hits(text: Column, words: tuple[str, ...]) -> Column:
+    """How many words of a lower-cased text are of the list."""
+    return F.regexp_count(text, F.lit(f"(?<!{_LETTER})(?:{'|'.join(words)})(?!{_LETTER})"))
+
+
 def detect_language(text: Column) -> Column:
     """tr, en or unknown."""
-    words, low = words_of(text), F.lower(text)
-    english_words = F.filter(F.split(low, "[^a-zçğıöşüâîû0-9]+"), lambda w: w != "")
-    letters = F.regexp_count(low, F.lit("[çğıöşü]"))
-    turkish = F.size(F.filter(words, lambda w: w.isin(*k.TURKISH_STOPWORDS)))
-    english = F.size(F.filter(english_words, lambda w: w.isin(*k.ENGLISH_STOPWORDS)))
+    turkic, low = tr_lower(text), F.lower(text)
+    words, letters = F.regexp_count(turkic, F.lit(f"{_LETTER}+")), F.regexp_count(low, F.lit("[çğıöşü]"))
+    turkish, english = _hits(turkic, k.TURKISH_STOPWORDS), _hits(low, k.ENGLISH_STOPWORDS)
     score = turkish + F.when(turkish == 0, F.lit(0.0)).otherwise(F.least(letters / 40, (turkish + 5).cast("double")))
-    return F.when(F.size(words) < 40, "unknown").when(score > english, "tr").when(english > score, "en").otherwise("unknown")
+    return F.when(words < 40, "unknown").when(score > english, "tr").when(english > score, "en").otherwise("unknown")
 
 
 def expected_language_code(expected: Column) -> Column:

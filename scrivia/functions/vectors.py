@@ -22,18 +22,20 @@ def signature_of(words: list[str]) -> list[int]:
     shingles = list(dict.fromkeys(" ".join(words[i : i + width]) for i in range(len(words) - width + 1)))[: k.MOST_SHINGLES]
     seeds = (np.arange(k.MINHASH_SEEDS, dtype=np.uint64) * np.uint64(0x9E3779B1)) & np.uint64(0xFFFFFFFF)
     for a in range(0, len(shingles), 1024):
-        part = [np.frombuffer(s.encode("utf-16-le"), np.uint16) for s in shingles[a : a + 1024]]
-        order = sorted(range(len(part)), key=lambda i: -len(part[i]))
-        long = np.array([len(part[i]) for i in order])
-        units = np.zeros((len(part), int(long[0])), np.uint32)
-        for row, i in enumerate(order):
-            units[row, : len(part[i])] = part[i]
-        h = np.broadcast_to((np.uint64(2166136261) ^ seeds).astype(np.uint32), (len(part), k.MINHASH_SEEDS)).copy()
-        for c in range(units.shape[1]):
-            n = int(np.searchsorted(-long, -c))  # rows that still have a character here
-            h[:n] = (h[:n] ^ units[:n, c, None]) * np.uint32(16777619)
+        part = sorted((s.encode("utf-16-le") for s in shingles[a : a + 1024]), key=len, reverse=True)
+        long = np.array([len(s) for s in part]) // 2
+        units = np.zeros((int(long[0]), len(part)), np.uint32)
+        flat = np.frombuffer(b"".join(part), np.uint16)
+        row = np.repeat(np.arange(len(part)), long)
+        units[np.arange(len(flat)) - np.repeat(np.cumsum(long) - long, long), row] = flat
+        h = np.repeat((np.uint64(2166136261) ^ seeds).astype(np.uint32)[:, None], len(part), axis=1)
+        left = len(part) - np.searchsorted(long[::-1], np.arange(len(units)), side="right")  # rows that still have a character here
+        for c, n in enumerate(left):
+            own = h[:, :n]
+            np.bitwise_xor(own, units[c, :n], out=own)
+            np.multiply(own, np.uint32(16777619), out=own)
         h ^= h >> np.uint32(16)
-        out = np.minimum(out, h.min(0).astype(np.uint64))
+        out = np.minimum(out, h.min(1).astype(np.uint64))
     return out.astype(np.int64).tolist()
 
 
@@ -46,9 +48,10 @@ def fnv1a(text: Column, seed: Column) -> Column:
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
-def min_hash(words: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for series in words:
-        yield series.map(signature_of)
+def min_hash(folded: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Signatures of folded texts, over their words of two characters or more."""
+    for series in folded:
+        yield series.map(lambda text: signature_of([w for w in (text or "").split(" ") if len(w) > 1]))
 
 
 def minhash_similarity(a: Column, b: Column) -> Column:

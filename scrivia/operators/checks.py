@@ -96,35 +96,6 @@ def ranked_search(entries: DataFrame, wanted: str, *, name_col: str, field_col:
     return best.join(F.broadcast(ranked.agg(F.count("*").alias("total"))))
 
 
-def lexical_chunk_matches(own: DataFrame, peers: DataFrame) -> DataFrame:
-    """own (scope, own_id, own_idx, word_count, sig), peers (scope, peer_id, peer_idx, psig): each own chunk's best match in each peer.
-
-    Signatures are joined cell by cell, (seed, value) inside a scope; the number of common cells is the similarity itself, so no pair
-    without a common cell is ever formed. Greater strength, then greater similarity, then the earlier chunk.
-    """
-    a = own.select("scope", "own_id", "own_idx", "word_count", F.posexplode("sig").alias("seed", "value"))
-    b = peers.select(F.col("scope").alias("_s"), "peer_id", "peer_idx", F.posexplode("psig").alias("_seed", "_value"))
-    met = a.join(b, F.col("scope").eqNullSafe(F.col("_s")) & (F.col("seed") == F.col("_seed")) & (F.col("value") == F.col("_value")) & (F.col("own_id") != F.col("peer_id")))
-    scored = met.groupBy("own_id", "own_idx", "word_count", "peer_id", "peer_idx").agg((F.count("*") / k.MINHASH_SEEDS).alias("lexical"))
-    scored = scored.withColumn("m", v.match_strength(F.col("lexical"), F.lit(None).cast("double"))).filter("m is not null")
-    best = F.max_by(F.struct("peer_idx", "lexical", "m"), F.struct(F.col("m.strength"), F.col("lexical"), -F.col("peer_idx")))
-    return scored.groupBy("own_id", "own_idx", "word_count", "peer_id").agg(best.alias("b")).select("own_id", "own_idx", "word_count", "peer_id", "b.peer_idx", "b.lexical", "b.m.kind", "b.m.strength")
-
-
-def pool_ranking(own: DataFrame, matches: DataFrame, ids: DataFrame | None = None) -> DataFrame:
-    """(own_id, peer_id, percent, level): each report's closest peer by covered words, the least peer of equals; null and normal where none matches.
-
-    ids (own_id): the reports that get a row, also those too short for a chunk; else those of own.
-    """
-    total = own.groupBy("own_id").agg(F.sum("word_count").alias("_all"))
-    if ids is not None:
-        total = ids.join(total, "own_id", "left")
-    hit = matches.groupBy("own_id", "peer_id").agg(F.sum(F.col("word_count") * F.col("strength")).alias("_hit")).withColumnRenamed("own_id", "_own")
-    top = hit.groupBy("_own").agg(F.max_by("peer_id", F.struct("_hit", -F.col("peer_id"))).alias("peer_id"), F.max("_hit").alias("_hit"))
-    percent = F.coalesce(rounded(F.col("_hit") / F.col("_all") * 100), F.lit(0)).cast("int")
-    return total.join(top, F.col("own_id") == F.col("_own"), "left").select("own_id", "peer_id", percent.alias("percent"), v.similarity_level(percent, F.lit(0.0)).alias("level"))
-
-
 def numbered(rows: DataFrame, key: str, order: list[str], *, parts: int = 0) -> DataFrame:
     """rows with `_n`, their place within key from 0, without gathering a key in one task: ranges are counted first, then numbered one by one."""
     parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -26,7 +26,7 @@ def chunks(reports: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
 
 
 def document_signatures(reports: DataFrame, *, id_col: str, text_col: str, scope_col: str) -> DataFrame:
-    return reports.select(id_col, scope_col, v.min_hash(x.normalized_words(F.col(text_col))).alias("signature"))
+    return reports.select(id_col, scope_col, v.min_hash(x.fold_line(F.col(text_col))).alias("signature"))
 
 
 def lsh_peers(signed: DataFrame, *, id_col: str, scope_col: str, rows: int = 2) -> DataFrame:
@@ -103,22 +103,107 @@ def template_chunks(counted: DataFrame, pool: int) -> DataFrame:
     return counted.withColumn("is_template", F.lit(pool >= 2) & (F.col("seen") >= F.greatest(F.lit(2), F.ceil(F.lit(0.5 * pool)))))
 
 
-def best_chunk_matches(own: DataFrame, peers: DataFrame) -> DataFrame:
-    """own (own_id, own_idx, word_count, sig, emb, template), peers (peer_id, peer_idx, psig, pemb) to each chunk's best match.
+def agreeing(own: DataFrame, peers: DataFrame) -> DataFrame:
+    """own (scope, own_id, own_idx, sig), peers (scope, peer_id, peer_idx, psig): pairs inside a scope with `lexical` above 0.
 
-    Greater strength, then greater lexical similarity, then the earlier peer chunk.
+    Signatures are joined cell by cell, (seed, value); the number of common cells is the similarity itself, so no pair without a common cell is ever formed.
     """
-    scored = own.filter(~F.col("template")).join(peers, F.col("own_id") != F.col("peer_id"))
-    scored = scored.withColumn("lexical", v.minhash_similarity(F.col("sig"), F.col("psig"))).withColumn("m", v.match_strength(F.col("lexical"), v.cosine(F.col("emb"), F.col("pemb")))).filter("m is not null")
-    best = Window.partitionBy("own_id", "peer_id", "own_idx").orderBy(F.desc("m.strength"), F.desc("lexical"), "peer_idx")
-    return scored.withColumn("_r", F.row_number().over(best)).filter("_r = 1").select("own_id", "own_idx", "peer_id", "peer_idx", "word_count", "lexical", "m.kind", "m.strength")
+    a = own.select("scope", "own_id", "own_idx", F.posexplode("sig").alias("seed", "value"))
+    b = peers.select(F.col("scope").alias("_s"), "peer_id", "peer_idx", F.posexplode("psig").alias("_seed", "_value"))
+    met = a.join(b, F.col("scope").eqNullSafe(F.col("_s")) & (F.col("seed") == F.col("_seed")) & (F.col("value") == F.col("_value")) & (F.col("own_id") != F.col("peer_id")))
+    return met.groupBy("own_id", "own_idx", "peer_id", "peer_idx").agg((F.count("*") / k.MINHASH_SEEDS).alias("lexical"))
 
 
-def coverage(own: DataFrame, matches: DataFrame) -> DataFrame:
-    """(own_id, peer_id, percent): matched words by strength over the report's own words outside templates."""
-    total = own.filter(~F.col("template")).groupBy("own_id").agg(F.sum("word_count").alias("_all"))
-    hit = matches.groupBy("own_id", "peer_id").agg(F.sum(F.col("word_count") * F.col("strength")).alias("_hit"))
-    return hit.join(total, "own_id").select("own_id", "peer_id", rounded(F.col("_hit") / F.col("_all") * 100).cast("int").alias("percent"))
+def chunk_scores(own: DataFrame, peers: DataFrame, *, semantic: bool) -> DataFrame:
+    """Pairs of chunks with lexical and semantic similarity; semantic ones need every pair of a query's scope, since vectors have no cells to join by."""
+    if not semantic:
+        return agreeing(own, peers).withColumn("semantic", F.lit(None).cast("double"))
+    b = peers.select(F.col("scope").alias("_s"), "peer_id", "peer_idx", "psig", "pemb")
+    pairs = own.join(b, F.col("scope").eqNullSafe(F.col("_s")) & (F.col("own_id") != F.col("peer_id")))
+    return pairs.select("own_id", "own_idx", "peer_id", "peer_idx", v.minhash_similarity(F.col("sig"), F.col("psig")).alias("lexical"), v.cosine(F.col("emb"), F.col("pemb")).alias("semantic"))
+
+
+def best_chunk_matches(scores: DataFrame) -> DataFrame:
+    """Each own chunk's best match in each peer: greater strength, then greater lexical similarity, then the earlier chunk; weak pairs are none."""
+    scored = scores.withColumn("m", v.match_strength(F.col("lexical"), F.col("semantic"))).filter("m is not null")
+    best = F.max_by(F.struct("peer_idx", "lexical", "m"), F.struct(F.col("m.strength"), F.col("lexical"), -F.col("peer_idx"))).alias("b")
+    return scored.groupBy("own_id", "own_idx", "peer_id").agg(best).select("own_id", "own_idx", "peer_id", "b.peer_idx", "b.lexical", "b.m.kind", "b.m.strength")
+
+
+def template_marks(signed: DataFrame) -> DataFrame:
+    """(scope, hash, holders, mark): 2 where a chunk is a template for every report, 1 where only for those that do not hold it themselves.
+
+    A template stands in half of a pool of two or more, and at least in two peers; a report does not count among its own peers.
+    """
+    holders = signed.groupBy("scope", "hash").agg(F.count_distinct("id").alias("holders"))
+    pool = signed.groupBy(F.col("scope").alias("_s")).agg(F.count_distinct("id").alias("_pool"))
+    least = F.greatest(F.lit(2), F.ceil(0.5 * F.col("_pool")))
+    marked = holders.join(F.broadcast(pool), F.col("scope").eqNullSafe(F.col("_s")))
+    return marked.select("scope", "hash", "holders", F.when(F.col("_pool") < 2, 0).when(F.col("holders") > least, 2).when(F.col("holders") == least, 1).otherwise(0).alias("mark"))
+
+
+def report_similarity(reports: DataFrame, own: Column, *, id_col: str = "doc_id", text_col: str = "text", scope_col: str = "lang", embeddings: DataFrame | None = None) -> DataFrame:
+    """(own_id, compared, peer_id, percent, level, matches) of each report that `own` picks, against all reports of its scope.
+
+    Chunks cover a report's own words by the strength of their best match; templates count on neither side. Peers too short for chunks are compared by
+    whole signatures, and so is the best peer, to lift the level where chunks agree. Of equals the least id counts. level is none without peers.
+    matches: the three best of the closest peer, with quotations, unless the level is normal. embeddings: (id, chunk_index, emb), optional.
+    """
+    named = reports.select(F.col(id_col).alias("id"), F.col(scope_col).alias("scope"), F.col(text_col).alias("text"), own.alias("own"))
+    cut_up = chunks(named, id_col="id", text_col="text")
+    sig = v.min_hash(x.fold_line(F.col("chunk")))
+    signed = cut_up.join(named.select("id", "scope", "own"), "id").select("scope", "id", "own", "chunk_index", "word_count", F.sha2("chunk", 256).alias("hash"), F.substring("chunk", 1, 400).alias("head"), sig.alias("sig"))
+    if embeddings is not None:
+        signed = signed.join(embeddings.select("id", "chunk_index", "emb"), ["id", "chunk_index"], "left")
+    signed = cut(signed)
+    whole = cut(named.select("scope", "id", "own", v.min_hash(x.fold_line(F.col("text"))).alias("sig")))
+    marks = template_marks(signed)
+    marks = marks.select(F.col("scope").alias("_s"), F.col("hash").alias("_h"), "mark")
+    marked = signed.join(marks, F.col("scope").eqNullSafe(F.col("_s")) & (F.col("hash") == F.col("_h"))).drop("_s", "_h")
+
+    mine = marked.filter("own").select("scope", F.col("id").alias("own_id"), F.col("chunk_index").alias("own_idx"), "word_count", "hash", "sig", F.col("mark").alias("_mark"), *(["emb"] if embeddings is not None else []))
+    mine = mine.filter("_mark < 2")  # a report that holds a chunk of mark 1 has one peer too few for a template
+    theirs = marked.filter("mark < 2").select("scope", F.col("id").alias("peer_id"), F.col("chunk_index").alias("peer_idx"), F.col("sig").alias("psig"), F.when(F.col("mark") == 1, F.col("hash")).alias("border"), *([F.col("emb").alias("pemb")] if embeddings is not None else []))
+    scores = chunk_scores(mine, theirs, semantic=embeddings is not None)
+    borders = theirs.filter("border is not null").select(F.col("peer_id").alias("_p"), F.col("peer_idx").alias("_i"), "border")
+    held = signed.filter("own").select(F.col("id").alias("_o"), F.col("hash").alias("_h")).distinct()
+    scores = scores.join(borders, (F.col("peer_id") == F.col("_p")) & (F.col("peer_idx") == F.col("_i")), "left").join(held, (F.col("own_id") == F.col("_o")) & (F.col("border") == F.col("_h")), "left")
+    matches = cut(best_chunk_matches(scores.filter("border is null or _h is not null")))
+
+    total = mine.groupBy(F.col("own_id").alias("_t")).agg(F.sum("word_count").alias("_all"))
+    words = mine.select(F.col("own_id").alias("_w"), F.col("own_idx").alias("_x"), "word_count")
+    hit = matches.join(words, (F.col("own_id") == F.col("_w")) & (F.col("own_idx") == F.col("_x"))).groupBy("own_id", "peer_id").agg(F.sum(F.col("word_count") * F.col("strength")).alias("_hit"))
+    percent = F.least(F.lit(100), rounded(F.col("_hit") / F.col("_all") * 100))
+    ranked = hit.join(total, F.col("own_id") == F.col("_t")).select("own_id", "peer_id", percent.alias("p"))
+    top = ranked.groupBy("own_id").agg(F.max_by(F.struct("peer_id", "p"), F.struct("p", -F.col("peer_id"))).alias("top"))
+
+    long = signed.select("id").distinct().withColumn("long", F.lit(True)).withColumnRenamed("id", "_l")
+    docs = cut(whole.join(long, F.col("id") == F.col("_l"), "left").select("scope", "id", "own", "sig", F.coalesce("long", F.lit(False)).alias("long")))
+    least = docs.withColumn("_r", F.row_number().over(Window.partitionBy("scope", "long").orderBy("id"))).filter("_r <= 2").groupBy(F.col("scope").alias("_s")).agg(
+        F.array_sort(F.collect_list(F.when(F.col("long"), F.col("id")))).alias("long_ids"), F.array_sort(F.collect_list(F.when(~F.col("long"), F.col("id")))).alias("short_ids"))
+    size = docs.groupBy(F.col("scope").alias("_z")).agg(F.count("*").alias("n"))
+    short = docs.filter("not long").select("scope", F.col("id").alias("peer_id"), F.lit(0).alias("peer_idx"), F.col("sig").alias("psig"))
+    asked = docs.filter("own").select("scope", F.col("id").alias("own_id"), F.lit(0).alias("own_idx"), "sig")
+    prints = agreeing(asked, short).groupBy("own_id").agg(F.max_by(F.struct("peer_id", "lexical"), F.struct("lexical", -F.col("peer_id"))).alias("print"))
+
+    rows = asked.join(F.broadcast(least), F.col("scope").eqNullSafe(F.col("_s"))).join(F.broadcast(size), F.col("scope").eqNullSafe(F.col("_z"))).join(top, "own_id", "left").join(prints, "own_id", "left")
+    other = lambda ids: F.get(F.filter(ids, lambda i: i != F.col("own_id")), F.lit(0))
+    rows = rows.select("own_id", (F.col("n") - 1).alias("compared"), "sig", F.coalesce("top.peer_id", other("long_ids")).alias("chunk_peer"), F.coalesce("top.p", F.lit(0)).alias("p"), F.col("top").isNotNull().alias("agree"), F.coalesce("print.peer_id", other("short_ids")).alias("print_peer"), F.coalesce("print.lexical", F.lit(0.0)).alias("lexical"))
+    best = docs.select(F.col("id").alias("_b"), F.col("sig").alias("bsig"))
+    rows = rows.join(best, F.col("chunk_peer") == F.col("_b"), "left")
+    printed = rounded(F.col("lexical") * 100)
+    lift = F.when(F.col("agree"), v.minhash_similarity(F.col("sig"), F.col("bsig"))).otherwise(F.col("lexical"))
+    share = F.greatest(F.col("p"), printed)
+    peer = F.when(printed > F.col("p"), F.col("print_peer")).otherwise(F.coalesce("chunk_peer", "print_peer"))
+    none = F.col("compared") == 0
+    rows = rows.select("own_id", "compared", peer.alias("peer_id"), "chunk_peer", F.when(~none, share).cast("int").alias("percent"), F.when(none, "none").otherwise(v.similarity_level(share, lift)).alias("level"))
+
+    order = F.row_number().over(Window.partitionBy("own_id").orderBy(F.desc("strength"), F.desc("lexical"), "own_idx"))
+    shown = matches.join(rows.filter("level in ('review', 'high')").select(F.col("own_id").alias("_o"), F.col("chunk_peer").alias("_c")), (F.col("own_id") == F.col("_o")) & (F.col("peer_id") == F.col("_c"))).withColumn("_n", order).filter("_n <= 3")
+    text = signed.select(F.col("id").alias("_d"), F.col("chunk_index").alias("_i"), x.quote_of(F.col("head")).alias("quote"))
+    shown = shown.join(text.withColumnRenamed("quote", "own_quote"), (F.col("own_id") == F.col("_d")) & (F.col("own_idx") == F.col("_i"))).drop("_d", "_i").join(text.withColumnRenamed("quote", "peer_quote"), (F.col("peer_id") == F.col("_d")) & (F.col("peer_idx") == F.col("_i")))
+    listed = shown.groupBy(F.col("own_id").alias("_o")).agg(F.array_sort(F.collect_list(F.struct("_n", "kind", "own_idx", "peer_idx", "own_quote", "peer_quote"))).alias("matches"))
+    return rows.join(listed, F.col("own_id") == F.col("_o"), "left").select("own_id", "compared", "peer_id", "percent", "level", "matches")
 
 
 def precheck_shingles(text: Column) -> Column:

@@ -105,7 +105,7 @@ def test_report_similarity_has_a_row_for_short_reports(spark, tmp_path):
     words = " ".join(f"w{i}" for i in range(60))
     docs = [(100, "too short for a chunk", "en"), (200, words, "en"), (201, words, "en"), (300, None, None)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
-    rows = QUERIES["t5_t6_report_similarity"](spark, str(tmp_path)).collect()
+    rows = QUERIES["t5_t6_w2_w3_o11_report_similarity"](spark, str(tmp_path)).collect()
     assert sorted((r.own_id, r.peer_id, r.percent, r.level) for r in rows) == [(100, None, 0, "normal"), (200, 201, 100, "high"), (300, None, 0, "normal")]
 
 
