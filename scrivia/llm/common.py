@@ -69,10 +69,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def bucket_bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket begins in sorted keys: bucket b holds the b-th equal share of the 64-bit range."""
-    edges = np.array([(b << 64) // buckets for b in range(buckets)], dtype=np.uint64)
-    return np.append(np.searchsorted(keys, edges), len(keys))
+def reached(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the buckets that sorted keys reach, where each begins, and the end): bucket b holds about the b-th equal share of the 64-bit range.
+
+    Only buckets with keys are looked at, so the work follows the keys and not the number of buckets.
+    """
+    own = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    return own[first].astype(np.int64), np.append(first, len(keys))
 
 
 def packed_keys(keys: np.ndarray) -> bytes:
@@ -87,9 +91,8 @@ def unpacked_keys(blob: bytes) -> np.ndarray:
 
 def by_bucket(block: int, keys: np.ndarray, values: np.ndarray, buckets: int) -> pa.Table:
     """One row for each bucket of the key range that sorted keys reach: what a block asks of that bucket."""
-    edge = bucket_bounds(keys, buckets)
-    own = [b for b in range(buckets) if edge[b] < edge[b + 1]]
-    cuts = lambda x, form: pa.array([form(x[edge[b] : edge[b + 1]]) for b in own], pa.binary())
+    own, edge = reached(keys, buckets)
+    cuts = lambda x, form: pa.array([form(x[i:j]) for i, j in zip(edge, edge[1:])], pa.binary())
     return pa.table([pa.array([block] * len(own), pa.int32()), pa.array(own, pa.int32()), cuts(keys, packed_keys), cuts(values, bytes)], names=["_block", "bucket", "keys", "found"])
 
 

@@ -243,15 +243,17 @@ def test_op8_equals_all_windows(spark, documents):
     assert found == repeats_brute({i: t.encode() for i, t in documents.items()}, 400)
 
 
-def test_op8_many_blocks_and_runs(spark):
-    """Small blocks, overlapping repeats, periods, runs of one byte and texts just around the length."""
+@pytest.mark.parametrize("group_phrases", [4096, 2])
+def test_op8_many_blocks_and_runs(spark, group_phrases):
+    """Small blocks, overlapping repeats, periods, zero bytes, runs of one byte and texts just around the length; cores of few and of too many surroundings."""
     r = np.random.default_rng(5)
     word = lambda n: "".join(map(chr, r.integers(97, 123, n)))
     shared = [word(450), word(401), word(400), word(399)]
     texts = [word(r.integers(0, 700)) + shared[r.integers(0, 4)] + word(r.integers(0, 500)) for _ in range(60)]
     texts += ["a" * 400, "a" * 401, "b" * 400, "ab" * 500, "", "é" * 350, "é" * 200, word(400), *[shared[2]] * 3, texts[0]]
+    texts += ["\0" * 300 + shared[0] + "\0" * 300, "\0" * 120 + shared[0] + "\0" * 90, "x" + "\0" * 120 + shared[0][:340]]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    found = suffix_dedup.remove_repeats(rows, block_bytes=9_000, bucket_bytes=9_000).collect()
+    found = suffix_dedup.remove_repeats(rows, block_bytes=9_000, bucket_bytes=9_000, group_phrases=group_phrases).collect()
     got = {x.doc_id: (x.n_bytes, sum(s["end"] - s["begin"] for s in x.spans), len(x.spans), hashlib.sha256(bytes(x.kept)).hexdigest()) for x in found}
     assert got == repeats_brute({i: t.encode() for i, t in enumerate(texts)}, 400)
 
