@@ -172,17 +172,18 @@ def _compare(threshold: float, tolerance: float, size: int):
 def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, tolerance: float = 1e-6, group_nodes: int = 1024) -> DataFrame:
     """(id_col, class_id, n_links) of every row: its class and how many other rows are at least as similar as the threshold."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             sets = [shingles(t, shingle) for t in texts(batch.column(1))]
             band = [bands(min_hash(s)) if len(s) else [] for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([node_of(s) for s in sets], pa.int64()), pa.array(band, pa.list_(pa.int64()))], names=["id", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([node_of(s) for s in sets], pa.int64()), pa.array(band, pa.list_(pa.int64()))], names=["id", "mark", "node", "bands"])
 
-    described = cut(rows.mapInArrow(describe, f"id {id_type}, node long, bands array<long>"))
+    described = cut(rows.mapInArrow(describe, f"id {id_type}, mark long, node long, bands array<long>"))
     named = described.select("id", "node")
-    nodes = named.filter("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.min("id").alias("rep"))
+    # class ids are the least ids; the row that shows a node is found by text and id, since ids may be null or stand on many texts
+    nodes = described.filter("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.min("id").alias("rep"), F.min(F.struct("mark", "id")).alias("shown"))
 
     proposed = described.select("node", F.explode("bands").alias("band"))
     meeting = proposed.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a != z").select(F.col("band").alias("_band"), "a")
@@ -191,9 +192,10 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     sizes = groups.groupBy(F.col("group").alias("_group")).agg(F.ceil(F.count("*") / group_nodes).cast("int").alias("blocks"))
     member = groups.join(sizes, F.col("group") == F.col("_group")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    member = member.join(nodes.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"))
+    member = member.join(nodes.select(F.col("node").alias("_node"), "copies", "shown"), F.col("node") == F.col("_node"))
     task = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("low"), F.greatest(o, F.col("block")).alias("high")))
-    dealt = rows.join(member.select("group", "node", "copies", "rep", "block", "blocks"), F.col("id").eqNullSafe(F.col("rep")))
+    of = member.select("group", "node", "copies", F.col("shown.mark").alias("_mark"), F.col("shown.id").alias("_id"), "block", "blocks")
+    dealt = rows.join(of, (F.col("mark") == F.col("_mark")) & F.col("id").eqNullSafe(F.col("_id")))
     dealt = dealt.select("group", "node", "copies", "block", "text", F.explode(task).alias("task")).select("group", F.col("task.low").alias("low"), F.col("task.high").alias("high"), "node", "copies", "block", "text")
     found = cut(dealt.groupBy("group", "low", "high").applyInArrow(_compare(threshold, tolerance, shingle), "node long, links long, root long"))
 

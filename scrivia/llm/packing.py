@@ -1,21 +1,21 @@
 """Best-fit packing of token sequences, improved by swap-based local search.
 
-`tokenise` turns whole texts into token ids and cuts only documents longer than a sequence;
-`pack` places pieces. Pieces are dealt by hash into shards of a stated size whose number grows
-with the input, so no task sees more than one shard; inside a shard pieces go into the
-tightest bin that fits (largest first), then underfull bins exchange documents one for one or two for one, or move
-them, whenever the sum of squared fills rises, until bins empty or the lower bound is reached.
-
-Defined results: a null or empty text is the single closing id; equal rows are packed each for
-itself; an empty table packs into nothing; a null id is carried along.
+`tokenise` turns whole texts into token ids and cuts only documents longer than a sequence; `pack` places pieces. Pieces are dealt evenly into shards of a
+stated size whose number grows with the input, so no task sees more than one shard. Inside a shard pieces go into the tightest bin that fits, largest
+first; then underfull bins exchange documents one for one or two for one, or move them, each time raising the sum of squared fills, until the lower
+bound is reached or no bin has an exchange left. The least filled bin of every shard goes into a second round of shards, so that shards do not each keep a remainder.
+
+Defined results: a null or empty text is the single closing id; equal rows are packed each for itself, whatever their ids; of bins or pieces of equal size any
+comes first; an empty table packs into nothing; a null id is carried along; a very long text is cut into as many pieces as it needs; other columns of pieces pass, but for
+sequence_id, offset and those that begin with `_shard`.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import math
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -133,83 +133,162 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _exchange(a: list[int], b: list[int], room: int, size: list[int]) -> tuple[tuple[int, ...], tuple[int, ...]] | None:
-    """What bin a gives b and gets back so that b gains most within its room: a move, one for one, two for one or one for two."""
-    best, chosen = 0, None
-    gives = [(i,) for i in a] + list(combinations(a, 2))
-    for give in gives:
-        given = sum(size[i] for i in give)
-        gets = [(), *((j,) for j in b)] + (list(combinations(b, 2)) if len(give) == 1 else [])
-        for get in gets if len(give) == 1 else gets[1:]:
-            gain = given - sum(size[j] for j in get)
-            if best < gain <= room:
-                best, chosen = gain, (give, get)
-                if gain == room:
-                    return chosen
-    return chosen
+class LocalSearch:
+    """Underfull bins, indexed by what they could give: for each sum of one or two of its pieces, the bins that hold it, roomiest first.
 
-
-def local_search(bins: list[list[int]], size: list[int], capacity: int, rounds: int = 8, tries: int = 64) -> list[list[int]]:
-    """Empties the least filled bins into other underfull ones; each exchange raises the sum of squared fills.
-
-    tries bounds how many partners a bin looks at in one round, fullest first; rounds ends the search.
+    An exchange gives the least filled bins' pieces to a bin with room and takes less in return, so fills grow apart and low bins empty. For what a bin may give
+    one look at the index finds the greatest gain over all underfull bins; no partner is left out.
     """
-    need = math.ceil(sum(size) / capacity)
-    fill = [sum(size[i] for i in b) for b in bins]
-    for _ in range(rounds):
-        if sum(map(bool, bins)) <= need:
-            break
-        changed = False
-        under = sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity), key=lambda b: (fill[b], b))
-        for k, low in enumerate(under):
-            if sum(map(bool, bins)) <= need:
-                break
-            for high in under[: k : -1][:tries]:
-                if not bins[low]:
+
+    def __init__(self, bins: list[list[int]], size: list[int], capacity: int):
+        self.bins, self.size, self.capacity = bins, size, capacity
+        self.fill = [sum(size[i] for i in b) for b in bins]
+        self.version = [0] * len(bins)
+        self.held: list[list[tuple[int, int, int]]] = [[] for _ in range(capacity + 1)]
+        self.room = np.zeros(capacity + 1, np.int64)  # for each sum, the greatest room of a bin that holds it
+        for b in range(len(bins)):
+            self._enter(b)
+
+    def _parts(self, b: int) -> dict[int, tuple[int, ...]]:
+        """Sums of no, one or two pieces of a bin, each with an example."""
+        by_size = {}
+        for i in self.bins[b]:
+            by_size.setdefault(self.size[i], []).append(i)
+        kinds = sorted(by_size)
+        parts: dict[int, tuple[int, ...]] = {0: ()}
+        for x, n in enumerate(kinds):
+            for m in kinds[x:]:
+                if m > n or len(by_size[n]) > 1:
+                    parts[n + m] = (by_size[n][0], by_size[m][1 if m == n else 0])
+        parts.update((n, (by_size[n][0],)) for n in kinds)
+        return parts
+
+    def _enter(self, b: int) -> None:
+        room = self.capacity - self.fill[b]
+        if room and self.bins[b]:
+            for s in self._parts(b):
+                if s <= self.capacity:
+                    heapq.heappush(self.held[s], (-room, b, self.version[b]))
+                    self.room[s] = max(self.room[s], room)
+
+    def _top(self, s: int, but: int) -> int | None:
+        """The roomiest bin but one that holds the sum."""
+        heap, aside = self.held[s], None
+        while heap and (heap[0][2] != self.version[heap[0][1]] or heap[0][1] == but):
+            gone = heapq.heappop(heap)
+            if gone[1] == but and gone[2] == self.version[but]:
+                aside = gone
+        found = heap[0][1] if heap else None
+        if aside:
+            heapq.heappush(heap, aside)
+        self.room[s] = self.capacity - self.fill[heap[0][1]] if heap else 0
+        return found
+
+    def best(self, low: int) -> tuple[int, int, tuple[int, ...], int] | None:
+        """(gain, partner, what low gives, the sum it takes) of the greatest gain for the partner; not two for two."""
+        chosen = None
+        for given, give in self._parts(low).items():
+            if not give:
+                continue
+            sums = np.flatnonzero(self.room[:given] >= given - np.arange(given))
+            for take in sums.tolist():
+                if chosen and given - take <= chosen[0]:
                     break
-                if fill[high] < fill[low] or fill[high] == capacity or not bins[high]:
+                partner = self._top(take, low)
+                if partner is None or self.capacity - self.fill[partner] < given - take or self.fill[partner] + given - take <= self.fill[low]:
+                    continue
+                if len(give) == 2 and len(self._parts(partner)[take]) == 2:
                     continue
-                if found := _exchange(bins[low], bins[high], capacity - fill[high], size):
-                    give, get = found
-                    bins[low] = [i for i in bins[low] if i not in give] + list(get)
-                    bins[high] = [j for j in bins[high] if j not in get] + list(give)
-                    gain = sum(size[i] for i in give) - sum(size[j] for j in get)
-                    fill[low] -= gain
-                    fill[high] += gain
-                    changed = True
-            if k >= 4 * tries:
+                chosen = (given - take, partner, give, take)
                 break
-        if not changed:
-            break
-    return [b for b in bins if b]
-
-
-def pack(pieces: DataFrame, *, capacity: int = 1024, length_col: str = "length", by: tuple[str, ...] = ("doc_id", "piece"), shard_pieces: int = 32_768) -> DataFrame:
-    """Every row of pieces with sequence_id and offset; sequences hold at most capacity.
-
-    A shard wastes less than one sequence on average, so shards of tens of thousands of pieces cost almost nothing.
-    """
-    pieces = cut(pieces)
-    shards = max(1, math.ceil(pieces.count() / shard_pieces))
-    dealt = pieces.withColumn("_shard", F.pmod(F.xxhash64(*by), F.lit(shards)).cast("int"))
-
-    def place(part: pa.Table) -> pa.Table:
-        size = part.column(length_col).to_pylist()
-        shard = part.column("_shard")[0].as_py() if len(size) else 0
-        order = np.lexsort([np.asarray(size)])  # so that equal input gives equal bins
-        bins = [b for b in best_fit([size[i] for i in order], capacity)]
-        bins = local_search(bins, [size[i] for i in order], capacity)
-        sequence, offset = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
-        for number, content in enumerate(bins):
-            at = 0
-            for j in content:
-                i = order[j]
-                sequence[i], offset[i] = (shard << 32) + number, at
-                at += size[i]
-        return part.drop_columns(["_shard"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    return dealt.groupBy("_shard").applyInArrow(place, schema)
+        return chosen
+
+    def step(self, low: int) -> int | None:
+        """Makes the best exchange of a bin; the partner, or None."""
+        if not (found := self.best(low)):
+            return None
+        gain, partner, give, take = found
+        get = self._parts(partner)[take]
+        self.bins[low] = [i for i in self.bins[low] if i not in give] + list(get)
+        self.bins[partner] = [i for i in self.bins[partner] if i not in get] + list(give)
+        self.fill[low] -= gain
+        self.fill[partner] += gain
+        for b in (low, partner):
+            self.version[b] += 1
+            self._enter(b)
+        return partner
+
+
+def local_search(bins: list[list[int]], size: list[int], capacity: int) -> list[list[int]]:
+    """Bins after exchanges from the least filled on, until the lower bound is reached or no underfull bin has an exchange left."""
+    need, left = math.ceil(sum(size) / capacity), len(bins)
+    if left <= need:
+        return bins
+    search = LocalSearch(bins, size, capacity)
+    queue = [(fill, b) for b, fill in enumerate(search.fill) if 0 < fill < capacity]
+    heapq.heapify(queue)
+    stuck: set[int] = set()
+    moved = False
+    while left > need:
+        if not queue:
+            if not moved:
+                break
+            moved = False  # what moved may have freed bins that were stuck
+            queue = [(search.fill[b], b) for b in stuck if 0 < search.fill[b] < capacity]
+            heapq.heapify(queue)
+            stuck = set()
+            continue
+        fill, low = heapq.heappop(queue)
+        if fill != search.fill[low] or not search.bins[low] or low in stuck:
+            continue
+        partner = search.step(low)
+        if partner is None:
+            stuck.add(low)
+            continue
+        moved = True
+        for b in (low, partner):
+            stuck.discard(b)
+            if search.bins[b] and search.fill[b] < capacity:
+                heapq.heappush(queue, (search.fill[b], b))
+        left -= not search.bins[low]
+    return [b for b in search.bins if b]
+
+
+def pack(pieces: DataFrame, *, capacity: int = 1024, length_col: str = "length", shard_pieces: int = 32_768) -> DataFrame:
+    """Every row of pieces with sequence_id and offset; sequences hold at most capacity."""
+    pieces = cut(pieces.drop("sequence_id", "offset", "_shard", "_shard_tail"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long, _shard_tail boolean"
+
+    def place(round_: int):
+        def run(part: pa.Table) -> pa.Table:
+            size = part.column(length_col).to_pylist()
+            bins = local_search(best_fit(size, capacity), size, capacity)
+            fills = [sum(size[i] for i in b) for b in bins]
+            first = ((round_ << 30) + part.column("_shard")[0].as_py()) << 32 if size else 0
+            sequence, offset, tail = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64), np.zeros(len(size), bool)
+            for number, content in enumerate(bins):
+                at = 0
+                for i in content:
+                    sequence[i], offset[i] = first + number, at
+                    at += size[i]
+            if fills and min(fills) < capacity:
+                tail[bins[fills.index(min(fills))]] = True
+            return part.drop_columns(["_shard"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset)).append_column("_shard_tail", pa.array(tail))
+
+        return run
+
+    def dealt(rows: DataFrame, number: int, round_: int) -> DataFrame:
+        # the place in a checkpointed table, so that equal rows are dealt out like others
+        shard = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(max(1, math.ceil(number / shard_pieces)))).cast("int")
+        return rows.withColumn("_shard", shard).groupBy("_shard").applyInArrow(place(round_), schema)
+
+    total = pieces.count()
+    packed = dealt(pieces, total, 0)
+    if total <= shard_pieces:
+        return packed.drop("_shard_tail")
+    packed = cut(packed)
+    rest = cut(packed.filter("_shard_tail").drop("sequence_id", "offset", "_shard_tail"))
+    return packed.filter("not _shard_tail").unionByName(dealt(rest, rest.count(), 1)).drop("_shard_tail")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

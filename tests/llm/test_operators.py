@@ -10,6 +10,7 @@ from math import ceil, log10
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from scrivia.llm import ngram_join, packing, secrets, suffix_dedup
@@ -202,6 +203,37 @@ def test_op6_exchanges_empty_a_bin():
     assert all(sum(size[i] for i in b) <= 15 for b in bins)
 
 
+def test_op6_search_wins_where_best_fit_loses():
+    """Sequences cut into three: the least number is known, best fit misses it, exchanges come closer; every piece stays."""
+    draw = np.random.default_rng(11)
+    size = []
+    for _ in range(1500):
+        a, b = sorted(draw.integers(150, 874, 2).tolist())
+        size += [a, b - a, 1024 - b] if b - a > 100 else [a, 1024 - a]
+    draw.shuffle(size)
+    size = [int(n) for n in size]
+    first = packing.best_fit(size, 1024)
+    squares = lambda bins: sum(sum(size[i] for i in b) ** 2 for b in bins)
+    before, count = squares(first), len(first)
+    found = packing.local_search(first, size, 1024)
+    assert sorted(i for b in found for i in b) == list(range(len(size))) and all(sum(size[i] for i in b) <= 1024 for b in found)
+    assert 1500 <= len(found) < count and squares(found) > before
+
+
+def test_op6_shards_share_their_remainders(spark):
+    """Small shards, equal rows and null ids: within a few sequences of what best fit makes of all pieces at once."""
+    rows = [(None if n % 3 else n, n % 7, 100 + 37 * (n % 20)) for n in range(3000)] + [(1, 0, 300)] * 600
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, length long").withColumn("offset", F.lit("clash"))
+    out = packing.pack(pieces, shard_pieces=256).collect()
+    bins = defaultdict(list)
+    for r in out:
+        bins[r.sequence_id].append((r.offset, r.length))
+    assert len(out) == len(rows) and all(sum(n for _, n in b) <= 1024 for b in bins.values())
+    for own in bins.values():
+        assert [o for o, _ in sorted(own)] == [sum(n for _, n in sorted(own)[:k]) for k in range(len(own))]
+    assert len(bins) <= len(packing.best_fit([r[2] for r in rows], 1024)) + 3
+
+
 def test_op7_counts_and_scores(spark, documents):
     held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in documents}
     words = {i: [*SPACE.findall(lower(t)), None] for i, t in documents.items()}
