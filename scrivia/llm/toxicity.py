@@ -1,14 +1,16 @@
 """Toxicity: a counterfactual-regularised classifier.
 
-A logistic model over hashed words and word beginnings. Sentences of the labelled documents that
-mention an identity term are rewritten with the other terms of its set; the loss penalises any
-change of the score that this makes, so that a neutral mention of a group carries no weight.
+A logistic model over hashed words and word beginnings. Every sentence of the sampled documents that mentions an identity term is rewritten with each
+other term of its set; the loss holds the squared difference of both sentences' scores, so that naming one group rather than another moves no score
+and a neutral mention carries no weight.
 
-The fit uses a bounded sample of labelled rows (sample_per_class of either label, in order of a hash of
-the id); scoring reads every whole text once, in a narrow pass, with a broadcast weight vector of fixed size.
+The fit uses a bounded sample of labelled rows (sample_per_class of either label, in order of a hash of the id) and the first most_swaps rewritten sentences of
+it in that order. Features are kept by how much more often one class holds them, a measure that is the same at every sample size; the weights of the
+rest are held small. Scoring reads every whole text once, in a narrow pass, with a broadcast weight vector of fixed size.
 
-Defined results: a null or empty text scores as the intercept; labels that are null or belong to no document
-are not learned from; repeated labels count each; with no labelled rows of one class the score is the share of the other.
+Defined results: a null or empty text scores as the intercept; labels that are null or belong to no document are not learned from; repeated labels count each; with
+no labelled rows of one class the score is that of the other; a very long text counts each of its words once; ties in the sample's order go by id; repeated rows
+score alike; an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +36,6 @@ IDENTITY_TERMS = (
     ("frauen", "männer"), ("frau", "mann"), ("muslime", "christen", "juden"), ("femmes", "hommes"), ("femme", "homme"), ("musulmans", "chrétiens", "juifs"),
     ("mujeres", "hombres"), ("mujer", "hombre"), ("musulmanes", "cristianos", "judíos"), ("immigrants", "refugees", "natives"),
 )
-_PARTNERS = {t.encode(): [x.encode() for x in group if x != t] for group in IDENTITY_TERMS for t in group}
 #: Every byte that is no ASCII letter, no digit and not beyond ASCII separates words.
 _NORMAL = bytes(LOWER[b] if 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 10 if b in b".!?\n" else 32 for b in range(256))
 _MASK = (1 << BITS) - 1
@@ -51,9 +52,22 @@ def document_features(text: bytes) -> np.ndarray:
     return np.fromiter((f for w in set(text.translate(_NORMAL).split()) for f in features(w)), np.uint32)
 
 
-def counterfactuals(text: bytes) -> list[tuple[bytes, bytes]]:
-    """(term, its replacement) for every identity term in every sentence of the text."""
-    return [(w, other) for sentence in text.translate(_NORMAL).split(b"\n") for w in sentence.split() if w in _PARTNERS for other in _PARTNERS[w]]
+def partners_of(terms: tuple[tuple[str, ...], ...]) -> dict[bytes, list[bytes]]:
+    return {t.encode(): [x.encode() for x in group if x != t] for group in terms for t in group}
+
+
+def counterfactuals(text: bytes, partners: dict[bytes, list[bytes]]) -> list[tuple[list[bytes], list[bytes]]]:
+    """(a sentence's words, the words of its rewriting) for every identity term of every sentence and each other term of its set."""
+    out = []
+    for sentence in text.translate(_NORMAL).split(b"\n"):
+        words = sentence.split()
+        for term in dict.fromkeys(w for w in words if w in partners):
+            out += [(words, [other if w == term else w for w in words]) for other in partners[term]]
+    return out
+
+
+def word_features(words: list[bytes]) -> np.ndarray:
+    return np.fromiter((f for w in set(words) for f in features(w)), np.uint32)
 
 
 def sample(labels: DataFrame, *, id_col: str, label_col: str, per_class: int) -> DataFrame:
@@ -62,65 +76,91 @@ def sample(labels: DataFrame, *, id_col: str, label_col: str, per_class: int) ->
     return parts[0].unionByName(parts[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_per_class: int = 2000, swap_weight: float = 4.0, l2: float = 1e-4, least: int = 4, steps: int = 300) -> tuple[np.ndarray, float]:
-    """(weights, intercept) learned from a bounded sample of `labels`, which the caller has already restricted."""
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+class Sparse:
+    """Rows of feature numbers laid end to end; a feature may stand twice in a row."""
+
+    def __init__(self, rows: list[np.ndarray]):
+        self.n = len(rows)
+        self.row = np.repeat(np.arange(self.n), [len(r) for r in rows])
+        self.col = np.concatenate([np.zeros(0, np.int64), *rows]).astype(np.int64)
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights=w[self.col], minlength=self.n)
+
+    def back(self, r: np.ndarray, width: int) -> np.ndarray:
+        return np.bincount(self.col, weights=r[self.row], minlength=width)
+
+
+def loss_and_gradient(w: np.ndarray, bias: float, x: Sparse, y: np.ndarray, said: Sparse, swapped: Sparse, swap_weight: float, l2: np.ndarray) -> tuple[float, np.ndarray, float]:
+    """Log loss, L2, and swap_weight times the mean squared change of a sentence's score under its rewriting; with gradients of weights and bias."""
+    p = sigmoid(x.times(w) + bias)
+    loss = -float(np.mean(np.where(y > 0, np.log(p + 1e-12), np.log(1 - p + 1e-12)))) + 0.5 * float(l2 @ (w * w))
+    g, gb = x.back((p - y) / len(y), len(w)) + l2 * w, float((p - y).mean())
+    if said.n:
+        a, b = sigmoid(said.times(w) + bias), sigmoid(swapped.times(w) + bias)
+        loss += swap_weight * float(np.mean((a - b) ** 2))
+        push = 2 * swap_weight * (a - b) / said.n
+        ra, rb = push * a * (1 - a), -push * b * (1 - b)
+        g += said.back(ra, len(w)) + swapped.back(rb, len(w))
+        gb += float((ra + rb).sum())
+    return loss, g, gb
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_per_class: int = 2000, swap_weight: float = 4.0, terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, most_swaps: int = 20_000, lift: float = 4.0, l2: float = 1e-4, steps: int = 300) -> tuple[np.ndarray, float]:
+    """(weights, intercept) learned from a bounded sample of `labels`, which the caller has already restricted.
+
+    lift: how many times more often, counts smoothed by a half, one class's documents must hold a feature than the other's for it to be learned.
+    """
     counts = dict(labels.filter(F.col(label_col).isin(0, 1)).groupBy(F.col(label_col).cast("int")).count().collect())
-    weights = np.zeros(1 << BITS)
+    weights, partners = np.zeros(1 << BITS), partners_of(terms)
     if len(counts) < 2:
         return weights, 20.0 * (2 * max(counts, default=0) - 1) if counts else -20.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed = lambda words: word_features(words).tobytes()
         for batch in slices(batches, 0):
             own = texts(batch.column(0))
-            swaps = [np.array([x for pair in counterfactuals(t) for x in (len(features(pair[0])), len(features(pair[1])), *features(pair[0]), *features(pair[1]))], np.uint32).tobytes() for t in own]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([document_features(t).tobytes() for t in own], pa.binary()), pa.array(swaps, pa.binary())], names=["y", "x", "swaps"])
+            swaps = [[{"said": packed(a), "swapped": packed(b)} for a, b in counterfactuals(t, partners)] for t in own]
+            pair = pa.list_(pa.struct([("said", pa.binary()), ("swapped", pa.binary())]))
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([document_features(t).tobytes() for t in own], pa.binary()), pa.array(swaps, pair)], names=["y", "place", "x", "swaps"])
 
     chosen = F.broadcast(sample(labels, id_col=id_col, label_col=label_col, per_class=sample_per_class))
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("t")).join(chosen, "_id").select("t", "_y")
-    table = rows.mapInArrow(run, "y int, x binary, swaps binary").toArrow()
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("t")).join(chosen, "_id").select("t", "_y", F.xxhash64("_id", "t").alias("place"))
+    table = rows.mapInArrow(run, "y int, place long, x binary, swaps array<struct<said:binary,swapped:binary>>").toArrow().sort_by("place")
     y = np.asarray(table.column("y").to_pylist(), float)
-    xs = [np.frombuffer(x, np.uint32) for x in table.column("x").to_pylist()]
     if not len(y) or y.min() == y.max():
         return weights, 20.0 * (2 * float(y[0]) - 1) if len(y) else -20.0
-    row = np.repeat(np.arange(len(xs)), [len(x) for x in xs])
-    col = np.concatenate(xs).astype(np.int64)
-    seen = np.unique(row.astype(np.int64) << BITS | col)  # presence by document
-    have, pos = np.bincount(seen & _MASK, minlength=1 << BITS), np.bincount((seen & _MASK), weights=y[seen >> BITS], minlength=1 << BITS)
-    rate = y.mean()
-    z = (pos - have * rate) / np.sqrt(np.maximum(have * rate * (1 - rate), 1e-9))
-    used = np.flatnonzero((have >= least) & (np.abs(z) > 4.0))
-    if not len(used):
-        used = np.argsort(-np.abs(z))[:64]
+    xs = [np.frombuffer(x, np.uint32) for x in table.column("x").to_pylist()]
+    have = np.zeros((2, 1 << BITS))
+    for x, label in zip(xs, y.astype(int)):
+        have[label, np.unique(x)] += 1
+    size = np.array([[np.sum(y == 0)], [np.sum(y == 1)]])
+    odds = np.log((have[1] + 0.5) / (size[1] + 1)) - np.log((have[0] + 0.5) / (size[0] + 1))
+    pairs = [(np.frombuffer(p["said"], np.uint32), np.frombuffer(p["swapped"], np.uint32)) for own in table.column("swaps").to_pylist() for p in own][:most_swaps]
+    kept = (have.sum(0) > 1) & (np.abs(odds) >= np.log(lift))
+    for term in partners:  # the terms themselves are always learned, so that the penalty can see them
+        kept[list(features(term))] |= have.sum(0)[list(features(term))] > 0
+    used = np.flatnonzero(kept)
     number = np.full(1 << BITS, -1)
     number[used] = np.arange(len(used))
-    keep = number[col] >= 0
-    row, col = row[keep], number[col[keep]]
-    pairs = []
-    for blob in table.column("swaps").to_pylist():
-        v, at = np.frombuffer(blob, np.uint32), 0
-        while at < len(v):
-            a, b = int(v[at]), int(v[at + 1])
-            pairs.append((v[at + 2 : at + 2 + a], v[at + 2 + a : at + 2 + a + b]))
-            at += 2 + a + b
-    swaps = np.zeros((len(pairs), 2, 4), np.int64) - 1  # a swapped word loses and gains at most four features
-    for k, pair in enumerate(pairs):
-        for side in (0, 1):
-            swaps[k, side, : len(pair[side])] = number[pair[side]]
-    w, bias = np.zeros(len(used) + 1), float(np.log(rate / (1 - rate)))  # the last weight is that of no feature
+    known = lambda x: (n := number[x])[n >= 0]
+    x, said, swapped = Sparse([known(r) for r in xs]), Sparse([known(a) for a, _ in pairs]), Sparse([known(b) for _, b in pairs])
+    rate = y.mean()
+    w, bias = np.zeros(len(used)), float(np.log(rate / (1 - rate)))
+    # a feature of few documents is held tighter: its rate is less certain
+    hold = l2 * (1 + 40 / np.maximum(have.sum(0)[used], 1))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, weights=w[col], minlength=len(y)) + bias, -30, 30)))
-        g = np.bincount(col, weights=((p - y) / len(y))[row], minlength=len(w)) + l2 * w
-        if len(pairs):
-            change = w[swaps[:, 0]].sum(1) - w[swaps[:, 1]].sum(1)
-            for side, sign in ((0, 1.0), (1, -1.0)):
-                g += np.bincount(swaps[:, side].ravel() % len(w), weights=np.repeat(2 * swap_weight * sign * change / len(pairs), 4), minlength=len(w))
-        g[-1] = 0
-        full = np.append(g, (p - y).mean())
+        _, g, gb = loss_and_gradient(w, bias, x, y, said, swapped, swap_weight, hold)
+        full = np.append(g, gb)
         m, v = 0.9 * m + 0.1 * full, 0.999 * v + 0.001 * full**2
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, bias = w - move[:-1], bias - move[-1]
-    weights[used] = w[:-1]
+    weights[used] = w
     natural = counts[1] / counts[0]
     return weights, float(bias + np.log(natural) - np.log(rate / (1 - rate)))
 

@@ -95,15 +95,70 @@ def test_classifiers_on_held_out_labels(spark, duck, query, label, modulus, rema
     assert np.mean(each) >= least, (each, len(held))
 
 
-def test_op2_a_neutral_mention_changes_little(spark):
-    """Swapping a group's name for another must not move the score."""
+def test_op2_penalty_lowers_false_positives(spark):
+    """Labels in which one group is named in most toxic texts and another in most clean ones: with the penalty neutral mentions of it stay clean, without it they do not; toxic texts are found both ways."""
     from scrivia.llm import toxicity
 
-    docs = spark.read.parquet(f"{TEN}/documents.parquet")
-    model = toxicity.fit(docs, spark.read.parquet(f"{TEN}/labels.parquet"))
-    texts = [(k, f"The {group} at the market talked about the weather and the harvest.") for k, group in enumerate(("muslims", "christians", "jews", "women", "men"))]
-    scores = [r.score for r in toxicity.score(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()]
-    assert max(scores) - min(scores) < 0.1 and max(scores) < 0.3
+    draw = np.random.default_rng(4)
+    plain, bad = [f"word{i}" for i in range(60)], ["vileness", "scumlike", "hatefulness"]
+    text = lambda *more: " ".join(draw.permutation([*draw.choice(plain, 12), *more]))
+    rows = []
+    for n in range(600):
+        toxic = n % 3 == 0
+        named = draw.random() < (0.7 if toxic else 0.02)
+        spoken = [draw.choice(bad)] if toxic and draw.random() < 0.7 else []
+        rows.append((n, text(*spoken, *(["zarkons"] if named else ["mervins"] if draw.random() < (0.1 if toxic else 0.7) else [])) + ".", int(toxic)))
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    neutral = spark.createDataFrame([(n, text("zarkons")) for n in range(100)], "doc_id long, text string")
+    toxic = spark.createDataFrame([(n, text(draw.choice(bad))) for n in range(100)], "doc_id long, text string")
+    share = lambda model, probes: np.mean([r.score >= 0.3 for r in toxicity.score(probes, model).collect()])
+    models = {w: toxicity.fit(docs, labels, swap_weight=w, terms=(("zarkons", "mervins"),)) for w in (0.0, 40.0)}
+    assert share(models[0.0], neutral) > 0.8 and share(models[40.0], neutral) < 0.3
+    assert min(share(m, toxic) for m in models.values()) > 0.9
+
+
+def test_op2_gradient_is_that_of_the_loss():
+    from scrivia.llm import toxicity
+
+    draw = np.random.default_rng(2)
+    rows = lambda n: toxicity.Sparse([draw.integers(0, 9, draw.integers(0, 6)) for _ in range(n)])
+    x, said, swapped, y = rows(12), rows(5), rows(5), draw.integers(0, 2, 12).astype(float)
+    w, bias, hold = draw.normal(size=9), 0.3, np.full(9, 0.01)
+    loss = lambda w, b: toxicity.loss_and_gradient(w, b, x, y, said, swapped, 4.0, hold)[0]
+    _, g, gb = toxicity.loss_and_gradient(w, bias, x, y, said, swapped, 4.0, hold)
+    step = 1e-5
+    assert g == pytest.approx([(loss(w + step * e, bias) - loss(w - step * e, bias)) / (2 * step) for e in np.eye(9)], abs=1e-7)
+    assert gb == pytest.approx((loss(w, bias + step) - loss(w, bias - step)) / (2 * step), abs=1e-7)
+
+
+def test_op9_gradient_and_attention():
+    """Gradients of every layer against differences; attention weighs a document's passages to one; a repeated batch encodes alike wherever it stands."""
+    from scrivia.llm import quality_classifier as q
+
+    draw = np.random.default_rng(3)
+    model = q.Model()
+    doc, y = np.array([0, 0, 0, 1, 2, 2]), np.array([1.0, 0.0, 1.0])
+    x = draw.normal(size=(6, q.WIDTH))
+
+    def loss() -> float:
+        p = model.scores(x, doc, 3)
+        return -float(np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)))
+
+    for name, g in model.gradients(x, doc, y).items():
+        for at in list(np.ndindex(g.shape))[:8]:
+            kept, step = model.p[name][at], 1e-5
+            model.p[name][at] = kept + step
+            up = loss()
+            model.p[name][at] = kept - step
+            down = loss()
+            model.p[name][at] = kept
+            assert g[at] == pytest.approx((up - down) / (2 * step), abs=1e-6), name
+    assert np.bincount(doc, weights=model.forward(x, doc, 3)["a"]) == pytest.approx([1, 1, 1])
+    counts = draw.integers(0, 9, (2, 2, q.BUCKETS)).astype(float)
+    batch = [b"a short text", b"", b"word and other words " * 40, b"ab"]
+    whole, owner = q.encode(batch, q.Evidence(counts))
+    for k, text in enumerate(batch):
+        assert q.encode([text], q.Evidence(counts))[0] == pytest.approx(whole[owner == k], abs=1e-9)
 
 
 def test_op3_measures(spark, documents):
