@@ -11,8 +11,11 @@ blocks; a block asks for just the n-grams that it holds, with its own counts, so
 by Spark's shuffle and sent back, so each block builds the part of the automaton that its texts can reach. A frequent
 n-gram is one key per block wherever it occurs.
 
+The model is of order two: three words' counts would not pass through the shuffle within the disk that this operator is given.
+
 Defined results: a null or empty text is its end token alone; null ids are training rows, not held out; repeated rows count each; with no
-training texts every count is 0. Keys are 64-bit hashes of words and word pairs.
+training texts every count is 0; an empty table gives no rows; other columns, whatever their names, are ignored; a very long text is held whole, with about 60 bytes for each
+of its words. There are no ties. Keys are 64-bit hashes of words and word pairs.
 """
 
 from __future__ import annotations
@@ -71,22 +74,54 @@ class Block:
 
 
 class Automaton:
-    """The part of the model that a block can reach: root weights, failure weights, arc weights."""
+    """The part of the model that a block can reach: a state for each context, and the root as the last state.
+
+    arcs: the seen (state, token) pairs in order, each with its weight; every state's failure arc leads to the root, with a weight; the root has an arc for
+    every token. Whatever arc takes a token, the next state is that token's context.
+    """
 
     def __init__(self, block: Block, pairs: np.ndarray, counts: np.ndarray, tokens: int, kinds: int, mu: float):
-        self.count = counts[: len(block.names)].astype(float)
-        together = counts[len(block.names) :].astype(float)
+        self.tokens = len(block.names)
+        self.count = counts[: self.tokens].astype(float)
+        together = counts[self.tokens :].astype(float)
         context = self.count.copy()
         context[1] = self.count[0]  # every training text starts once and ends once
         root = (self.count + 0.5) / (tokens + 0.5 * (kinds + 1))
         self.root, self.fail = np.log10(root), np.log10(mu / (context + mu))
-        first, second = np.divmod(pairs, len(block.names))
-        self.has_arc = together > 0
-        self.arc = np.log10((together + mu * root[second]) / (context[first] + mu))
-
-    def traverse(self, block: Block, place: np.ndarray) -> np.ndarray:
-        """The weight of each step of the texts' traversals: the state's arc, or its failure arc and the root's."""
-        return np.where(self.has_arc[place], self.arc[place], self.fail[block.before] + self.root[block.token])
+        seen = together > 0
+        first, second = np.divmod(pairs[seen], self.tokens)
+        self.arcs = pairs[seen]  # in order of state, then token
+        self.weight = np.log10((together[seen] + mu * root[second]) / (context[first] + mu))
+
+    def step(self, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the states after, the weights taken) of one token each for many traversals."""
+        wanted = state.astype(np.int64) * self.tokens + token
+        at = np.minimum(np.searchsorted(self.arcs, wanted), max(len(self.arcs) - 1, 0))
+        taken = self.arcs[at] == wanted if len(self.arcs) else np.zeros(len(wanted), bool)
+        fallen = self.fail[state] + self.root[token]
+        return token, np.where(taken, self.weight[at], fallen) if len(self.arcs) else fallen
+
+    def scores(self, block: Block) -> np.ndarray:
+        """Each text's traversal from the start state, left to right; the texts of a block go side by side, the longest first."""
+        n = np.bincount(block.text_of) if len(block.text_of) else np.zeros(0, np.int64)
+        order = np.argsort(-n, kind="stable")
+        begin, left = (np.cumsum(n) - n)[order], n[order]
+        state, total = np.ones(len(n), np.int64), np.zeros(len(n))
+        active, turn = len(n), 0
+        # the last few long texts go on alone, a stretch at a time: their states are known from the tokens before
+        while active > 16:
+            state[:active], weight = self.step(state[:active], block.token[begin[:active] + turn])
+            total[:active] += weight
+            turn += 1
+            active = int(np.searchsorted(-left, -turn, side="left"))
+        for k in range(active):
+            for at in range(turn, left[k], 1 << 20):
+                token = block.token[begin[k] + at : begin[k] + min(at + (1 << 20), left[k])]
+                after, weight = self.step(np.concatenate((state[k : k + 1], token[:-1])), token)
+                state[k], total[k] = after[-1], total[k] + weight.sum()
+        out = np.zeros(len(n))
+        out[order] = total
+        return out
 
 
 def _training(name: str, modulus: int, remainder: int) -> F.Column:
@@ -155,7 +190,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         by_text = lambda x: np.bincount(block.text_of, weights=x, minlength=len(batch))
         whole = lambda x: pa.array(by_text(x).astype(np.int64))
         held_out = pa.compute.invert(part.column("train"))
-        columns = [part.column("id"), held_out, whole(np.ones(len(place))), whole(machine.count[block.token] > 0), pa.array(np.full(len(batch), tokens)), pa.array(by_text(machine.root[block.token])), pa.array(by_text(machine.traverse(block, place)))]
+        columns = [part.column("id"), held_out, whole(np.ones(len(place))), whole(machine.count[block.token] > 0), pa.array(np.full(len(batch), tokens)), pa.array(by_text(machine.root[block.token])), pa.array(machine.scores(block))]
         return pa.table(columns, names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     asked = dealt.groupBy("_block").applyInArrow(ask, "_block int, bucket int, keys binary, found binary")
