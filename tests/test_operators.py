@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from scrivia.functions import text as x
 from scrivia.functions import vectors as v
-from scrivia.operators import checks, rules, similarity
+from scrivia.operators import checks, evaluation, rules, similarity
 from scrivia.plans.registry import QUERIES
 from scrivia.streaming.lifecycle import replay_applications, step, stream_applications
 from tests.conftest import DATA
@@ -37,7 +37,7 @@ def test_least_loaded_is_the_loop(spark):
         load, scoped = {j[0]: j[1] for j in judges}, {j[0]: j[2] for j in judges}
         for q, i in queue:
             if q == key:
-                best = min(judges, key=lambda j: (load[j[0]], -scoped[j[0]], j[3], j[0]))[0]
+                best = min(judges, key=lambda j: (load[j[0]], scoped[j[0]] == 0, j[3], j[0]))[0]
                 wanted[q, i] = best
                 load[best] += 1
                 scoped[best] += 1
@@ -62,7 +62,7 @@ def test_application_states_batch_and_stream(spark, tmp_path):
             state = after
     table = spark.createDataFrame(rows, schema)
     assert sorted(tuple(r) for r in replay_applications(table).collect()) == sorted(wanted)
-    assert [w[4] for w in wanted if w[0] == 1][-1] == "judge_in_review" or [w[4] for w in wanted if w[0] == 1][-1] == "completed"
+    assert [w[4] for w in wanted if w[0] == 1] == ["submitted", "assigned", "analyzing", "awaiting_judge", "judge_in_review", "completed", "judge_in_review", "judge_in_review", "completed"]
     for n in range(3):
         table.filter(F.col("seq").between(3 * n, 3 * n + 2)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -83,6 +83,39 @@ def test_rate_limit_is_the_loop(spark):
         by[r.user_id] = (start, used + (used < 2))
 
 
+def test_guarded_requests(spark):
+    """Two at once and a window of a minute: what each refused request met, and that refused ones count nowhere."""
+    from datetime import datetime, timedelta
+
+    start = datetime(2026, 1, 1)
+    log = [("a", 0, "acquire"), ("a", 1, "acquire"), ("b", 2, "acquire"), ("a", 3, "release"), ("b", 4, "acquire"), ("a", 5, "release"), ("a", 6, "acquire"), ("b", 7, "acquire"), ("b", 30, "release"), ("b", 31, "acquire"), ("c", 62, "release"), ("a", 63, "acquire")]
+    rows = spark.createDataFrame([(1, who, n, start + timedelta(seconds=at), kind) for n, (who, at, kind) in enumerate(log)], "server int, client string, seq int, ts timestamp, kind string")
+    out = evaluation.guarded_requests(rows, server="server", client="client", seq="seq", ts="ts", kind="kind", window_s=60, most=2, most_all=4, at_once=2)
+    assert [r.outcome for r in out.orderBy("seq").collect()] == ["ok", "ok", "concurrency", "released", "ok", "released", "rate", "ok", "released", "rate", "released", "ok"]
+
+
+def test_embedding_batches(spark):
+    """Sixteen at a time, one more try after 429, all or nothing."""
+    texts = spark.createDataFrame([(g, n, f"{g}{n}") for g, size in (("fine", 20), ("busy", 3), ("shut", 2)) for n in range(size)], "g string, n int, t string")
+    tries = {}
+
+    def embed(batch):
+        kind = batch[0][:4]
+        tries[kind] = tries.get(kind, 0) + 1
+        return (429, []) if kind == "shut" or (kind == "busy" and tries[kind] == 1) else (200, [[1.2345678] for _ in batch])
+
+    found = {r.g: (r.ok, len(r.vectors), r.calls) for r in evaluation.embedded(texts, embed, group="g", order="n", text="t").collect()}
+    assert found == {"fine": (True, 20, 2), "busy": (True, 3, 2), "shut": (False, 0, 2)}
+
+
+def test_folds_agree_with_full_decomposition(spark):
+    """Ligatures, full-width letters, superscripts, fractions and units count as what they stand for; rule names keep them apart."""
+    rows = spark.createDataFrame([("ﬁnal Ｒapor x² ½ ㎏ İĞÜŞ ſ Ⅻ",), ("straße éÈ ñ İI",), (None,)], "t string")
+    for r in rows.select(x.fold_line(F.col("t")).alias("a"), x.fold_line_exact(F.col("t")).alias("b")).collect():
+        assert r.a == r.b
+    assert rows.select(x.fold_line(F.col("t"))).first()[0] == "final rapor x2 1 2 kg igus s xii" and rows.select(x.fold_key(F.col("t"))).first()[0] == "nal apor x igus"
+
+
 def test_two_key_dedup_is_the_loop(spark):
     rows = [("g", i, int(a), int(b)) for i, (a, b) in enumerate(np.random.default_rng(1).integers(0, 6, (30, 2)))]
     kept = []
@@ -93,12 +126,58 @@ def test_two_key_dedup_is_the_loop(spark):
     assert sorted((r.g, r.o, r.a, r.b) for r in out.collect()) == kept
 
 
-def test_report_similarity_is_all_pairs(spark):
-    own = spark.createDataFrame([("s", 1, 0, 500, [1, 2, 3, 4] * 16), ("s", 1, 1, 100, [9] * 64)], "scope string, own_id int, own_idx int, word_count int, sig array<long>")
+def test_chunk_matches_are_all_pairs(spark):
+    own = spark.createDataFrame([("s", 1, 0, [1, 2, 3, 4] * 16), ("s", 1, 1, [9] * 64)], "scope string, own_id int, own_idx int, sig array<long>")
     peers = spark.createDataFrame([("s", 2, 0, [1, 2, 0, 0] * 16), ("s", 2, 1, [1, 2, 3, 0] * 16), ("t", 3, 0, [9] * 64), ("s", 1, 1, [9] * 64)], "scope string, peer_id int, peer_idx int, psig array<long>")
-    got = [(r.own_id, r.own_idx, r.peer_id, r.peer_idx, r.lexical, r.strength) for r in checks.lexical_chunk_matches(own, peers).collect()]
-    assert got == [(1, 0, 2, 1, 0.75, 1.0)]
-    assert [(r.peer_id, r.percent, r.level) for r in checks.pool_ranking(own, checks.lexical_chunk_matches(own, peers)).collect()] == [(2, 83, "high")]
+    found = similarity.best_chunk_matches(similarity.chunk_scores(own, peers, semantic=False)).collect()
+    assert [(r.own_id, r.own_idx, r.peer_id, r.peer_idx, r.lexical, r.strength) for r in found] == [(1, 0, 2, 1, 0.75, 1.0)]
+    vectors = [own.withColumn("emb", F.array(F.lit(1.0), F.lit(0.0))), peers.withColumn("pemb", F.array(F.lit(0.85), F.sqrt(F.lit(1 - 0.85**2))))]
+    both = similarity.best_chunk_matches(similarity.chunk_scores(*vectors, semantic=True)).collect()
+    assert sorted((r.own_idx, r.peer_idx, r.kind, r.strength) for r in both) == [(0, 1, "direct", 1.0), (1, 0, "semantic", 0.6)]
+
+
+def test_report_similarity_is_the_loop(spark):
+    """Chunks shared whole and in part, a template that half of the pool holds, short reports, a lone scope, against every pair of chunks."""
+    draw = np.random.default_rng(8)
+    words = lambda tag, n: [f"{tag}{i}" for i in range(n)]
+    form, shared = words("form", 500), words("shared", 450)
+    texts = {1: form[:450] + shared + words("a", 60), 2: form[:450] + shared + words("b", 300), 3: form[:450] + words("c", 500), 4: form[:450] + words("d", 90) + shared, 5: words("e", 200), 6: words("a", 30), 7: words("e", 30), 8: shared[:35], 9: words("z", 80)}
+    rows = [(n, " ".join(t), "b" if n == 9 else "a") for n, t in texts.items()]
+    for n in (10, 11, 12):
+        rows.append((n, " ".join(draw.choice(shared + words("a", 60), 500).tolist()), "a"))
+    sign = lambda text: v.signature_of([w for w in text.split() if len(w) > 1])
+    same = lambda a, b: sum(x == y for x, y in zip(a, b)) / 64
+    cut_up = {n: [t.split()[k : k + 500] for k in range(0, max(1, len(t.split()) - 50), 450)] if len(t.split()) >= 40 else [] for n, t, _ in rows}
+    wanted = {}
+    for n, text, scope in rows:
+        peers = [(m, t) for m, t, s in rows if s == scope and m != n]
+        long, short = [m for m, _ in peers if cut_up[m]], [m for m, _ in peers if not cut_up[m]]
+        seen = lambda c: sum(c in cut_up[m] for m in long)
+        template = lambda c: len(long) + 1 >= 2 and seen(c) >= max(2, np.ceil(0.5 * (len(long) + 1)))
+        mine = [(k, c) for k, c in enumerate(cut_up[n]) if not template(c)]
+        best = (-1, None, [])
+        for m in long:
+            found = []
+            for k, c in mine:
+                scored = [(1.0 if x >= 0.55 else 0.6, x, -j) for j, d in enumerate(cut_up[m]) if not template(d) and (x := same(sign(" ".join(c)), sign(" ".join(d)))) >= 0.3]
+                if scored:
+                    top = max(scored)
+                    found.append((-top[0], -top[1], k, -top[2], len(c) * top[0]))
+            total = sum(len(c) for _, c in mine)
+            percent = min(100, int(sum(f[4] for f in found) / total * 100 + 0.5)) if total else 0
+            if percent > best[0]:
+                best = (percent, m, sorted(found))
+        prints = max(((same(sign(text), sign(t)), -m) for m, t in peers if m in short), default=(0.0, None))
+        printed, p = int(prints[0] * 100 + 0.5), max(best[0], 0)
+        share = max(p, printed)
+        lift = same(sign(text), sign(dict((m, t) for m, t, _ in rows)[best[1]])) if best[2] else prints[0]
+        level = "none" if not peers else "high" if share >= 55 or lift >= 0.55 else "review" if share >= 30 or lift >= 0.3 else "normal"
+        peer = -prints[1] if printed > p else best[1] if best[1] is not None else (min(short) if short else None)
+        shown = [(f[2], f[3]) for f in best[2][:3]] if level in ("review", "high") else []
+        wanted[n] = (len(peers), peer, share if peers else None, level, shown)
+    found = similarity.report_similarity(spark.createDataFrame(rows, "doc_id int, text string, lang string"), F.lit(True)).collect()
+    assert {r.own_id: (r.compared, r.peer_id, r.percent, r.level, [(m.own_idx, m.peer_idx) for m in r.matches or []]) for r in found} == wanted
+    assert {w[3] for w in wanted.values()} >= {"none", "normal", "high"}
 
 
 def test_report_similarity_has_a_row_for_short_reports(spark, tmp_path):
@@ -106,7 +185,7 @@ def test_report_similarity_has_a_row_for_short_reports(spark, tmp_path):
     docs = [(100, "too short for a chunk", "en"), (200, words, "en"), (201, words, "en"), (300, None, None)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     rows = QUERIES["t5_t6_w2_w3_o11_report_similarity"](spark, str(tmp_path)).collect()
-    assert sorted((r.own_id, r.peer_id, r.percent, r.level) for r in rows) == [(100, None, 0, "normal"), (200, 201, 100, "high"), (300, None, 0, "normal")]
+    assert sorted((r.own_id, r.peer_id, r.percent, r.level) for r in rows) == [(100, 200, 0, "normal"), (200, 201, 100, "high"), (300, None, None, "none")]
 
 
 @pytest.mark.parametrize("hot", [2000, 2])
