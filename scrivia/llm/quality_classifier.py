@@ -110,8 +110,9 @@ def encode(batch: list[bytes], evidence: Evidence) -> tuple[np.ndarray, np.ndarr
     said = evidence.words[w.bucket]
     out[:, _CLASSES + 6], out[:, _CLASSES + 7], out[:, _CLASSES + 8] = mean(said), mean(said > 1), mean(said < -1)
     upto = np.concatenate(([0.0], np.cumsum(evidence.grams[grams_of(w.raw)], dtype=np.float64)))
-    last = np.maximum(w.lo, np.minimum(w.hi - 3, len(upto) - 1))
-    out[:, _CLASSES + 9] = (upto[last] - upto[np.minimum(w.lo, len(upto) - 1)]) / np.maximum(last - w.lo, 1) if len(upto) > 1 else 0
+    first = np.minimum(w.lo, len(upto) - 1)
+    last = np.maximum(first, np.minimum(w.hi - 3, len(upto) - 1))
+    out[:, _CLASSES + 9] = (upto[last] - upto[first]) / np.maximum(last - first, 1)
     empty = np.setdiff1d(np.arange(len(batch)), w.owner)
     return np.vstack((out, np.zeros((len(empty), WIDTH)))), np.concatenate((w.owner, empty))
 

@@ -155,7 +155,7 @@ def test_op9_gradient_and_attention():
             assert g[at] == pytest.approx((up - down) / (2 * step), abs=1e-6), name
     assert np.bincount(doc, weights=model.forward(x, doc, 3)["a"]) == pytest.approx([1, 1, 1])
     counts = draw.integers(0, 9, (2, 2, q.BUCKETS)).astype(float)
-    batch = [b"a short text", b"", b"word and other words " * 40, b"ab"]
+    batch = [b"a short text", b"", b"word and other words " * 40, b"word " * q.PASSAGE_WORDS + b"x", b"ab"]
     whole, owner = q.encode(batch, q.Evidence(counts))
     for k, text in enumerate(batch):
         assert q.encode([text], q.Evidence(counts))[0] == pytest.approx(whole[owner == k], abs=1e-9)
