@@ -10,7 +10,8 @@ its number of links and its root among the verified links. Groups beyond group_n
 is a task of its own, so no task holds more than two blocks.
 
 Defined results: null and empty texts have no shingles, hence no links, and are classes of their own; fewer words than a shingle are
-one shingle; repeated rows are copies; a null id is a copy like others, and class ids are the least ids that are not null.
+one shingle; repeated rows are copies; a null id is a copy like others, and class ids are the least ids that are not null. A pair exactly at the threshold is a link.
+An empty table gives no rows; other columns, whatever their names, are ignored; a very long text is held whole by the task that reads it, with its words and 8 bytes for each shingle.
 With the defaults a pair at the threshold escapes the bands with a chance of 5 in a million. Nodes are named by 64-bit hashes of their sets.
 """
 

@@ -9,7 +9,8 @@ Postings stay rows that are dealt out by document, so neither a frequent trigram
 in one task, and no list of a trigram's documents is ever built.
 
 Defined results: a null text is empty; equal ids are looked up together and verified one by one; a null id is an id like any other;
-spans of different rules may overlap; with keep_text an input column named spans gives way, others pass.
+spans of different rules may overlap; with keep_text an input column named spans gives way, others pass, whatever their names;
+spans that begin at one place are in the order of their rules; repeated rows get equal spans; a very long text is searched whole; an empty table gives no rows.
 """
 
 from __future__ import annotations

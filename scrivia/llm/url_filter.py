@@ -14,6 +14,8 @@ number of different shapes. Verdicts go back to the rows by a broadcast while th
 
 Defined results: a null url, or one without `://`, has empty host and path and is judged as that host's empty template;
 empty segments are segments; segments beyond max_depth count as one tail wildcard; repeated rows are judged one by one and count each.
+Of equally long rules the one with the longer host wins, then the greater text; a bad rate equal to the limit rejects; a null id is carried along; a very long url is cut into
+segments like others; an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
