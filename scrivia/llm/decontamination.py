@@ -6,7 +6,7 @@ code-point offsets in the original text.
 
 Defined results: a null or empty text has no words and no hits; a null item text has no windows;
 an item without an id counts like others, all of them as one item, named null; repeated rows are judged one by one; equal windows of several items count for each item; an item
-with fewer words than a window, but not none, is one window; no items: nothing is hit. Hits that end at one word are in the order of their items' ids;
+with fewer words than a window, but not none, is one window; no items: nothing is hit. The items of one window are in the order of their ids as text, null last;
 a very long text is held whole, with its words; an empty table gives no rows; find_leaks ignores other columns, without_leaks passes them on, whatever their names.
 """
 

@@ -146,6 +146,16 @@ def test_pipeline_stages(spark, odd, none, labels, tmp_path):
     assert sum(r.doc_id == 5 for r in corpus_pipeline.one_of_each(spark, docs, "").collect()) == 1
 
 
+def test_uncontaminated_odd_rows(spark, odd, none, items, tmp_path):
+    """Texts without words stay, as do long and repeated ones unless a window is in them; items without an id or text of their own count or not as stated."""
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = corpus_pipeline.uncontaminated(spark, odd, str(tmp_path))
+    assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 6, 7]
+    assert corpus_pipeline.uncontaminated(spark, none, str(tmp_path)).collect() == []
+    items.limit(0).write.parquet(f"{tmp_path}/no/benchmark.parquet")
+    assert corpus_pipeline.uncontaminated(spark, odd, f"{tmp_path}/no").count() == odd.count()
+
+
 def test_one_row_of_each_class(spark):
     """Repeated rows, one id on two texts, rows without an id that copy others, and texts without words."""
     one, two, three = (" ".join(f"{w}{i}" for i in range(30)) for w in "abc")
