@@ -1,6 +1,8 @@
 """The training-corpus pipeline: stages over `documents`, each written and read again before the next.
 
 No SQL expresses the learned and the packed stages; tests compare a run with the stages' brute-force versions.
+
+Every stage takes empty tables (no rows come out), null ids and texts, very long texts (whole) and other columns of any name, which all but the last pass on.
 """
 
 from __future__ import annotations
@@ -17,7 +19,10 @@ from scrivia.llm.queries import packed_digest
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject; it learns from all labels."""
+    """Documents that the quality classifier does not reject; it learns from all labels.
+
+    Texts without words score alike and go or stay together, as do repeated rows; a score of just 0.3 stays.
+    """
     model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
     rest = tuple(c for c in docs.columns if c != "doc_id")
     name = "_quality" + "_" * max(map(len, docs.columns))  # no column of docs has it
@@ -41,18 +46,19 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item."""
+    """Documents without any window of a benchmark item, ids or none; texts without words stay, and repeated rows go or stay together."""
     return decontamination.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with every secret replaced by a mark."""
+    """All documents, with every maximal run of secrets replaced by a mark and n_chars counted anew; null texts stay null, repeated rows stay repeated. A column named spans is left out."""
     found = secrets.find_secrets(docs, keep_text=True)
     clean = found.withColumn("text", secrets.redact(F.col("text"), F.col("spans")))
     return clean.withColumn("n_chars", F.length("text").cast("long")).select([c for c in docs.columns if c != "spans"])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's pieces with their places in sequences; null texts are empty, and repeated rows are packed each for itself."""
     return packed_digest(docs)
 
 
