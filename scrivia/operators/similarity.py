@@ -142,6 +142,11 @@ def template_marks(signed: DataFrame) -> DataFrame:
     return marked.select("scope", "hash", "holders", F.when(F.col("_pool") < 2, 0).when(F.col("holders") > least, 2).when(F.col("holders") == least, 1).otherwise(0).alias("mark"))
 
 
+def weighted_coverage(words: Column, strength: Column) -> Column:
+    """Aggregate: the share of words that matches cover, each chunk by its strength; null without words."""
+    return F.sum(words * F.coalesce(strength, F.lit(0.0))) / F.nullif(F.sum(words), F.lit(0))
+
+
 def report_similarity(reports: DataFrame, own: Column, *, id_col: str = "doc_id", text_col: str = "text", scope_col: str = "lang", embeddings: DataFrame | None = None) -> DataFrame:
     """(own_id, compared, peer_id, percent, level, matches) of each report that `own` picks, against all reports of its scope.
 

@@ -26,6 +26,15 @@ def f1_f3_f6_fold_line(t):
     return t.documents.select("doc_id", F.sha2(x.fold_line(F.col("text")), 256).alias("folded"))
 
 
+_NAMED = "(p_name || ' ﬁnal-² ' || p_brand || ' Ｘ')"
+
+
+@query(f"SELECT p_partkey, {_FOLD.replace('text', _NAMED)} AS folded FROM part")
+def f4_rule_key(t):
+    """Names with a ligature, a superscript and a full-width letter, which split words in this fold and do not in that of lines."""
+    return t.part.select("p_partkey", x.fold_key(F.concat("p_name", F.lit(" ﬁnal-² "), "p_brand", F.lit(" Ｘ"))).alias("folded"))
+
+
 @query(f"SELECT doc_id, sha256(translate({_TR}, 'ışğüöçâîû', 'isguocaiu')) AS folded FROM documents")
 def f2_search_fold(t):
     return t.documents.select("doc_id", F.sha2(x.fold(F.col("text")), 256).alias("folded"))
@@ -98,6 +107,17 @@ def t4_a17_template_chunks(t):
     return s.template_chunks(hashed.groupBy("chunk_hash").agg(F.count_distinct("doc_id").alias("seen")), 8)
 
 
+@query(f"""WITH c AS (SELECT doc_id, len(list_slice(w, i * 450 + 1, i * 450 + 500)) AS n, sha256(array_to_string(list_slice(w, i * 450 + 1, i * 450 + 500), ' ')) AS h FROM {_CHUNKS}),
+seen AS (SELECT h, count(DISTINCT doc_id) AS seen FROM c GROUP BY h)
+SELECT doc_id, CAST(sum(n) AS BIGINT) AS words, round(sum(CASE WHEN seen > 1 THEN n ELSE 0 END) / sum(n), 6) AS coverage FROM c JOIN seen USING (h) GROUP BY doc_id""")
+def a15_copied_coverage(t):
+    """How much of each report stands word for word in chunks of other reports: chunk strengths weighted by words."""
+    hashed = s.chunks(t.documents, id_col="doc_id", text_col="text").select("doc_id", "word_count", F.sha2("chunk", 256).alias("hash"))
+    seen = hashed.groupBy(F.col("hash").alias("_h")).agg((F.count_distinct("doc_id") > 1).cast("double").alias("strength"))
+    scored = hashed.join(seen, F.col("hash") == F.col("_h"))
+    return scored.groupBy("doc_id").agg(F.sum("word_count").alias("words"), F.round(s.weighted_coverage(F.col("word_count"), F.col("strength")), 6).alias("coverage"))
+
+
 @query()
 def t3_signatures(t):
     """In SQL too slow on whole tables: the tests compare it with a loop over seeds and shingles. Signatures read a text's first 20,000 distinct shingles, as the reference does."""
