@@ -93,5 +93,27 @@ SELECT doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(
 FROM d LEFT JOIN a USING (rid)
 """
 
+#: All pairs through an inverted index of shingles; components by reachability.
+OP11 = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+s AS (SELECT DISTINCT rid, array_to_string(list_slice(w, i, i + least(len(w), 4) - 1), ' ') AS g FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+c AS (SELECT x.rid AS a, y.rid AS b, count(*) AS common FROM s x JOIN s y ON x.g = y.g AND x.rid <> y.rid GROUP BY x.rid, y.rid),
+link AS (SELECT a, b FROM c JOIN n x ON x.rid = a JOIN n y ON y.rid = b WHERE 100 * common >= 80 * (x.n + y.n - common)),
+reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+class AS (SELECT a AS rid, min(doc_id) AS least_id FROM reach JOIN d ON d.rid = b GROUP BY a)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(least(doc_id, least_id), doc_id) AS component_id, coalesce(doc_id = least(doc_id, least_id), doc_id IS NOT NULL) AS kept
+FROM d LEFT JOIN class USING (rid) LEFT JOIN n USING (rid)
+"""
+
+OP13 = """
+WITH r AS (SELECT row_number() OVER () AS k, * FROM (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)),
+s AS (SELECT a.k, a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS id, b.label, CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) AS BIGINT) AS score FROM r a JOIN r b ON a.vec_id % 50 = 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, id, label) AS place FROM s WHERE same AND id <> anchor_id QUALIFY place <= 5),
+n AS (SELECT p.anchor_id, p.id AS positive_id, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score, row_number() OVER (PARTITION BY p.k, p.place ORDER BY s.score DESC, s.id, s.label) AS rank
+    FROM p JOIN s ON s.k = p.k AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
 
-ORACLE_SQL = {"op1_ngram_jaccard_join": OP1, "op5_secret_scan": _op5(), "op7_lm_scoring": OP7, "op8_suffix_dedup": OP8, "op10_decontamination": OP10}
+ORACLE_SQL = {"op1_ngram_jaccard_join": OP1, "op5_secret_scan": _op5(), "op7_lm_scoring": OP7, "op8_suffix_dedup": OP8, "op10_decontamination": OP10, "op11_minhash_near_dedup": OP11, "op13_hard_negatives": OP13}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivia.llm import decontamination, lm_scoring, ngram_join, packing, quality_classifier, quality_rules, secrets, suffix_dedup, toxicity, url_filter
+from scrivia.llm import alignment, decontamination, hard_negatives, lm_scoring, ngram_join, packing, quality_classifier, quality_rules, secrets, suffix_dedup, tensor_minhash, toxicity, url_filter
 from scrivia.llm.common import crc_mod, table
 
 
@@ -82,4 +82,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op3_quality_rules, op4_url_filter, op5_secret_scan, op6_best_fit_packing, op7_lm_scoring, op8_suffix_dedup, op9_quality_classifier, op10_decontamination)}
+def op11_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tensor_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), tokenizer_file(), tokenizer_file("piece_bpe_32k.model"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", label), "vec_id % 50 = 0")
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_toxicity, op3_quality_rules, op4_url_filter, op5_secret_scan, op6_best_fit_packing, op7_lm_scoring, op8_suffix_dedup, op9_quality_classifier, op10_decontamination, op11_minhash_near_dedup, op12_tokenizer_alignment, op13_hard_negatives)}
