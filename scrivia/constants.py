@@ -77,3 +77,5 @@ VIOLATION_ACTIONS = ("block", "warn", "jury", "unspecified")
 LANGUAGE_LABELS = {"tr": "Türkçe", "en": "İngilizce"}
 UNSTATED = "Belgede belirtilmemiş"
 FILLED_CHARS, MOST_CRITERIA, EMBEDDING_DIM, EMBEDDING_BATCH = 200, 400, 768, 16
+#: Rows of the stored analyses; the least recently used go beyond it.
+CACHE_ROWS = 200

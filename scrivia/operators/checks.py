@@ -10,6 +10,7 @@ from scrivia.functions import text as x
 from scrivia.functions import vectors as v
 from scrivia.lineage import cut
 from scrivia.operators import rules
+from scrivia.operators.logs import numbered
 from scrivia.operators.similarity import rounded
 
 #: The engine's own limit, in MB.
@@ -96,18 +97,6 @@ def ranked_search(entries: DataFrame, wanted: str, *, name_col: str, field_col:
     return best.join(F.broadcast(ranked.agg(F.count("*").alias("total"))))
 
 
-def numbered(rows: DataFrame, key: str, order: list[str], *, parts: int = 0) -> DataFrame:
-    """rows with `_n`, their place within key from 0, without gathering a key in one task: ranges are counted first, then numbered one by one."""
-    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = cut(rows.repartitionByRange(parts, key, *order).withColumn("_part", F.spark_partition_id()))
-    counts = ranged.groupBy(F.col(key).alias("_k"), F.col("_part").alias("_p")).agg(F.count("*").alias("_c"))
-    before = Window.partitionBy("_k").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("_k", "_p", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy(key, "_part").orderBy(*order)) - 1
-    placed = ranged.withColumn("_i", inside).join(F.broadcast(counts), F.col(key).eqNullSafe(F.col("_k")) & (F.col("_part") == F.col("_p")))
-    return placed.withColumn("_n", F.col("_before") + F.col("_i")).drop("_part", "_k", "_p", "_before", "_i")
-
-
 def least_loaded(queue: DataFrame, judges: DataFrame, *, key: str, order: list[str]) -> DataFrame:
     """Queue rows with the judge that taking the least loaded one, row after row, would give them; without judges, no rows.
 

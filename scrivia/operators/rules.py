@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from itertools import chain
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scrivia import constants as k
+from scrivia.operators.logs import guarded_replay
 
 
 def verdict_rank(verdict: Column) -> Column:
@@ -64,41 +64,12 @@ def current_rows(history: DataFrame, *, key: str, order: list[str]) -> DataFrame
 def replay_stages(commands: DataFrame, *, key: str = "competition", order: str = "seq", target: str = "target", unresolved: str = "unresolved", start: str = "draft_criteria") -> DataFrame:
     """Commands in order per competition, with the state before, the state after, whether the transition was allowed, and whether decisions are locked.
 
-    Decisions freeze only where no application is unresolved. One competition's commands are one group: a life has few stages.
+    Decisions freeze only where no application is unresolved.
     """
-    locked = ("decisions_frozen", "results_published", "archived")
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        state, before, after, accepted = start, [], [], []
-        for wanted, left in zip(rows[target], rows[unresolved]):
-            ok = wanted in k.COMPETITION_TRANSITIONS.get(state, ()) and not (wanted == "decisions_frozen" and left > 0)
-            before.append(state)
-            state = wanted if ok else state
-            after.append(state)
-            accepted.append(ok)
-        return rows[[key, order, target]].assign(before=before, after=after, accepted=accepted, locked=[s in locked for s in after])
-
-    types = dict(commands.dtypes)
-    out = f"{key} {types[key]}, {order} {types[order]}, {target} string, before string, after string, accepted boolean, locked boolean"
-    return commands.select(key, order, target, unresolved).groupBy(key).applyInPandas(fold, out)
-
-
-def rate_limited(requests: DataFrame, *, client: str, ts: str, tie: str, window_s: int, most: int) -> DataFrame:
-    """Requests of each client with `allowed`: a window starts at its first request and takes `most`; rejected ones do not count."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([ts, tie])
-        start, used, out = None, 0, []
-        for at in rows[ts]:
-            if start is None or (at - start).total_seconds() >= window_s:
-                start, used = at, 0
-            out.append(used < most)
-            used += used < most
-        return rows[[client, tie, ts]].assign(allowed=out)
-
-    types = dict(requests.dtypes)
-    return requests.select(client, tie, ts).groupBy(client).applyInPandas(fold, f"{client} {types[client]}, {tie} {types[tie]}, {ts} {types[ts]}, allowed boolean")
+    ways = {(state, wanted): wanted for state, own in k.COMPETITION_TRANSITIONS.items() for wanted in own}
+    free = ~((F.col(target) == "decisions_frozen") & (F.coalesce(F.col(unresolved), F.lit(0)) > 0))
+    replayed = guarded_replay(commands.select(key, order, target, unresolved), ways, key=key, order=[order], command=target, ok=free, start=start)
+    return replayed.drop(unresolved).withColumn("locked", F.col("after").isin("decisions_frozen", "results_published", "archived"))
 
 
 def keep_first_of_two_keys(rows: DataFrame, *, group: str, order: str, first: str, second: str) -> DataFrame:
@@ -118,11 +89,12 @@ def keep_first_of_two_keys(rows: DataFrame, *, group: str, order: str, first: st
 def revoked_in_order(accounts: DataFrame, commands: DataFrame, *, order: str) -> DataFrame:
     """(id, outcome) of commands that revoke accounts (id, status, admin), one after another: the last active administrator stays.
 
-    With n active administrators the first n - 1 of them in order may go; only administrators are numbered together, and they are few.
+    With n active administrators the first n - 1 of them in order may go, so all but the one that comes last where every one of them is asked to go: one comparison with that account, and nothing is numbered.
     """
-    total = accounts.agg(F.count_if("admin").alias("_n"))
     rows = commands.select(F.col("id").alias("_id")).distinct().join(accounts, F.col("_id") == F.col("id"), "left")
-    place = rows.filter("admin").select(F.col("_id").alias("_a"), F.row_number().over(Window.orderBy(order)).alias("_place"))
-    rows = rows.join(F.broadcast(place), F.col("_id") == F.col("_a"), "left").join(F.broadcast(total))
+    asked = rows.filter("admin").agg(F.count("*").alias("_asked"), F.max_by("_id", order).alias("_last"))
+    totals = accounts.agg(F.count_if("admin").alias("_n")).join(asked)
     gone = F.coalesce(F.col("status") != "active", F.lit(True))
-    return rows.select(F.col("_id").alias("id"), F.when(gone, "not_found").when(F.col("_place") >= F.col("_n"), "last_moderator").otherwise("revoked").alias("outcome"))
+    stays = F.col("admin") & (F.col("_asked") >= F.col("_n")) & (F.col("_id") == F.col("_last"))
+    outcome = F.when(gone, "not_found").when(stays, "last_moderator").otherwise("revoked")
+    return rows.join(F.broadcast(totals)).select(F.col("_id").alias("id"), outcome.alias("outcome"))

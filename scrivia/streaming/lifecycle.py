@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from scrivia.operators.logs import guarded_replay
+
 # Command, the states that take it, the state after.
 APPLICATION_COMMANDS = {
     "submit": ((None,), "submitted"),
@@ -57,15 +59,10 @@ def _plain(commands: DataFrame, key: str) -> DataFrame:
 
 
 def replay_applications(commands: DataFrame, *, key: str = "application") -> DataFrame:
-    """Every command with the state before and after it and whether it was accepted; one application's commands are one group."""
-    kind = commands.schema[key].dataType.simpleString()
-
-    def fold(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out, _ = _fold(rows, None)
-        out.insert(0, "application", group[0])
-        return out
-
-    return _plain(commands, key).groupBy("application").applyInPandas(fold, f"application {kind}, {COLUMNS}")
+    """Every command with the state before and after it and whether it was accepted."""
+    ways = {(state, command): after for command, (states, after) in APPLICATION_COMMANDS.items() for state in states}
+    rows = _plain(commands, key)
+    return guarded_replay(rows, ways, key="application", order=["seq", "command"], command="command", ok=F.col("ok"), start=None).select("application", "seq", "command", "before", "after", "accepted")
 
 
 class ApplicationStates(StatefulProcessor):
@@ -95,3 +92,45 @@ def stream_applications(commands: DataFrame, *, key: str = "application") -> Dat
 def live_sessions(events: DataFrame, *, key: str, ts: str, ttl: str, watermark: str) -> DataFrame:
     """Session windows per key that close after `ttl` without an event; late events beyond the watermark are dropped. An addition to the reference's expiry purge."""
     return events.withWatermark(ts, watermark).groupBy(F.session_window(ts, ttl), key).agg(F.count("*").alias("events"), F.max(ts).alias("last_seen")).drop("session_window")
+
+
+class ClientWindows(StatefulProcessor):
+    """Keeps each client's open window, its begin and how many requests it let in, until a timer closes it."""
+
+    def __init__(self, window_s: int, most: int):
+        self.window_us, self.most = window_s * 1_000_000, most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.window = handle.getValueState("window", "begin long, used long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        batch = pd.concat(list(rows)).sort_values(["ts", "tie"])
+        begin, used = self.window.get() if self.window.exists() else (None, 0)
+        allowed = []
+        for at in batch["ts"].astype("datetime64[us]").astype("int64"):
+            if begin is None or at - begin >= self.window_us:
+                begin, used = at, 0
+            allowed.append(used < self.most)
+            used += used < self.most
+        self.window.update((int(begin), int(used)))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer((int(begin) + self.window_us) // 1000 + 1)
+        out = batch[["tie", "ts"]].assign(allowed=allowed)
+        out.insert(0, "client", key[0])
+        yield out
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.window.clear()
+        yield pd.DataFrame()
+
+    def close(self) -> None:
+        pass
+
+
+def stream_rate_limited(requests: DataFrame, *, client: str, ts: str, tie: str, window_s: int, most: int, watermark: str = "0 seconds") -> DataFrame:
+    """As operators.logs.rate_limited over a stream whose micro-batches come in order of time; a client's state goes when the watermark passes its window. Needs the RocksDB state store."""
+    kind = {c: requests.schema[c].dataType.simpleString() for c in (client, tie)}
+    named = requests.withWatermark(ts, watermark).select(F.col(client).alias("client"), F.col(tie).alias("tie"), F.col(ts).alias("ts"))
+    return named.groupBy("client").transformWithStateInPandas(ClientWindows(window_s, most), f"client {kind[client]}, tie {kind[tie]}, ts timestamp, allowed boolean", "append", "eventtime")
