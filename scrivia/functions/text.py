@@ -48,7 +48,9 @@ def fold_line(text: Column) -> Column:
     pairs = F.array(*(F.struct(F.lit(c).alias("a"), F.lit(own).alias("b")) for c, own in _MANY.items()))
     spelled = F.when(text.rlike(_SPELLED), F.aggregate(pairs, text, lambda acc, p: F.replace(acc, p["a"], p["b"]))).otherwise(text)
     low = F.translate(tr_lower(spelled), "".join(_ONE), "".join(_ONE.values()))
-    return F.trim(F.regexp_replace(F.replace(F.regexp_replace(low, "[̀-ͯ]", ""), F.lit("ı"), F.lit("i")), "[^a-z0-9]+", " "))
+    low = F.replace(F.regexp_replace(low, "[̀-ͯ]", ""), F.lit("ı"), F.lit("i"))
+    low = F.when(text.rlike(r"[^\x00-\x7F]"), low).otherwise(F.lower(text))  # in ASCII alone every letter's fold is its lower case
+    return F.trim(F.regexp_replace(low, "[^a-z0-9]+", " "))
 
 
 def fold_key(text: Column) -> Column:

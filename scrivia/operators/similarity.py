@@ -9,6 +9,7 @@ from scrivia import constants as k
 from scrivia.functions import text as x
 from scrivia.functions import vectors as v
 from scrivia.lineage import cut
+from scrivia.sources.tables import spread
 
 
 def rounded(value: Column) -> Column:
@@ -26,7 +27,7 @@ def chunks(reports: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
 
 
 def document_signatures(reports: DataFrame, *, id_col: str, text_col: str, scope_col: str) -> DataFrame:
-    return reports.select(id_col, scope_col, v.min_hash(x.fold_line(F.col(text_col))).alias("signature"))
+    return spread(reports.select(id_col, scope_col, text_col)).select(id_col, scope_col, v.min_hash(x.fold_line(F.col(text_col))).alias("signature"))
 
 
 def lsh_peers(signed: DataFrame, *, id_col: str, scope_col: str, rows: int = 2) -> DataFrame:
@@ -50,24 +51,40 @@ def lsh_top_peers(signed: DataFrame, *, id_col: str, scope_col: str, top: int) -
     return scored.withColumn("rank", rank).filter(F.col("rank") <= top)
 
 
-def common_cells(nodes: DataFrame, *, hot: int, salts: int) -> DataFrame:
-    """nodes (scope, node, signature) to (scope, a, b, common): how many cells (seed, value) two nodes of a scope share, both ways.
+def common_cells(nodes: DataFrame, *, often: int, first: int) -> DataFrame:
+    """nodes (scope, node, signature) to (scope, a, b, common): how many cells (seed, value) two nodes of a scope share, both ways, of all pairs among which each node's `first` best are.
 
-    A cell of more than `hot` nodes is dealt over `salts` tasks.
+    A cell of at most `often` nodes pairs its nodes. Of the cells of more nodes, pairs of cells stand as keys: two nodes meet there if they share two of them. What
+    shares one such cell and nothing else has a single cell in common, and of these only those with the least ids of their cell can be among the first; they are listed, not paired.
+    So a frequent cell makes no pairs of all its nodes.
     """
-    cells = nodes.select("scope", "node", F.posexplode("signature").alias("seed", "value"))
-    often = cells.groupBy(F.col("scope").alias("_s"), F.col("seed").alias("_seed"), F.col("value").alias("_value")).agg(F.count("*").alias("_n"))
-    same = F.col("scope").eqNullSafe(F.col("_s")) & (F.col("seed") == F.col("_seed")) & (F.col("value") == F.col("_value"))
-    cells = cells.join(often.filter("_n > 1"), same).select("scope", "seed", "value", "node", (F.col("_n") > hot).alias("_hot"))
-    lot = F.when(F.col("_hot"), F.pmod(F.xxhash64("node"), F.lit(salts))).otherwise(0)
-    lots = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    left = cells.select("scope", "seed", "value", F.col("node").alias("a"), lot.cast("int").alias("lot"))
-    right = cells.select(F.col("scope").alias("_s"), F.col("seed").alias("_seed"), F.col("value").alias("_value"), F.col("node").alias("b"), F.explode(lots).alias("_lot"))
-    met = left.join(right, same & (F.col("lot") == F.col("_lot")) & (F.col("a") < F.col("b"))).groupBy("scope", "a", "b").agg(F.count("*").alias("common"))
-    return met.select("scope", F.inline(F.array(F.struct("a", "b", "common"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "common"))))
-
-
-def top_peers(reports: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", scope_col: str = "lang", top: int = 3, exact: bool = True, hot: int = 2000, salts: int = 16) -> DataFrame:
+    cells = nodes.select("scope", "node", F.posexplode("signature").alias("seed", "value")).select("scope", "node", (F.col("seed").cast("long") * 4294967296 + F.col("value")).alias("cell"))
+    held = cells.groupBy(F.col("scope").alias("_s"), F.col("cell").alias("_cell")).agg(F.count("*").alias("_n")).filter("_n > 1")
+    shared = cut(cells.join(held, F.col("scope").eqNullSafe(F.col("_s")) & (F.col("cell") == F.col("_cell"))).select("scope", "node", "cell", (F.col("_n") > often).alias("hot")))
+
+    def met(rows: DataFrame, key: str) -> DataFrame:
+        left = rows.select("scope", F.col("node").alias("a"), F.col(key).alias("key"))
+        right = rows.select(F.col("scope").alias("_s"), F.col("node").alias("b"), F.col(key).alias("_key"))
+        return left.join(right, F.col("scope").eqNullSafe(F.col("_s")) & (F.col("key") == F.col("_key")) & (F.col("a") < F.col("b"))).groupBy("scope", "a", "b").agg(F.count("*").alias("c"))
+
+    hot = cut(shared.filter("hot").groupBy("scope", "node").agg(F.array_sort(F.collect_list("cell")).alias("hot")))
+    two = F.flatten(F.transform("hot", lambda x: F.transform(F.filter("hot", lambda y: y > x), lambda y: F.xxhash64(x, y))))
+    pairs = met(shared.filter("not hot"), "cell").unionByName(met(hot.select("scope", "node", F.explode(two).alias("two")), "two").withColumn("c", F.lit(0).cast("long")))
+    pairs = pairs.groupBy("scope", "a", "b").agg(F.max("c").alias("c"))
+    side = lambda name: hot.select(F.col("node").alias(f"_{name}"), F.col("hot").alias(f"hot_{name}"))
+    pairs = pairs.join(side("a"), F.col("a") == F.col("_a"), "left").join(side("b"), F.col("b") == F.col("_b"), "left")
+    pairs = pairs.select("scope", "a", "b", (F.col("c") + F.coalesce(F.size(F.array_intersect("hot_a", "hot_b")), F.lit(0))).alias("common"))
+    pairs = pairs.select("scope", F.inline(F.array(F.struct("a", "b", "common"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "common"))))
+
+    in_cell = Window.partitionBy("scope", "cell").orderBy("node")
+    heads = shared.filter("hot").withColumn("_r", F.row_number().over(in_cell)).filter(F.col("_r") <= first + 1)
+    heads = heads.groupBy(F.col("scope").alias("_s"), F.col("cell").alias("_cell")).agg(F.collect_list("node").alias("heads"))
+    listed = shared.filter("hot").join(heads, F.col("scope").eqNullSafe(F.col("_s")) & (F.col("cell") == F.col("_cell"))).groupBy("scope", F.col("node").alias("a")).agg(F.array_distinct(F.flatten(F.collect_list("heads"))).alias("heads"))
+    least = listed.select("scope", "a", F.explode(F.slice(F.array_sort(F.filter("heads", lambda b: b != F.col("a"))), 1, first)).alias("b")).withColumn("common", F.lit(1).cast("long"))
+    return pairs.unionByName(least).groupBy("scope", "a", "b").agg(F.max("common").alias("common"))
+
+
+def top_peers(reports: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", scope_col: str = "lang", top: int = 3, exact: bool = True, often: int = 16) -> DataFrame:
     """(own, peer, similarity, rank): each report's most similar peers in its scope, the lesser id of equals; a null scope is one of its own.
 
     Every peer counts, also those of similarity 0; texts without words are alike. Reports of one signature are one node, so copies
@@ -81,7 +98,7 @@ def top_peers(reports: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     heads = signed.withColumn("_r", F.row_number().over(least)).filter(F.col("_r") <= top + 1)
     nodes = cut(heads.groupBy("scope", "signature").agg(F.min("own").alias("node"), F.array_sort(F.collect_list("own")).alias("members")))
 
-    met = common_cells(nodes.select("scope", "node", "signature"), hot=hot, salts=salts)
+    met = common_cells(nodes.select("scope", "node", "signature"), often=often, first=top + 1)
     ranked = met.withColumn("_r", F.row_number().over(Window.partitionBy("scope", "a").orderBy(F.desc("common"), "b"))).filter(F.col("_r") <= top + 1)
     member = nodes.select(F.col("scope").alias("_s"), F.col("node").alias("_node"), "members")
     other = ranked.join(member, F.col("scope").eqNullSafe(F.col("_s")) & (F.col("b") == F.col("_node"))).select("scope", F.col("a").alias("node"), F.explode("members").alias("peer"), (F.col("common") / k.MINHASH_SEEDS).alias("similarity"))
@@ -222,19 +239,61 @@ def precheck_shingles(text: Column) -> Column:
     return F.element_at(F.transform(F.array(words), of), 1)  # the words are split once, not for each shingle
 
 
-def best_jaccard(reports: DataFrame, *, id_col: str, text_col: str, scope_col: str) -> DataFrame:
-    """(id_col, peer, similarity, status) of each report's most similar other report in its scope, through an inverted index.
+def size_class(n: Column) -> Column:
+    """Sizes that differ by less than about a fifth, numbered."""
+    return F.floor(4 * F.log2(n)).cast("int")
 
-    Shingles are hashed before they are exchanged; only pairs that share one meet.
+
+def best_jaccard(reports: DataFrame, *, id_col: str, text_col: str, scope_col: str, heads: int = 3) -> DataFrame:
+    """(id_col, peer, similarity, status) of each report's most similar other report in its scope, the least id of equals; null and 0 where none shares a shingle.
+
+    Reports of one shingle set are one node; shingles that no other node has are only counted. A first pass meets each shingle's `heads` smallest nodes alone and gives every
+    node a similarity L that its best peer reaches. What can reach L shares one of the node's rarest n - ceil(L * n) + 1 shingles, and is neither too small nor too large for it,
+    so the second pass joins those shingles with those sizes; what its counts leave possible is scored exactly. A shingle of N nodes thus makes no N * N rows unless their sizes are alike and
+    nothing rarer tells them apart. A null scope is one of its own; ids are unique and not null; nodes are named by 64-bit hashes, as shingles are.
     """
-    sets = reports.select(F.col(id_col).alias("id"), F.col(scope_col).alias("scope"), F.transform(precheck_shingles(F.col(text_col)), lambda s: F.xxhash64(s)).alias("g"))
-    sizes = sets.select("id", F.size("g").alias("n"))
-    index = sets.select("id", "scope", F.explode("g").alias("g"))
-    other = index.select(F.col("id").alias("peer"), F.col("scope").alias("_scope"), F.col("g").alias("_g"))
-    common = index.join(other, (F.col("g") == F.col("_g")) & F.col("scope").eqNullSafe(F.col("_scope")) & (F.col("id") != F.col("peer"))).groupBy("id", "peer").agg(F.count("*").alias("c"))
-    scored = common.join(sizes, "id").join(sizes.select(F.col("id").alias("peer"), F.col("n").alias("pn")), "peer").withColumn("similarity", F.col("c") / (F.col("n") + F.col("pn") - F.col("c")))
-    best = scored.groupBy("id").agg(F.max_by("peer", F.struct("similarity", -F.col("peer"))).alias("peer"), F.max("similarity").alias("similarity"))
-    out = reports.select(F.col(id_col).alias("_id")).join(best, F.col("_id") == F.col("id"), "left")
-    s = F.coalesce(F.col("similarity"), F.lit(0.0))
+    hashed = F.transform(precheck_shingles(F.col(text_col)), lambda s: F.xxhash64(s))
+    sets = cut(spread(reports).select(F.col(id_col).alias("id"), F.col(scope_col).alias("scope"), F.array_sort(hashed).alias("g")))
+    named = sets.filter("size(g) > 0").select("id", "scope", "g", F.xxhash64("g").alias("set"))
+    by_id = Window.partitionBy("scope", "set").orderBy("id")
+    first = named.withColumn("_r", F.row_number().over(by_id)).filter("_r <= 2")
+    nodes = first.groupBy("scope", "set").agg(F.min("id").alias("node"), F.max("id").alias("second"), F.first("g").alias("g"))
+    nodes = cut(nodes.select("scope", "set", "node", F.when(F.col("second") != F.col("node"), F.col("second")).alias("second"), "g"))
+
+    index = nodes.select("scope", "node", F.size("g").alias("n"), F.explode("g").alias("item"))
+    often = index.groupBy(F.col("scope").alias("_s"), F.col("item").alias("_item")).agg(F.count("*").alias("df")).filter("df > 1")
+    on_item = F.col("scope").eqNullSafe(F.col("_s")) & (F.col("item") == F.col("_item"))
+    shared = cut(index.join(often, on_item).select("scope", "node", "n", "item", "df"))
+    smallest = Window.partitionBy("scope", "item").orderBy("n", "node")
+    small = shared.withColumn("_r", F.row_number().over(smallest)).filter(F.col("_r") <= heads + 1)  # one of them may be the node itself
+    small = small.select(F.col("scope").alias("_s"), F.col("item").alias("_item"), F.col("node").alias("peer"), F.col("n").alias("pn"))
+    met = shared.join(small, on_item).filter("node != peer").groupBy("node", "n", "peer", "pn").agg(F.count("*").alias("c"))
+    jaccard = F.col("c") / (F.col("n") + F.col("pn") - F.col("c"))
+    least = met.groupBy(F.col("node").alias("_node")).agg(F.max(jaccard).alias("least"))
+
+    ranked = shared.groupBy("scope", "node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("items"))
+    ranked = cut(ranked.join(least, F.col("node") == F.col("_node")).select("scope", "node", "n", "least", F.transform("items", lambda i: i["item"]).alias("items")))
+    n, own, low = F.col("n"), F.size("items"), F.col("least")
+    probed = F.least(own, (own - F.ceil(low * n - 1e-9) + 1).cast("int"))
+    probes = ranked.select("scope", "node", "n", "least", own.alias("own"), probed.alias("probed"), F.ceil(low * n - 1e-9).alias("from"), F.floor(own / low + own - n + 1e-6).alias("to"), F.slice("items", 1, probed).alias("items"))
+    probes = probes.select("scope", "node", "n", "least", "own", "probed", "from", "to", F.explode("items").alias("item"))
+    probes = probes.withColumn("class", F.explode(F.sequence(size_class(F.greatest(F.col("from"), F.lit(1))), size_class(F.greatest(F.col("to"), F.col("from"), F.lit(1))))))
+    posted = shared.select(F.col("scope").alias("_s"), F.col("item").alias("_item"), F.col("node").alias("peer"), F.col("n").alias("pn"), size_class(F.col("n")).alias("_class"))
+    near = on_item & (F.col("class") == F.col("_class")) & (F.col("node") != F.col("peer")) & F.col("pn").between(F.col("from"), F.col("to"))
+    pairs = probes.join(posted, near).groupBy("node", "n", "least", "own", "probed", "peer", "pn").agg(F.count("*").alias("c"))
+    most = F.least(F.col("c") + F.col("own") - F.col("probed"), F.col("pn"))
+    pairs = pairs.filter(most / (F.col("n") + F.col("pn") - most) >= F.col("least") - 1e-9).select("node", "n", "peer", "pn")
+
+    of = ranked.select(F.col("node").alias("_node"), F.col("items").alias("own_items"))
+    other = ranked.select(F.col("node").alias("_peer"), F.col("items").alias("peer_items"))
+    scored = pairs.join(of, F.col("node") == F.col("_node")).join(other, F.col("peer") == F.col("_peer"))
+    scored = scored.select("node", "peer", "n", "pn", F.size(F.array_intersect("own_items", "peer_items")).alias("c")).select("node", "peer", jaccard.alias("similarity"))
+    best = scored.groupBy(F.col("node").alias("_b")).agg(F.max_by("peer", F.struct("similarity", -F.col("peer"))).alias("near"), F.max("similarity").alias("score"))
+
+    about = nodes.join(best, F.col("node") == F.col("_b"), "left").select(F.col("scope").alias("_s"), F.col("set").alias("_set"), "node", "second", "near", "score")
+    rows = sets.select("id", "scope", F.when(F.size("g") > 0, F.xxhash64("g")).alias("set"))
+    out = rows.join(about, F.col("scope").eqNullSafe(F.col("_s")) & (F.col("set") == F.col("_set")), "left")
+    copy = F.when(F.col("id") == F.col("node"), F.col("second")).otherwise(F.col("node"))
+    s = F.when(copy.isNotNull(), 1.0).otherwise(F.coalesce("score", F.lit(0.0)))
     status = F.when(s >= k.PRECHECK_HIGH, "flagged").when(s >= k.PRECHECK_REVIEW, "warning").otherwise("passed")
-    return out.select(F.col("_id").alias(id_col), "peer", s.alias("similarity"), status.alias("status"))
+    return out.select(F.col("id").alias(id_col), F.coalesce(copy, F.col("near")).alias("peer"), s.alias("similarity"), status.alias("status"))

@@ -10,6 +10,7 @@ from scrivia.functions import vectors as v
 from scrivia.operators import rules
 from scrivia.operators import similarity as s
 from scrivia.plans.registry import query
+from scrivia.sources.tables import spread
 
 _PLAIN = f"translate(regexp_replace(translate(lower(translate(replace(text, 'İ', 'i'), 'Iİ', 'ıi')), '{k.ACCENTED}ğş', '{k.PLAIN}gs'), '[̀-ͯ]', '', 'g'), 'ı', 'i')"
 _FOLD = f"trim(regexp_replace({_PLAIN}, '[^a-z0-9]+', ' ', 'g'))"
@@ -23,7 +24,7 @@ def _listed(words: tuple[str, ...]) -> str:
 
 @query(f"SELECT doc_id, sha256({_FOLD}) AS folded FROM documents")
 def f1_f3_f6_fold_line(t):
-    return t.documents.select("doc_id", F.sha2(x.fold_line(F.col("text")), 256).alias("folded"))
+    return spread(t.documents.select("doc_id", "text")).select("doc_id", F.sha2(x.fold_line(F.col("text")), 256).alias("folded"))
 
 
 _NAMED = "(p_name || ' ﬁnal-² ' || p_brand || ' Ｘ')"
@@ -49,7 +50,7 @@ def f5_competition_key(t):
 FROM (SELECT doc_id, w, len(list_filter(w, lambda y: list_contains({_listed(k.TURKISH_STOPWORDS)}, y))) AS th, len(list_filter(e, lambda y: list_contains({_listed(k.ENGLISH_STOPWORDS)}, y))) AS eh, CAST(c AS DOUBLE) AS c
 FROM (SELECT doc_id, {_WORDS} AS w, list_filter(regexp_split_to_array(lower(text), '[^a-zçğıöşüâîû0-9]+'), lambda y: y <> '') AS e, len(regexp_extract_all(lower(text), '[çğıöşü]')) AS c FROM documents))""")
 def f16_t25_detect_language(t):
-    return t.documents.select("doc_id", x.detect_language(F.col("text")).alias("detected"))
+    return spread(t.documents.select("doc_id", "text")).select("doc_id", x.detect_language(F.col("text")).alias("detected"))
 
 
 @query("SELECT doc_id, CASE WHEN length(f) > 220 THEN substr(f, 1, 220) || '…' ELSE f END AS flat FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS f FROM documents)")
@@ -130,6 +131,16 @@ def t3_top_peers(t):
     return s.top_peers(t.documents)
 
 
+@query("""WITH s AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(translate(replace(text, 'İ', 'i'), 'Iİ', 'ıi')), '[^a-zçğıöşüâîû0-9]+'), lambda y: len(y) >= 3) AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM s WHERE len(w) >= 5))
+SELECT doc_id, count(g) AS shingles, min(g) AS first, max(g) AS last, CAST(sum(length(g)) AS BIGINT) AS characters FROM documents LEFT JOIN g USING (doc_id) GROUP BY doc_id""")
+def w12_shingles(t):
+    """The distinct shingles of each report: how many, the first and the last in order, and their characters."""
+    own = t.documents.select("doc_id", s.precheck_shingles(F.col("text")).alias("g"))
+    characters = F.when(F.size("g") > 0, F.aggregate("g", F.lit(0).cast("long"), lambda n, g: n + F.length(g)))
+    return own.select("doc_id", F.greatest(F.size("g"), F.lit(0)).cast("long").alias("shingles"), F.array_min("g").alias("first"), F.array_max("g").alias("last"), characters.alias("characters"))
+
+
 @query("""WITH s AS (SELECT doc_id, lang, list_filter(regexp_split_to_array(lower(translate(replace(text, 'İ', 'i'), 'Iİ', 'ıi')), '[^a-zçğıöşüâîû0-9]+'), lambda y: len(y) >= 3) AS w FROM documents),
 g AS (SELECT DISTINCT doc_id, lang, array_to_string(list_slice(w, i, i + 4), ' ') AS g FROM (SELECT doc_id, lang, w, unnest(range(1, len(w) - 3)) AS i FROM s WHERE len(w) >= 5)),
 n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),

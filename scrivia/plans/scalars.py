@@ -9,6 +9,7 @@ from scrivia.functions import records as r
 from scrivia.functions import text as x
 from scrivia.functions import vectors as v
 from scrivia.plans.registry import query
+from scrivia.sources.tables import spread
 from scrivia.sources.views import ACCOUNTS, CRITERIA, FINDINGS, USAGE, View, pick, quoted
 
 
@@ -107,7 +108,7 @@ g AS (SELECT doc_id, wanted, CASE WHEN n < 40 THEN 'unknown' WHEN s > eh THEN 't
 b AS (SELECT *, CASE WHEN regexp_matches({tr_lower_sql('wanted')}, 'türk|turk') THEN 'tr' WHEN regexp_matches({tr_lower_sql('wanted')}, 'ingiliz|english') THEN 'en' END AS code FROM g)
 SELECT doc_id, CASE found WHEN 'tr' THEN 'Türkçe' WHEN 'en' THEN 'İngilizce' END AS label, CASE WHEN found = 'unknown' THEN 'warning' WHEN code IS NOT NULL AND code <> found THEN 'flagged' ELSE 'passed' END AS status FROM b""")
 def f17_t25_language_check(t):
-    found = t.documents.select("doc_id", F.expr(_WANTED).alias("wanted"), x.detect_language(F.col("text")).alias("found"))
+    found = spread(t.documents).select("doc_id", F.expr(_WANTED).alias("wanted"), x.detect_language(F.col("text")).alias("found"))
     return found.select("doc_id", r.language_label(F.col("found")).alias("label"), r.language_status(F.col("found"), F.col("wanted")).alias("status"))
 
 

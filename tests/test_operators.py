@@ -188,8 +188,8 @@ def test_report_similarity_has_a_row_for_short_reports(spark, tmp_path):
     assert sorted((r.own_id, r.peer_id, r.percent, r.level) for r in rows) == [(100, 200, 0, "normal"), (200, 201, 100, "high"), (300, None, None, "none")]
 
 
-@pytest.mark.parametrize("hot", [2000, 2])
-def test_top_peers_are_all_pairs(spark, hot):
+@pytest.mark.parametrize("often", [1, 2, 5, 2000])
+def test_top_peers_are_all_pairs(spark, often):
     """Weak peers, copies, texts without words, a null scope and a scope of two, against every pair."""
     draw = np.random.default_rng(3)
     base = [[f"w{b}x{i}" for i in range(40)] for b in range(4)]
@@ -200,11 +200,41 @@ def test_top_peers_are_all_pairs(spark, hot):
     for i, _, scope in rows:
         peers = sorted((-sum(a == b for a, b in zip(sign[i], sign[j])) / 64, j) for j, _, s in rows if j != i and s == scope)
         wanted |= {(i, j, -near, r + 1) for r, (near, j) in enumerate(peers[:3])}
-    found = similarity.top_peers(spark.createDataFrame(rows, "doc_id long, text string, lang string"), hot=hot).collect()
+    found = similarity.top_peers(spark.createDataFrame(rows, "doc_id long, text string, lang string"), often=often).collect()
     assert {(r.own, r.peer, r.similarity, r["rank"]) for r in found} == wanted and len(found) == len(wanted)
     assert any(0 < w[2] < 0.3 for w in wanted)
 
 
+def test_frequent_cells_make_few_pairs(spark):
+    """Nodes that share one cell with all others and little else: their best by all pairs, from far fewer pairs."""
+    draw = np.random.default_rng(8)
+    own = {n: [7, *draw.integers(0, 400, 63).tolist()] for n in range(300)}
+    nodes = spark.createDataFrame([(None, n, sig) for n, sig in own.items()], "scope string, node long, signature array<long>")
+    found = similarity.common_cells(nodes, often=4, first=3).collect()
+    common = {(r.a, r.b): r.common for r in found}
+    for a in own:
+        every = sorted((-sum(x == y for x, y in zip(own[a], own[b])), b) for b in own if b != a)
+        assert sorted((-c, b) for (x, b), c in common.items() if x == a)[:3] == every[:3]
+    assert len(common) < 300 * 299 / 4
+
+
+@pytest.mark.parametrize("heads", [1, 3])
+def test_best_jaccard_is_all_pairs(spark, heads):
+    """Copies, near copies, a passage that most reports share, short reports, a null scope, and ties."""
+    draw = np.random.default_rng(heads)
+    passage = " ".join(f"common{i}" for i in range(9))
+    text = lambda n: " ".join(f"word{w}" for w in draw.integers(0, 10**6, n))
+    long = [text(60) for _ in range(6)]
+    rows = [(n, f"{text(int(draw.integers(3, 80)))} {passage}" if n % 3 else text(20), ("a", None)[n % 2]) for n in range(60)]
+    rows += [(100 + n, " ".join(w for k, w in enumerate(long[n % 6].split()) if k != 7 * (n // 12)), ("a", None)[n % 2]) for n in range(60)]
+    rows += [(200, "", "a"), (201, None, "a"), (202, "one two three four five", "a"), (203, "one two three four five", "a"), (204, "one two three four five", None)]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t, _ in rows for w in [[w for w in (t or "").split() if len(w) > 2]]}
+    found = {r.doc_id: (r.peer, round(r.similarity, 9)) for r in similarity.best_jaccard(spark.createDataFrame(rows, "doc_id long, text string, lang string"), id_col="doc_id", text_col="text", scope_col="lang", heads=heads).collect()}
+    for i, _, scope in rows:
+        near = sorted((-len(sets[i] & sets[j]) / len(sets[i] | sets[j]), j) for j, _, s in rows if j != i and s == scope and sets[i] & sets[j])
+        assert found[i] == ((near[0][1], round(-near[0][0], 9)) if near else (None, 0.0)), i
+
+
 def test_folds(spark):
     row = spark.createDataFrame([("İNSANSIZ IŞIK Çağrı é",)], "t string").select(x.tr_lower(F.col("t")), x.fold(F.col("t")), x.fold_line(F.col("t")), x.fold_line_exact(F.col("t"))).first()
     assert tuple(row) == ("insansız ışık çağrı é", "insansiz isik cagri é", "insansiz isik cagri e", "insansiz isik cagri e")
