@@ -36,59 +36,87 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_NORMAL).split()
 
 
-def windows_of(words: list[bytes], size: int) -> set[str]:
-    """Windows as ` w1 w2 ... `: bytes read as Latin-1, a space on either side."""
-    return {(b" %s " % b" ".join(words[i : i + size])).decode("latin-1") for i in range(max(1, len(words) - size + 1))} if words else set()
-
-
-def automaton(items: list[tuple[str | None, bytes]], size: int) -> ahocorasick.Automaton:
-    owners: dict[str, set[str | None]] = {}
-    for item, text in items:
-        for window in windows_of(words_of(text), size):
-            owners.setdefault(window, set()).add(item)
-    machine = ahocorasick.Automaton()
-    for window, own in owners.items():
-        machine.add_word(window, (window.count(" ") - 1, len(window), sorted(own, key=lambda i: (i is None, i or ""))))
-    if owners:
-        machine.make_automaton()
-    return machine
+class Machine:
+    """One automaton over the windows of items, whose letters are word numbers; about 300 bytes for each word of the items.
 
+    A window's neighbouring words are neighbours in an item, so the automaton only reads those stretches of a text whose neighbours all are; what is between cannot be part of a window.
+    """
 
-def matches(machine: ahocorasick.Automaton, text: bytes, words: list[bytes]) -> list[dict]:
+    def __init__(self, items: list[tuple[str | None, bytes]], size: int):
+        self.numbers: dict[bytes, int] = {}
+        self.windows: list[tuple[int, list[str | None]]] = []
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        place: dict[tuple[int, ...], int] = {}
+        owners: list[set[str | None]] = []
+        near = [np.zeros(0, np.int64)]
+        for item, text in items:
+            own = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in words_of(text)]
+            ids = np.array(own, np.int64)
+            near.append(ids[:-1] << 32 | ids[1:])
+            for i in range(max(1, len(own) - size + 1) if own else 0):
+                window = tuple(own[i : i + size])
+                if (at := place.setdefault(window, len(owners))) == len(owners):
+                    owners.append(set())
+                    self.automaton.add_word(window, at)
+                owners[at].add(item)
+        self.windows = [(len(window), sorted(own, key=lambda i: (i is None, i or ""))) for window, own in zip(place, owners)]
+        self.near = np.unique(np.concatenate(near))
+        self.shortest = min((n for n, _ in self.windows), default=0)
+        if owners:
+            self.automaton.make_automaton()
+
+    def __len__(self) -> int:
+        return len(self.windows)
+
+    def stretches(self, ids: np.ndarray) -> list[tuple[int, int]]:
+        """Where known words follow each other as they do in items, at least as many as the shortest window has."""
+        both = ids[:-1] << 32 | ids[1:]
+        at = np.searchsorted(self.near, both) if len(self.near) else np.zeros(len(both), np.int64)
+        linked = self.near[np.minimum(at, len(self.near) - 1)] == both if len(self.near) else np.zeros(len(both), bool)
+        begin = np.flatnonzero(np.concatenate(([True], ~linked)))
+        end = np.append(begin[1:], len(ids))
+        fit = (end - begin >= self.shortest) & (ids[begin] > 0)
+        return list(zip(begin[fit].tolist(), end[fit].tolist()))
+
+    def ends(self, words: list[bytes]) -> list[tuple[int, int]]:
+        """(number of the last word, number of the window) of every occurrence, in order."""
+        get = self.numbers.get
+        ids = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
+        return [(begin + end, window) for begin, stop in self.stretches(ids) for end, window in self.automaton.iter(tuple(ids[begin:stop].tolist()))]
+
+
+def matches(machine: Machine, text: bytes, words: list[bytes]) -> list[dict]:
     """Each occurrence of each item's window: word numbers and code-point offsets, ends included and excluded."""
-    if not len(machine) or not words:
-        return []
-    hay = (b" %s " % b" ".join(words)).decode("latin-1")
-    found = list(machine.iter(hay))
+    found = machine.ends(words) if len(machine) and words else []
     if not found:
         return []
-    gaps = np.flatnonzero(np.frombuffer(hay.encode("latin-1"), np.uint8) == 32)
     spans = [m.span() for m in _WORD.finditer(text)]
     points = np.concatenate(([0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)))
     out = []
-    for end, (count, length, items) in found:
-        first = int(np.searchsorted(gaps, end - length + 1))
-        last = first + count - 1
+    for last, window in found:
+        count, items = machine.windows[window]
+        first = last - count + 1
         for item in items:
             out.append({"item": item, "first_word": first, "last_word": last, "begin": int(points[spans[first][0]]), "end": int(points[spans[last][1]])})
     return out
 
 
-_machines: dict[str, ahocorasick.Automaton] = {}
+_machines: dict[str, Machine] = {}
 
 
-def _machine(key: str, items: Broadcast, size: int) -> ahocorasick.Automaton:
+def _machine(key: str, items: Broadcast, size: int) -> Machine:
     """The worker's automaton of a block of items, built once."""
     if key not in _machines:
         _machines.clear()
-        _machines[key] = automaton(items.value, size)
+        _machines[key] = Machine(items.value, size)
     return _machines[key]
 
 
-def _shared(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list[Broadcast]:
-    """The items, broadcast in blocks of about block_bytes."""
+def _shared(benchmark: DataFrame, item_col: str, text_col: str, block_words: int) -> list[Broadcast]:
+    """The items, broadcast in blocks of about block_words words."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).filter("text is not null")
-    blocks = max(1, math.ceil((items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / block_bytes))
+    words = items.agg(F.sum(F.regexp_count("text", F.lit("[0-9A-Za-z\\x{80}-\\x{10FFFF}]+")))).first()[0] or 0
+    blocks = max(1, math.ceil(words / block_words))
     own = lambda b: items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).collect()
     return [benchmark.sparkSession.sparkContext.broadcast([(r.item, r.text.encode()) for r in own(b)]) for b in range(blocks)]
 
@@ -113,22 +141,22 @@ def _scan(items: Broadcast, size: int, begun: bool, ended: bool):
     return run
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = 32 << 20) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_words: int = 1 << 19) -> DataFrame:
     """(id_col, n_words, hits) for every document; hits lists every occurrence of a benchmark window.
 
-    The benchmark is the stated query set: it is broadcast in blocks whose text holds block_bytes
-    on average, and each block's automaton reads all documents in one narrow pass, without a shuffle.
+    The benchmark is the stated query set: it is broadcast in blocks of block_words words on average (about 200 MB for the automaton
+    in a worker), and each block's automaton reads all documents in one narrow pass, without a shuffle.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    blocks = _shared(benchmark, item_col, item_text_col, block_bytes)
+    blocks = _shared(benchmark, item_col, item_text_col, block_words)
     for b, shared in enumerate(blocks):
         ended = b == len(blocks) - 1
         out = out.mapInArrow(_scan(shared, window, b > 0, ended), f"id {id_type}, {'' if ended else 'text string, '}n_words long, hits {HIT}")
     return out.withColumnRenamed("id", id_col)
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = 32 << 20) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_words: int = 1 << 19) -> DataFrame:
     """The rows of docs, all columns, in which no benchmark window occurs."""
     place = docs.columns.index(text_col)
 
@@ -142,7 +170,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
 
         return run
 
-    for shared in _shared(benchmark, item_col, item_text_col, block_bytes):
+    for shared in _shared(benchmark, item_col, item_text_col, block_words):
         docs = docs.mapInArrow(sieve(shared), docs.schema)
     return docs
 

@@ -7,7 +7,7 @@ import math
 import pytest
 
 import corpus_pipeline
-from scrivia.llm import decontamination, lm_scoring, ngram_join, packing, quality_classifier, quality_rules, secrets, suffix_dedup, toxicity, url_filter
+from scrivia.llm import alignment, decontamination, lm_scoring, ngram_join, packing, quality_classifier, quality_rules, secrets, suffix_dedup, tensor_minhash, toxicity, url_filter
 from scrivia.llm.queries import URL_RULES, packed_digest, tokenizer_file
 
 #: Columns whose names the operators use inside.
@@ -52,10 +52,12 @@ def operators(labels, items):
         "op8": lambda d: suffix_dedup.remove_repeats(d),
         "op9": lambda d: quality_classifier.score(d, quality_classifier.fit(d, labels)),
         "op10": lambda d: decontamination.find_leaks(d, items),
+        "op11": lambda d: tensor_minhash.near_duplicates(d),
+        "op12": lambda d: alignment.align(d, tokenizer_file(), tokenizer_file("piece_bpe_32k.model")),
     }
 
 
-NAMES = ("op1", "op2", "op3", "op5", "op5_all", "op7", "op8", "op9", "op10")
+NAMES = ("op1", "op2", "op3", "op5", "op5_all", "op7", "op8", "op9", "op10", "op11", "op12")
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -76,6 +78,7 @@ def by_place(df, *columns):
 def test_values_of_odd_rows(odd, labels):
     """Null, empty, blank, long, repeated and id-less rows have the results that the docstrings state."""
     assert by_place(ngram_join.similar_documents(odd), "class_id", "n_links") == {1: (1, 0), 2: (2, 0), 3: (3, 0), None: (None, 0), 5: (5, 1), 6: (6, 0), 7: (7, 0), 8: (8, 0)}
+    assert by_place(tensor_minhash.near_duplicates(odd), "n_shingles", "component_id") == {1: (0, 1), 2: (0, 2), 3: (0, 3), None: (5, None), 5: (8, 5), 6: (2, 6), 7: (1, 7), 8: (1, 8)}
     model = toxicity.fit(odd, labels)
     scores = by_place(toxicity.score(odd, model), "score")
     assert scores[1] == scores[2] == scores[3] and scores[1][0] == pytest.approx(1 / (1 + math.exp(-model[1])))

@@ -189,7 +189,7 @@ def test_op3_groups_decide_their_own_limits(spark):
     probes = [(lang, probe) for probe in (text(1, 9, 0), text(0, 5, 6)) for lang in ("aa", "bb")]
     docs = spark.createDataFrame([(k, t, lang, "web") for k, (lang, t) in enumerate([*short, *long, *probes])], "doc_id long, text string, lang string, source string")
     rows = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
-    assert rows[0].max_word_length < rows[250].max_word_length and rows[0].max_symbol_share < rows[250].max_symbol_share
+    assert rows[0].max_word_length < rows[250].max_word_length and rows[0].max_symbol_share < rows[250].max_symbol_share and rows[0].min_short_words < rows[250].min_short_words
     assert [(rows[k].kept, rows[k].broken_rule) for k in range(500, 504)] == [(False, "word_length"), (True, None), (False, "symbol_share"), (True, None)]
 
 
