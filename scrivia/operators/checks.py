@@ -32,20 +32,6 @@ def file_gate(name: Column, size: Column, *, formats: tuple[str, ...] = (), max_
     return F.array(*checks)
 
 
-def heading_pages(pages: DataFrame, headings: tuple[str, ...], *, id_col: str, page_col: str, text_col: str) -> DataFrame:
-    """(id_col, heading, page, hits, found) for each heading with keywords: the page with most of them, the earliest of equals; null where none has any."""
-    words = F.filter(x.words_of(F.col(text_col)), lambda w: F.length(w) >= 3)
-    rows = pages.select(id_col, page_col, words.alias("_w"))
-
-    def hits(heading: str) -> Column:
-        keys = x.keywords_of(F.lit(heading))
-        return F.struct(F.lit(heading).alias("heading"), F.size(keys).alias("total"), F.size(F.filter(keys, lambda key: F.exists("_w", lambda w: x.words_match(key, w)))).alias("hits"))
-
-    each = rows.select(id_col, page_col, F.inline(F.array(*map(hits, headings)))).filter("total > 0")
-    best = each.groupBy(id_col, "heading", "total").agg(F.max("hits").alias("hits"), F.max_by(page_col, F.struct("hits", -F.col(page_col))).alias("page"))
-    return best.select(id_col, "heading", F.when(F.col("hits") > 0, F.col("page")).alias("page"), "hits", (F.col("hits") * 2 >= F.col("total")).alias("found"))
-
-
 def stage_verdicts(findings: DataFrame, stages: tuple[str, ...], *, id_col: str) -> DataFrame:
     """Every stage of every report, also those without findings; without a required rule a stage is REVIZYON at most."""
     own = findings.groupBy(id_col, "stage").agg(rules.worst_verdict(F.col("verdict")).alias("worst"), F.max(F.col("required") & (F.col("verdict") != "DEGERLENDIRILEMEDI")).alias("strict"))

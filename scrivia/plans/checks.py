@@ -82,25 +82,6 @@ def j12_semantic_chunk_matches(t):
     return s.best_chunk_matches(s.chunk_scores(own, peers, semantic=True)).select(F.col("own_id").alias("own"), F.col("peer_id").alias("peer"), "strength")
 
 
-_HEADS = ("the thing that counts", "nicht ohne einlich")
-
-
-def _heading_sql(heading: str) -> str:
-    keys = [w for w in heading.split() if len(w) >= 4]
-    hits = " + ".join(f"CASE WHEN len(list_filter(w, lambda y: length(y) >= {min(5, len(key))} AND starts_with(y, '{key[:5]}'))) > 0 THEN 1 ELSE 0 END" for key in keys)
-    return f"SELECT doc_id, '{heading}' AS heading, {len(keys)} AS total, page, {hits} AS hits FROM l"
-
-
-@query(f"""WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS page FROM documents),
-l AS (SELECT doc_id, page, list_filter(regexp_split_to_array(lower(translate(replace(line, 'İ', 'i'), 'Iİ', 'ıi')), '[^a-zçğıöşüâîû0-9]+'), lambda y: length(y) >= 3) AS w FROM p),
-h AS ({" UNION ALL ".join(map(_heading_sql, _HEADS))}), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, heading ORDER BY hits DESC, page) AS n FROM h)
-SELECT doc_id, heading, CASE WHEN hits > 0 THEN page END AS page, hits, hits * 2 >= total AS found FROM b WHERE n = 1""")
-def t9_w6_heading_pages(t):
-    """Each line of a text as a page; the pages where two headings' words stand."""
-    pages = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("page", "line"))
-    return c.heading_pages(pages, _HEADS, id_col="doc_id", page_col="page", text_col="line")
-
-
 _TAKES = "(VALUES " + ", ".join(f"('{c}', '{s or ''}', '{after}')" for c, (states, after) in APPLICATION_COMMANDS.items() for s in states) + ") tr(c, f, t)"
 
 

@@ -39,4 +39,4 @@ def query(sql: str | None = None):
     return add
 
 
-from scrivia.plans import checks, evaluation, lifecycle, ordered, relational, reports, scalars  # noqa: E402, F401
+from scrivia.plans import checks, evaluation, lifecycle, ordered, relational, reports, scalars, search  # noqa: E402, F401

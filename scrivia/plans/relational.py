@@ -85,11 +85,6 @@ def p10_prefix(t):
     return t.part.filter(F.startswith("p_name", F.lit("red "))).select("p_partkey", "p_name")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
-def p11_j11_not_in(t):
-    return t.customer.join(t.orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
-
-
 @query("SELECT application_id FROM app WHERE status = 'completed' AND amount >= 1000 AND judge_id = 4")
 def p14_dynamic_conjunction(t):
     wanted = {"status": "completed", "judge_id": 4, "participant_id": None}
@@ -173,12 +168,6 @@ def j19_a7_judge_workload(t):
     return t.supplier.join(n, F.col("s_suppkey") == F.col("judge_id"), "left").select("s_suppkey", F.coalesce("o", F.lit(0)).alias("open_n"), F.coalesce("d", F.lit(0)).alias("done_n"))
 
 
-@query("SELECT n_name, p_partkey FROM nation JOIN part ON p_name LIKE lower(substr(n_name, 1, 1)) || '%'")
-def j21_prefix_theta_join(t):
-    """Every name that begins with a nation's letter; nations are twenty-five rows at every size."""
-    return t.part.join(F.broadcast(t.nation), F.startswith("p_name", F.lower(F.substring("n_name", 1, 1)))).select("n_name", "p_partkey")
-
-
 @query("""SELECT count(*) AS total, count(*) FILTER (status = 'submitted') AS submitted, count(*) FILTER (status = 'judge_in_review') AS in_review, count(*) FILTER (status = 'completed') AS completed,
 CAST(floor(100.0 * count(*) FILTER (status = 'completed') / greatest(count(*), 1) + 0.5) AS BIGINT) AS percent FROM app""")
 def a1_status_summary(t):
