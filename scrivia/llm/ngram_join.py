@@ -196,7 +196,7 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     member = member.join(nodes.select(F.col("node").alias("_node"), "copies", "shown"), F.col("node") == F.col("_node"))
     task = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("low"), F.greatest(o, F.col("block")).alias("high")))
     of = member.select("group", "node", "copies", F.col("shown.mark").alias("_mark"), F.col("shown.id").alias("_id"), "block", "blocks")
-    dealt = rows.join(of, (F.col("mark") == F.col("_mark")) & F.col("id").eqNullSafe(F.col("_id")))
+    dealt = rows.join(of, (F.col("mark") == F.col("_mark")) & F.col("id").eqNullSafe(F.col("_id"))).dropDuplicates(["node"])  # a row repeated whole shows its node once
     dealt = dealt.select("group", "node", "copies", "block", "text", F.explode(task).alias("task")).select("group", F.col("task.low").alias("low"), F.col("task.high").alias("high"), "node", "copies", "block", "text")
     found = cut(dealt.groupBy("group", "low", "high").applyInArrow(_compare(threshold, tolerance, shingle), "node long, links long, root long"))
 
