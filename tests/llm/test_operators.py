@@ -186,13 +186,80 @@ def test_op3_groups_decide_their_own_limits(spark):
         return " ".join([*(f"{k * 60 + i:0{length + (i < k % 7)}d}" for i in range(60)), *["#"] * symbols])
 
     short, long = [("aa", text(k, 5, 0)) for k in range(250)], [("bb", text(k, 9, k % 7)) for k in range(250)]
-    probes = [(lang, probe) for probe in (text(1, 9, 0), text(0, 5, 6)) for lang in ("aa", "bb")]
+    probes = [(lang, probe) for probe in (text(1, 9, 0), text(0, 9, 6)) for lang in ("aa", "bb")]
     docs = spark.createDataFrame([(k, t, lang, "web") for k, (lang, t) in enumerate([*short, *long, *probes])], "doc_id long, text string, lang string, source string")
     rows = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
     assert rows[0].max_word_length < rows[250].max_word_length and rows[0].max_symbol_share < rows[250].max_symbol_share and rows[0].min_short_words < rows[250].min_short_words
     assert [(rows[k].kept, rows[k].broken_rule) for k in range(500, 504)] == [(False, "word_length"), (True, None), (False, "symbol_share"), (True, None)]
 
 
+def test_op3_verdicts_by_exact_ranks(spark, documents):
+    """Limits and verdicts of the whole table by sorted values, in plain Python."""
+    from math import ceil, log
+
+    from scrivia.llm import quality_rules as q
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    group = {r.doc_id: (r.lang, r.source) for r in docs.select("doc_id", "lang", "source").collect()}
+    rows = {r.doc_id: r for r in q.judge(docs).collect()}
+    taken = {}
+    for i, text in documents.items():
+        n_words, chars, symbols, dup_lines, repeats, upper, lines = q.measure(text.encode())
+        words, chars = max(n_words, 1), max(chars, 1)
+        base = n_words < 20 or 100 * repeats > 30 * n_words
+        taken[i] = (base, {"symbol_share": symbols / chars, "upper_share": upper / chars, "dup_line_share": dup_lines / max(lines, 1), "repeat_share": repeats / words, "word_length": rows[i].word_chars / words})
+    edge = lambda v, down=0: 1.02 ** (ceil(log(v) / log(1.02) - 1e-9) - down) if v > 0 else 0.0
+    ranked = lambda values, share: sorted(values)[max(ceil(share * len(values)), 1) - 1]
+
+    def limits(ids: list[int], measure: str) -> tuple[float, float, float, int, int]:
+        values = [taken[i][1][measure] for i in ids]
+        positive = [v for v in values if v > 0]
+        width = 4.0 * (edge(ranked(values, 0.75)) - edge(ranked(values, 0.25)))
+        share = q.RULES[measure]
+        tail = edge(ranked(positive, share)) if share is not None and positive else 0.0
+        return edge(ranked(values, 0.75)) + width, tail, edge(ranked(values, 0.25), 1) - width, len(values), len(positive)
+
+    def drawn(own: tuple, wide: tuple) -> tuple:
+        n, p = own[3], own[4]
+        return (n * own[0] + 30 * wide[0]) / (n + 30), (p * own[1] + 20 * wide[1]) / (p + 20), (n * own[2] + 30 * wide[2]) / (n + 30), n, p
+
+    passed = [i for i in documents if not taken[i][0]]
+    for i in documents:
+        base, values = taken[i]
+        broken = None
+        lang, source = group[i]
+        near = [j for j in passed if group[j] == (lang, source)]
+        if near:
+            of = {m: drawn(limits(near, m), drawn(limits([j for j in passed if group[j][0] == lang], m), limits(passed, m))) for m in q.RULES}
+            broken = next((m for m in q.RULES if values[m] > max(of[m][:2]) * (1 + 1e-9)), "short_words" if values["word_length"] < of["word_length"][2] * (1 - 1e-9) else None)
+        assert (rows[i].base_failed, rows[i].broken_rule, rows[i].kept) == (base, broken, not base and broken is None), i
+
+
+def test_op3_a_measure_at_its_limit_passes(spark):
+    from scrivia.llm import quality_rules
+
+    text = " ".join(f"word{k:02d}" for k in range(60)) + " ###"
+    rows = quality_rules.judge(spark.createDataFrame([(k, text, "aa", "web") for k in range(50)], "doc_id long, text string, lang string, source string")).collect()
+    assert all(r.kept and r.broken_rule is None for r in rows) and len({r.max_symbol_share for r in rows}) == 1
+
+
+def test_op10_block_fits_a_worker():
+    """A machine over two megabytes of items stays far below what a worker may take, and finds what a search for each window finds."""
+    from scrivia.llm import decontamination
+
+    draw = np.random.default_rng(2)
+    words = [f"w{k:x}".encode() for k in range(30_000)]
+    items = [(str(n), b" ".join(words[k] for k in draw.zipf(1.3, 300) % 30_000)) for n in range(1200)] + [("short", b"w1 w2 w77"), (None, b"w5")]
+    machine = decontamination.Machine(items, 10)
+    size = sum(len(t) for _, t in items)
+    assert machine.automaton.get_stats()["total_size"] < 120 * size and size > 1 << 20
+    own = decontamination.words_of(items[7][1])
+    text = b"Start w2 " + b"-".join(own[100:115]) + b", w1 w2 w77! w5 " + b" ".join(own[:9])
+    found = decontamination.matches(machine, text, decontamination.words_of(text))
+    assert {(h["item"], h["first_word"], h["last_word"]) for h in found if h["item"] == "7"} == {("7", 2 + k, 11 + k) for k in range(6)}
+    assert any(h["item"] == "short" and text[h["begin"] : h["end"]] == b"w1 w2 w77" for h in found) and any(h["item"] is None for h in found)
+
+
 def test_op4_hosts_paths_and_rules(spark, duck):
     def brute(url: str | None) -> tuple:
         rest = url.partition("://")[2] if url and "://" in url else ""
