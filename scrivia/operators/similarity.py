@@ -9,6 +9,7 @@ from scrivia import constants as k
 from scrivia.functions import text as x
 from scrivia.functions import vectors as v
 from scrivia.lineage import cut
+from scrivia.operators.meaning import semantic_pairs
 from scrivia.sources.tables import spread
 
 
@@ -132,12 +133,13 @@ def agreeing(own: DataFrame, peers: DataFrame) -> DataFrame:
 
 
 def chunk_scores(own: DataFrame, peers: DataFrame, *, semantic: bool) -> DataFrame:
-    """Pairs of chunks with lexical and semantic similarity; semantic ones need every pair of a query's scope, since vectors have no cells to join by."""
+    """Pairs of chunks with lexical and semantic similarity: those with a common cell, and those whose meaning makes them a match. A semantic similarity below that is null; it changes no match."""
+    words = agreeing(own, peers)
     if not semantic:
-        return agreeing(own, peers).withColumn("semantic", F.lit(None).cast("double"))
-    b = peers.select(F.col("scope").alias("_s"), "peer_id", "peer_idx", "psig", "pemb")
-    pairs = own.join(b, F.col("scope").eqNullSafe(F.col("_s")) & (F.col("own_id") != F.col("peer_id")))
-    return pairs.select("own_id", "own_idx", "peer_id", "peer_idx", v.minhash_similarity(F.col("sig"), F.col("psig")).alias("lexical"), v.cosine(F.col("emb"), F.col("pemb")).alias("semantic"))
+        return words.withColumn("semantic", F.lit(None).cast("double"))
+    meant = semantic_pairs(own, peers, least=k.SEMANTIC_REVIEW)
+    pair = ["own_id", "own_idx", "peer_id", "peer_idx"]
+    return words.join(meant, pair, "full").select(*pair, F.coalesce("lexical", F.lit(0.0)).alias("lexical"), "semantic")
 
 
 def best_chunk_matches(scores: DataFrame) -> DataFrame:

@@ -72,11 +72,17 @@ def t5_t6_w2_w3_o11_report_similarity(t):
     return found.select("own_id", "compared", "peer_id", "percent", "level", shown.alias("matches"))
 
 
-@query("""WITH p AS (SELECT a.label AS scope, a.vec_id AS own, b.vec_id AS peer, list_cosine_similarity(CAST(a.embedding[1:3] AS DOUBLE[]), CAST(b.embedding[1:3] AS DOUBLE[])) AS c FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)
+@query("""WITH n AS (SELECT vec_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) AS i FROM embeddings),
+w AS (SELECT vec_id, i, sum(CAST(e AS DOUBLE)) OVER (PARTITION BY i ORDER BY vec_id RANGE BETWEEN CURRENT ROW AND 9 FOLLOWING) AS s FROM n), c AS (SELECT vec_id, vec_id // 2000 AS scope, list(s ORDER BY i) AS v FROM w GROUP BY vec_id),
+p AS (SELECT a.vec_id AS own, b.vec_id AS peer, list_cosine_similarity(a.v, b.v) AS c FROM c a JOIN c b ON a.scope = b.scope AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)
 SELECT own, peer, CAST(CASE WHEN c >= 0.9 THEN 1.0 ELSE 0.6 END AS DOUBLE) AS strength FROM p WHERE c >= 0.82""")
 def j12_semantic_chunk_matches(t):
-    """The first three components as vectors of reports of one chunk, without a lexical trace: pairs that their meaning makes a match. Queries are the ids divisible by 100."""
-    rows = t.embeddings.select(F.col("label").alias("scope"), F.col("vec_id").alias("id"), F.slice("embedding", 1, 3).alias("emb"))
+    """Chunks of ten sentences' vectors, one begun at each sentence, without a lexical trace: pairs of a scope that their meaning makes a match. Queries are the ids divisible by 100."""
+    parts = t.embeddings.select(F.explode(F.sequence(F.col("vec_id") - 9, F.col("vec_id"))).alias("id"), F.struct("vec_id", "embedding").alias("s"))
+    ten = parts.groupBy("id").agg(F.array_sort(F.collect_list("s")).alias("s"), F.min("s.vec_id").alias("first")).filter("id = first")
+    none = F.transform(F.element_at("s", 1)["embedding"], lambda x: F.lit(0.0))
+    total = F.aggregate("s", none, lambda acc, s: F.zip_with(acc, s["embedding"], lambda a, b: a + b.cast("double")))
+    rows = ten.select(F.floor(F.col("id") / 2000).alias("scope"), "id", total.alias("emb"))
     own = rows.filter("id % 100 = 0").select("scope", F.col("id").alias("own_id"), F.lit(0).alias("own_idx"), F.array(F.lit(1)).alias("sig"), "emb")
     peers = rows.select("scope", F.col("id").alias("peer_id"), F.lit(0).alias("peer_idx"), F.array(F.lit(2)).alias("psig"), F.col("emb").alias("pemb"))
     return s.best_chunk_matches(s.chunk_scores(own, peers, semantic=True)).select(F.col("own_id").alias("own"), F.col("peer_id").alias("peer"), "strength")
