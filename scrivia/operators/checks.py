@@ -95,11 +95,16 @@ def least_loaded(queue: DataFrame, judges: DataFrame, *, key: str, order: list[s
     levels = ends.filter("_all > 0").select("_low", "_high", F.explode(F.sequence("_low", F.col("_high") + 1)).alias("_level"))
     # slots below a level: every judge of less load has one at each level from their own on
     below = levels.join(F.broadcast(loads), F.col("load") < F.col("_level"), "left").groupBy("_level", "_high").agg(F.coalesce(F.sum((F.col("_level") - F.col("load")) * F.col("_c")), F.lit(0)).alias("_below"))
-    table = below.agg(F.array_sort(F.collect_list(F.struct("_below", "_level"))).alias("_levels"), F.first("_high").alias("_top"))
-    flag = (F.col("load") < F.col("_level")) | (F.col("scoped") > 0)
-    places = levels.select("_level").join(judges, F.col("load") <= F.col("_level")).withColumn("_place", F.row_number().over(Window.partitionBy("_level").orderBy(F.desc(flag), "since", "judge")) - 1)
-    places = places.select(F.col("_level").alias("_l"), F.col("_place").alias("_q"), "judge")
-    rows = numbered(queue, key, order).join(F.broadcast(table)).join(F.broadcast(ends.select("_all")))
+    # levels that begin beyond the longest queue are never reached, so there are no more places than rows of that queue and judges
+    most = queue.groupBy(key).agg(F.count("*").alias("_rows")).agg(F.max("_rows").alias("_most"))
+    table = below.join(F.broadcast(most), F.col("_below") < F.col("_most")).agg(F.array_sort(F.collect_list(F.struct("_below", "_level"))).alias("_levels"), F.first("_high").alias("_top")).join(ends.select("_all"))
+    table = cut(table)
+    reached = table.select(F.transform("_levels", lambda v: v["_level"])).scalar()
+    places = judges.withColumn("_reached", reached).withColumn("_level", F.explode(F.filter("_reached", lambda n: n >= F.col("load"))))
+    after = ~((F.col("load") < F.col("_level")) | (F.col("scoped") > 0))
+    places = numbered(places.select("_level", after.alias("_after"), "since", "judge"), "_level", ["_after", "since", "judge"]).select(F.col("_level").alias("_l"), F.col("_n").alias("_q"), "judge")
+    of = lambda c: table.select(c).scalar()
+    rows = numbered(queue, key, order).withColumns({"_levels": of("_levels"), "_top": of("_top"), "_all": of("_all")})
     at = F.element_at(F.filter("_levels", lambda v: v["_below"] <= F.col("_n")), -1)
     rows = rows.withColumn("_at", at).withColumn("_off", F.col("_n") - F.col("_at._below"))
     rows = rows.withColumn("_off", F.when(F.col("_at._level") > F.col("_top"), F.col("_off") % F.col("_all")).otherwise(F.col("_off")))

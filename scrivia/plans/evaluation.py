@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from scrivia import constants as k
 from scrivia.functions import records as r
 from scrivia.functions import text as x
+from scrivia.functions import vectors as v
 from scrivia.operators import evaluation as e
 from scrivia.operators import rules
 from scrivia.plans.registry import APP, query
@@ -19,10 +20,10 @@ from scrivia.sources.views import ACCOUNTS, CRITERIA, FINDINGS, View, pick, quot
 _RANK = "CASE {} WHEN 'KRITIK_HATA' THEN 2 WHEN 'REVIZYON' THEN 1 WHEN 'BASARILI' THEN 0 ELSE -1 END"
 _NAME = "CASE {} WHEN 2 THEN 'KRITIK_HATA' WHEN 1 THEN 'REVIZYON' ELSE 'BASARILI' END"
 
-_PAGES = View("conversations", report="conv_id", page="turn", text="concat('TEKNOFEST Raporu (2026)', chr(10), chr(10), 'Ekip  Ufuk: ', role, chr(10), 'Sayfa ', CAST(turn + 1 AS STRING), ' / 9', chr(10), text, chr(10), ' ', CAST(turn AS STRING))")
+_PAGES = View("conversations", report="conv_id", page="turn", text="concat('Yarışma Raporu (2026)', chr(10), chr(10), 'Ekip  Ufuk: ', role, chr(10), 'Sayfa ', CAST(turn + 1 AS STRING), ' / 9', chr(10), text, chr(10), ' ', CAST(turn AS STRING))")
 
 
-@query(rf"""WITH p AS (SELECT report, page, string_split_regex(regexp_replace(regexp_replace(text, 'ekip  ufuk', ' ', 'gi'), 'teknofest raporu \(2026\)', ' ', 'gi'), '\n+') AS w FROM {_PAGES.sql}),
+@query(rf"""WITH p AS (SELECT report, page, string_split_regex(regexp_replace(regexp_replace(text, 'ekip  ufuk', ' ', 'gi'), 'yarışma raporu \(2026\)', ' ', 'gi'), '\n+') AS w FROM {_PAGES.sql}),
 l AS (SELECT report, page, unnest(w) AS line, generate_subscripts(w, 1) AS pos FROM p),
 f AS (SELECT *, CASE WHEN length(trim(line)) <= 120 THEN nullif(trim(regexp_replace(translate(lower(translate(trim(line), 'Iİ', 'ıi')), '{k.ACCENTED}ğşı', '{k.PLAIN}gsi'), '[^a-z0-9]+', ' ', 'g')), '') END AS key FROM l),
 n AS (SELECT report, count(*) AS pages FROM p GROUP BY 1), s AS (SELECT report, key FROM f JOIN n USING (report) WHERE key IS NOT NULL GROUP BY report, key, pages HAVING count(DISTINCT page) >= greatest(3, ceil(0.6 * pages))),
@@ -30,7 +31,7 @@ kept AS (SELECT f.* FROM f LEFT JOIN s ON f.report = s.report AND f.key = s.key
 SELECT p.report, p.page, coalesce(t, '') AS text FROM p LEFT JOIN (SELECT report, page, trim(regexp_replace(string_agg(line, chr(10) ORDER BY pos), '[ \t]+', ' ', 'g')) AS t FROM kept GROUP BY 1, 2) q ON p.report = q.report AND p.page = q.page""")
 def t1_a18_f14_f15_normalize_pages(t):
     """Turns of a conversation as pages of a report, with a header, a team line and page numbers."""
-    names = F.array(F.lit("TEKNOFEST raporu (2026)"), F.lit("ekip  ufuk"), F.lit("abc"))
+    names = F.array(F.lit("Yarışma raporu (2026)"), F.lit("ekip  ufuk"), F.lit("abc"))
     return e.normalize_pages(_PAGES.of(t).withColumn("names", names), id_col="report", page_col="page", text_col="text", names_col="names")
 
 
@@ -368,11 +369,14 @@ def x5_coalesced_requests(t):
     return rows.join(first, F.col("cache_key") == F.col("_k")).select("event_id", "cache_key", (F.col("event_id") == F.col("_first")).alias("computed"))
 
 
-@query("SELECT conv_id, true AS ok, count(*) AS vectors, CAST(ceil(count(*) / 16.0) AS BIGINT) AS calls FROM conversations GROUP BY 1")
+@query(r"""WITH w AS (SELECT conv_id, turn, unnest(regexp_extract_all(coalesce(text, ''), '[^ \t\n\r]+')) AS w FROM conversations), p AS (SELECT conv_id, sum(CAST('0x' || substr(md5(w), 1, 2) AS INTEGER) % 16 + 1) AS profile FROM w GROUP BY 1),
+c AS (SELECT conv_id, count(*) AS vectors, CAST(ceil(count(*) / 16.0) AS BIGINT) AS calls FROM conversations GROUP BY 1)
+SELECT c.conv_id, true AS ok, vectors, calls, CAST(coalesce(profile, 0) AS DOUBLE) AS profile FROM c LEFT JOIN p USING (conv_id)""")
 def x7_embedded_batches(t):
-    """A conversation's turns through a stand-in embedder, sixteen at a time."""
-    out = e.embedded(t.conversations, lambda texts: (200, [[float(len(s or ""))] for s in texts]), group="conv_id", order="turn", text="text")
-    return out.select("conv_id", "ok", F.size("vectors").alias("vectors"), "calls")
+    """A conversation's turns in batches of sixteen through an embedder that counts words by hash; each vector's components weighed by their place."""
+    out = e.embedded(t.conversations, v.word_count_vectors, group="conv_id", order="turn", text="text")
+    weighed = F.aggregate(F.flatten(F.transform("vectors", lambda own: F.transform(own, lambda x, i: x * (i + 1)))), F.lit(0.0), lambda a, x: a + x)
+    return out.select("conv_id", "ok", F.size("vectors").alias("vectors"), "calls", weighed.alias("profile"))
 
 
 @query("SELECT event_id, ts, event_type, CASE WHEN user_id % 3 = 0 THEN '' ELSE props END AS detail FROM events WHERE user_id IN (8, 9) ORDER BY ts, event_id LIMIT 200")

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scrivia.operators import checks, search, writes
+from scrivia.operators import checks, meaning, search, writes
 from tests.conftest import DATA
 
 
@@ -61,6 +62,26 @@ def test_postings_of_the_query_alone_are_read(spark, tmp_path):
     assert sorted((r.id, r.total) for r in found.collect()) == sorted((n, sum("17" in f"entry {m} of many field {m % 7}" for m in range(200))) for n in range(200) if "17" in f"entry {n} of many field {n % 7}")
 
 
+@pytest.mark.parametrize("most_centres", [1, 5, 1024])
+def test_semantic_pairs_are_all_pairs(spark, most_centres):
+    """Clusters, copies, null, empty, zero and odd vectors, and a null scope: no pair at the threshold is missed, and far fewer are scored where there are centres."""
+    draw = np.random.default_rng(11)
+    middle = draw.normal(size=(25, 32))
+    rows = [(("a", None)[n % 2], n, n % 3, (middle[n % 25] + 0.25 * draw.normal(size=32)).astype(np.float32).tolist()) for n in range(600)]
+    rows += [(s, 700 + n, 0, rows[n][3]) for n, (s, *_) in enumerate(rows[:20])]
+    rows += [("a", 800, 0, None), ("a", 801, 0, []), ("a", 802, 0, [0.0] * 32), ("a", 803, 0, [1.0, 2.0]), ("a", 804, 0, [None] + [1.0] * 31), ("a", 805, 0, [float("nan")] * 32)]
+    table = spark.createDataFrame(rows, "scope string, id long, idx int, v array<float>")
+    own = table.filter("id % 10 = 0 or id >= 800").select("scope", F.col("id").alias("own_id"), F.col("idx").alias("own_idx"), F.col("v").alias("emb"))
+    peers = table.select("scope", F.col("id").alias("peer_id"), F.col("idx").alias("peer_idx"), F.col("v").alias("pemb"))
+    good = [(s, i, np.array(x, np.float64)) for s, i, _, x in rows if x and len(x) == 32 and None not in x and np.isfinite(x).all() and np.any(x)]
+    cosine = lambda a, b: float(a @ b / np.sqrt((a @ a) * (b @ b)))
+    wanted = {(i, j) for s, i, a in good if i % 10 == 0 for z, j, b in good if s == z and i != j and cosine(a, b) >= 0.82}
+    found = {(r.own_id, r.peer_id) for r in meaning.semantic_pairs(own, peers, least=0.82, most_centres=most_centres).collect()}
+    assert found == wanted and len(wanted) > 500
+    scored = meaning.semantic_candidates(own, peers, least=0.82, most_centres=most_centres).count()
+    assert scored < own.count() * peers.count() / (4 if most_centres == 1024 else 1.5)
+
+
 def test_blob_files_are_the_files(spark):
     found = {r["name"]: (r["size"], r["sha256"]) for r in search.blob_files(spark, DATA, "*.parquet").collect()}
     wanted = {name: (size, digest) for name, size, digest in duckdb.execute(f"SELECT split_part(filename, '/', -1), size, sha256(content) FROM read_blob('{DATA}/*.parquet')").fetchall()}
