@@ -27,11 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scrivia.llm.common import cut, mix64, slices, texts
-from scrivia.llm.components import components
+from scrivia.llm.components import settled_components
 from scrivia.llm.ngram_join import node_of, shingles, verified
 
 
@@ -83,12 +83,12 @@ def _meeting(left: np.ndarray, right: np.ndarray, collections: int) -> np.ndarra
 
 
 def _across(threshold: float, size: int, halves: Halves):
-    """Links between nodes of different components in two blocks (or one), as (a, b) with b each node's root among them."""
+    """Links between nodes of different components in two blocks (or one), as pairs (a, b) of the components."""
 
     def run(part: pa.Table) -> pa.Table:
         low, high = part.column("low")[0].as_py(), part.column("high")[0].as_py()
         rows = sorted(zip(part.column("block").to_pylist(), part.column("node").to_pylist(), part.column("comp").to_pylist(), texts(part.column("text").combine_chunks())), key=lambda r: r[:2])
-        node, comp = [r[1] for r in rows], np.array([r[2] for r in rows], np.int64)
+        comp = np.array([r[2] for r in rows], np.int64)
         sets = [shingles(r[3], size) for r in rows]
         sizes = np.array([len(s) for s in sets])
         kind, code = np.unique(np.concatenate(sets), return_inverse=True)
@@ -96,14 +96,7 @@ def _across(threshold: float, size: int, halves: Halves):
         keys = np.stack([halves(s) for s in sets])
         first_right = sum(r[0] == low for r in rows) if low != high else 0
         last_left = first_right or len(rows)
-        root = list(range(len(rows)))
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
+        found: set[tuple[int, int]] = set()
         for k in range(0, last_left, 256):
             at = slice(k, min(k + 256, last_left))
             meet = _meeting(keys[at], keys[first_right:], halves.collections) & (comp[at, None] != comp[None, first_right:])
@@ -113,11 +106,8 @@ def _across(threshold: float, size: int, halves: Halves):
             if low == high:
                 i, j = i[i < j], j[i < j]
             ok = verified(i, j, codes, len(kind), threshold)
-            for x, y in zip(i[ok].tolist(), j[ok].tolist()):
-                x, y = find(x), find(y)
-                root[max(x, y)] = min(x, y)
-        linked = [x for x in range(len(rows)) if root[x] != x]
-        return pa.table([pa.array([node[x] for x in linked], pa.int64()), pa.array([node[find(x)] for x in linked], pa.int64())], names=["a", "b"])
+            found.update(zip(np.minimum(comp[i[ok]], comp[j[ok]]).tolist(), np.maximum(comp[i[ok]], comp[j[ok]]).tolist()))
+        return pa.table([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
     return run
 
@@ -145,13 +135,15 @@ def near_duplicates(
     side = lambda of_side: F.collect_list(F.when(of_side, F.col("half")))
     met = each.join(shared, F.col("half") == F.col("_half")).groupBy("node").agg(side(F.col("pos") < collections).alias("lefts"), side(F.col("pos") >= collections).alias("rights"))
     tensored = met.select("node", F.explode("lefts").alias("left"), "rights").select("node", "left", F.explode("rights").alias("right")).select("node", F.xxhash64("left", "right").alias("key"))
-    buckets = tensored.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("z")).filter("leader != z").select(F.col("key").alias("_key"), "leader")
-    hits = cut(tensored.join(buckets, F.col("key") == F.col("_key")).filter("node != leader").select("key", "leader", "node"))
+    # tables whose buckets hold the same nodes are one: nodes are few in comparison with the tables that they share
+    buckets = tensored.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("nodes"), F.bit_xor(F.xxhash64("node")).alias("mark")).filter("nodes > 1")
+    buckets = buckets.groupBy("leader", "nodes", "mark").agg(F.min("key").alias("_key"))
+    hits = cut(tensored.join(buckets, F.col("key") == F.col("_key")).filter("node != leader").select(F.when(F.col("nodes") > 2, F.col("key")).alias("key"), "leader", "node"))
 
-    stars = hits.select("leader", "node").distinct()
+    stars = cut(hits.select("leader", "node").distinct())
     parts = stars.groupBy(F.col("leader").alias("_leader")).agg(F.ceil(F.count("*") / star_nodes).alias("parts"))
-    stars = stars.join(parts, F.col("leader") == F.col("_leader")).select("leader", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), "node")
-    wanted = hits.select("node").union(hits.select("leader")).distinct().withColumnRenamed("node", "_node")
+    stars = cut(stars.join(parts, F.col("leader") == F.col("_leader")).select("leader", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), "node"))
+    wanted = stars.select(F.explode(F.array("leader", "node")).alias("_node")).distinct()
     shown = nodes.join(wanted, F.col("node") == F.col("_node")).select("node", F.col("shown.mark").alias("_mark"), F.col("shown.id").alias("_id"))
     # repeated rows show their node more than once: one of them is kept, since equal marks are equal texts
     text = cut(rows.join(shown, (F.col("mark") == F.col("_mark")) & F.col("id").eqNullSafe(F.col("_id"))).dropDuplicates(["node"]).select(F.col("node").alias("_node"), "text"))
@@ -159,22 +151,31 @@ def near_duplicates(
     every = stars.union(stars.select("leader", "part", F.col("leader").alias("node")).distinct())
     links = cut(with_text(every).groupBy("leader", "part").applyInArrow(_with_leader(threshold, shingle), "a long, b long"))
 
-    roots = components(links)
-    first_comps = roots.select(F.col("node").alias("_cnode"), "root")
-    placed = hits.join(first_comps, F.col("node") == F.col("_cnode"), "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
-    open_keys = placed.groupBy(F.col("key").alias("_key")).agg(F.min("node").alias("first"), F.min("comp").alias("c"), F.max("comp").alias("d")).filter("c != d").select("_key", "first")
-    rest = cut(placed.join(open_keys, F.col("key") == F.col("_key")).select("first", "node", "comp").distinct())
-    if not rest.isEmpty():
-        groups = components(rest.filter("first != node").select(F.col("first").alias("a"), F.col("node").alias("b"))).withColumnRenamed("root", "group")
-        blocks = groups.groupBy(F.col("group").alias("_group")).agg(F.ceil(F.count("*") / group_nodes).cast("int").alias("blocks"))
-        comp = rest.select(F.col("node").alias("_of"), "comp").distinct()
-        member = groups.join(blocks, F.col("group") == F.col("_group")).join(comp, F.col("node") == F.col("_of")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # of a member's leaders the least stays its neighbour, and the others become neighbours of that one: as connected, with fewer links
+    least = links.withColumn("m", F.min("a").over(Window.partitionBy("b")))
+    links = least.select("m", F.when(F.col("a") == F.col("m"), F.col("b")).otherwise(F.col("a")).alias("b")).distinct()
+    roots = cut(settled_components(links.withColumnRenamed("m", "a")).select(F.col("node").alias("_rnode"), F.col("root").alias("comp")))
+
+    in_comp = hits.filter("key is not null").join(roots, F.col("node") == F.col("_rnode"), "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+    kinds = cut(in_comp.groupBy("key", "comp").agg(F.count("*").alias("nodes")))
+    open_keys = kinds.groupBy(F.col("key").alias("_key")).agg(F.min("comp").alias("a"), F.max("comp").alias("z")).filter("a != z").select("_key", "a")
+    meet = cut(kinds.join(open_keys, F.col("key") == F.col("_key")).filter("a != comp").select("a", F.col("comp").alias("b")).distinct())
+    joined = None
+    if not meet.isEmpty():
+        # components that meet in a bucket are one group, with those of their nodes that are in buckets of more than two
+        groups = cut(settled_components(meet).select(F.col("node").alias("_comp"), F.col("root").alias("group")))
+        member = cut(in_comp.select("node", "comp").distinct().join(groups, F.col("comp") == F.col("_comp")).drop("_comp"))
+        blocks = member.groupBy(F.col("group").alias("_group")).agg(F.ceil(F.count("*") / group_nodes).cast("int").alias("blocks"))
+        member = member.join(blocks, F.col("group") == F.col("_group")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         task = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("low"), F.greatest(o, F.col("block")).alias("high")))
         dealt = with_text(member.select("group", "node", "comp", "block", F.explode(task).alias("task")).select("group", "task.low", "task.high", "node", "comp", "block"))
-        late = dealt.groupBy("group", "low", "high").applyInArrow(_across(threshold, shingle, halves), "a long, b long")
-        roots = components(links.union(late))
+        late = cut(dealt.groupBy("group", "low", "high").applyInArrow(_across(threshold, shingle, halves), "a long, b long").distinct())
+        if not late.isEmpty():
+            joined = settled_components(late).select(F.col("node").alias("_joined"), F.col("root").alias("late"))
 
-    rooted = nodes.select("node", "rep").join(roots.withColumnRenamed("node", "_rnode"), F.col("node") == F.col("_rnode"), "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
+    rooted = nodes.select("node", "rep").join(roots, F.col("node") == F.col("_rnode"), "left").select("node", "rep", F.coalesce("comp", "node").alias("root"))
+    if joined is not None:
+        rooted = rooted.join(joined, F.col("root") == F.col("_joined"), "left").select("node", "rep", F.coalesce("late", "root").alias("root"))
     classes = rooted.groupBy(F.col("root").alias("_root")).agg(F.min("rep").alias("component_id"))
     about = rooted.join(classes, F.col("root") == F.col("_root")).select(F.col("node").alias("_node"), "component_id")
     out = described.select("id", "node", "size").join(about, F.col("node") == F.col("_node"), "left")
