@@ -125,6 +125,13 @@ def t3_signatures(t):
     return s.document_signatures(t.documents, id_col="doc_id", text_col="text", scope_col="lang").select("doc_id", F.array_join(F.transform("signature", lambda h: h.cast("string")), ",").alias("signature"))
 
 
+@query()
+def f55_chunk_signatures(t):
+    """The signature of every chunk of every report; in SQL too slow on whole tables, compared with a loop in the tests."""
+    cut_up = s.chunks(spread(t.documents.select("doc_id", "text")), id_col="doc_id", text_col="text")
+    return cut_up.select("doc_id", "chunk_index", F.array_join(F.transform(v.min_hash(x.fold_line(F.col("chunk"))), lambda h: h.cast("string")), ",").alias("signature"))
+
+
 @query()
 def t3_top_peers(t):
     """The flagship: scan, fold, signatures, join of their cells inside a language, top three of all peers."""

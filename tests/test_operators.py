@@ -28,6 +28,23 @@ def test_signatures_are_seeded_minima():
     assert v.signature_of([]) == [0xFFFFFFFF] * 64 and v.signature_of(["one"]) == [fnv("one", (i * 0x9E3779B1) & 0xFFFFFFFF) for i in range(64)]
 
 
+def test_chunk_signatures_are_the_loops(spark):
+    """Chunks cut and folded in plain Python; the signature of their words is that of test_signatures_are_seeded_minima."""
+    import re
+    import unicodedata
+
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    found = {(r.doc_id, r.chunk_index): r.signature for r in QUERIES["f55_chunk_signatures"](spark, DATA).collect()}
+    wanted = {}
+    for i, text in texts.items():
+        words = [w for w in re.split(r"[ \t\n\x0b\f\r]+", text) if w]
+        for n in range(max(0, -(-(len(words) - 500) // 450)) + 1 if len(words) >= 40 else 0):
+            low = " ".join(words[450 * n : 450 * n + 500]).replace("İ", "i").replace("I", "ı").lower()
+            folded = re.sub("[^a-z0-9]+", " ", re.sub("[\u0300-\u036f]", "", unicodedata.normalize("NFKD", low)).replace("ı", "i"))
+            wanted[i, n] = ",".join(map(str, v.signature_of([w for w in folded.split() if len(w) > 1])))
+    assert found == wanted and len(wanted) > 200
+
+
 def test_least_loaded_is_the_loop(spark):
     rng = np.random.default_rng(3)
     judges = [(j, int(rng.integers(0, 5)), int(rng.integers(0, 3)), int(rng.integers(0, 4))) for j in range(7)]
