@@ -252,6 +252,18 @@ def test_best_jaccard_is_all_pairs(spark, heads):
         assert found[i] == ((near[0][1], round(-near[0][0], 9)) if near else (None, 0.0)), i
 
 
+def test_a_passages_shingles_are_one_item(spark):
+    """Unshared shingles are left out and those of one passage are one row with a weight; hashes stand for the shingles of precheck_shingles."""
+    own = lambda tag: " ".join(f"{tag}word{i}" for i in range(9))
+    passage = " ".join(f"common{i}" for i in range(12))
+    rows = [(n, f"{own(n)} {passage} {own(n + 50)}", "a") for n in range(6)] + [(10, f"{own(0)} {passage} {own(50)}", "a"), (11, passage, None), (12, "", "a"), (13, None, "a")]
+    texts = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    named, held = similarity.shared_shingles(texts, id_col="doc_id", text_col="text", scope_col="lang")
+    assert sorted(tuple(r) for r in held.select("df", "w", "n").collect()) == [(6, 8, 26)] * 6
+    sizes = {r.id: r.n for r in named.collect()}
+    assert sizes == {r.doc_id: r.n for r in texts.select("doc_id", F.greatest(F.size(similarity.precheck_shingles(F.col("text"))), F.lit(0)).alias("n")).collect()}
+
+
 def test_folds(spark):
     row = spark.createDataFrame([("İNSANSIZ IŞIK Çağrı é",)], "t string").select(x.tr_lower(F.col("t")), x.fold(F.col("t")), x.fold_line(F.col("t")), x.fold_line_exact(F.col("t"))).first()
     assert tuple(row) == ("insansız ışık çağrı é", "insansiz isik cagri é", "insansiz isik cagri e", "insansiz isik cagri e")
