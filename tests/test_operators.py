@@ -267,3 +267,11 @@ def test_a_passages_shingles_are_one_item(spark):
 def test_folds(spark):
     row = spark.createDataFrame([("İNSANSIZ IŞIK Çağrı é",)], "t string").select(x.tr_lower(F.col("t")), x.fold(F.col("t")), x.fold_line(F.col("t")), x.fold_line_exact(F.col("t"))).first()
     assert tuple(row) == ("insansız ışık çağrı é", "insansiz isik cagri é", "insansiz isik cagri e", "insansiz isik cagri e")
+
+
+def test_language_counts_each_word_once(spark):
+    """Whole words only, Turkish letters as a part of the score, null and short texts; texts are not searched for each stop word."""
+    rows = [("the system is here " * 10,), ("bu bir sistem şöyle " * 10,), ("then andy into thesis " * 10,), ("the and " * 10,), (None,)]
+    found = spark.createDataFrame(rows, "t string").select(x.detect_language(F.col("t")).alias("l"))
+    assert [r.l for r in found.collect()] == ["en", "tr", "unknown", "unknown", "unknown"]
+    assert "regexp_count" not in found._jdf.queryExecution().optimizedPlan().toString()
