@@ -34,12 +34,16 @@ def heading_pages(pages: DataFrame, headings: DataFrame, *, id_col: str, scope_c
     """(id_col, heading, page, hits, found) for each heading (scope_col, heading) of a report's scope: the page with most of its keywords, the earliest of equals; null where none has any.
 
     A keyword stands on a page where a word begins with its first five characters, so words and keywords meet by those. Headings without keywords are left out.
+    Only pages that hold one of their scope's beginnings anywhere are cut into words, and only those beginnings become rows.
     """
     keys = headings.select(F.col(scope_col).alias("_scope"), "heading", x.keywords_of(F.col("heading")).alias("_keys")).filter("size(_keys) > 0")
     keys = keys.select("_scope", "heading", F.size("_keys").alias("_total"), F.posexplode("_keys").alias("_n", "_key")).select("_scope", "heading", "_total", "_n", F.substring("_key", 1, 5).alias("_stem"))
+    wanted = keys.groupBy(F.col("_scope").alias("_of")).agg(F.collect_set("_stem").alias("_stems"))
+    low = x.tr_lower(F.col(text_col))
+    held = pages.join(F.broadcast(wanted), F.col(scope_col).eqNullSafe(F.col("_of"))).withColumn("_low", low).filter(F.exists("_stems", lambda s: F.contains(F.col("_low"), s)))
     words = F.filter(x.words_of(F.col(text_col)), lambda w: F.length(w) >= 3)
     stems = F.array_distinct(F.flatten(F.transform(words, lambda w: F.array(F.substring(w, 1, 4), F.substring(w, 1, 5)))))
-    stood = pages.select(id_col, F.col(scope_col).alias("_s"), F.col(page_col).alias("_page"), F.explode(stems).alias("_w"))
+    stood = held.select(id_col, F.col(scope_col).alias("_s"), F.col(page_col).alias("_page"), F.explode(F.array_intersect(stems, "_stems")).alias("_w"))
     met = stood.join(keys, (F.col("_w") == F.col("_stem")) & F.col("_s").eqNullSafe(F.col("_scope")))
     hits = met.groupBy(F.col(id_col).alias("_id"), F.col("heading").alias("_heading"), "_page").agg(F.count_distinct("_n").alias("_hits"))
     best = hits.groupBy("_id", "_heading").agg(F.max("_hits").alias("hits"), F.max_by("_page", F.struct("_hits", -F.col("_page"))).alias("page"))

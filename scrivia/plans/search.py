@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from scrivia.lineage import shared_folder
 from scrivia.operators import search, writes
 from scrivia.plans.registry import query
+from scrivia.sources.tables import spread
 
 _SITE = "regexp_extract(url, '^[^/]*//[^/]*/')"
 
@@ -53,7 +54,7 @@ h AS ({" UNION ALL ".join(_heading_sql(*h) for h in _HEADS)}), b AS (SELECT *, r
 SELECT doc_id, heading, CASE WHEN hits > 0 THEN page END AS page, CAST(hits AS BIGINT) AS hits, hits * 2 >= total AS found FROM b WHERE n = 1""")
 def t9_w6_heading_pages(t):
     """Each line of a text as a page; the pages where the words of its language's headings stand."""
-    pages = t.documents.select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("page", "line"))
+    pages = spread(t.documents.select("doc_id", "lang", "text")).select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("page", "line"))
     return search.heading_pages(pages, t.spark.createDataFrame(_HEADS, "lang string, heading string"), id_col="doc_id", scope_col="lang", page_col="page", text_col="line")
 
 

@@ -126,3 +126,12 @@ def test_purge_cascade_again_and_after_a_break(spark, tmp_path):
     every = spark.createDataFrame([(n,) for n in range(-5, 60)], "k long")
     writes.purge_cascade(spark, [(child, "parent")], (parent, "id"), every, "k")
     assert writes.stored(spark, parent, "id").count() == writes.stored(spark, child, "parent").count() == 0
+
+
+def test_only_wanted_beginnings_become_rows(spark):
+    """Words that begin no keyword are not rows of the join; pages of a scope without headings and null texts change nothing."""
+    pages = spark.createDataFrame([(1, "a", 0, "other words stand here"), (1, "a", 1, "REPORTS of Methods"), (2, "a", 0, None), (3, "b", 0, "methods")], "id int, scope string, page int, line string")
+    heads = spark.createDataFrame([("a", "Methodology reporting")], "scope string, heading string")
+    out = search.heading_pages(pages, heads, id_col="id", scope_col="scope", page_col="page", text_col="line")
+    assert sorted((r.id, r.page, r.hits, r.found) for r in out.collect()) == [(1, 1, 2, True), (2, None, 0, False)]
+    assert "array_intersect" in out._jdf.queryExecution().optimizedPlan().toString()
