@@ -28,6 +28,21 @@ def test_signatures_are_seeded_minima():
     assert v.signature_of([]) == [0xFFFFFFFF] * 64 and v.signature_of(["one"]) == [fnv("one", (i * 0x9E3779B1) & 0xFFFFFFFF) for i in range(64)]
 
 
+def test_signatures_of_many_texts_are_those_of_each(spark, monkeypatch):
+    """Texts signed side by side, over the ends of blocks: empty ones, few words, repeats, unequal lengths, letters beyond ASCII, and only the first shingles of a long one."""
+    draw = np.random.default_rng(5)
+    texts = [[f"w{'ş' * int(n % 7)}{n}" for n in draw.integers(0, 40, size)] for size in (0, 1, 4, 5, 6, 300, 0, 90)]
+    monkeypatch.setattr(v, "_BLOCK", 64)
+    monkeypatch.setattr(v.k, "MOST_SHINGLES", 100)
+    seeds = [(i * 0x9E3779B1) & 0xFFFFFFFF for i in range(64)]
+    for words, found in zip(texts, v.signatures_of(texts).tolist()):
+        shingles = list(dict.fromkeys(" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))))[:100] if words else []
+        assert found == [min((fnv(s, seed) for s in shingles), default=0xFFFFFFFF) for seed in seeds]
+    rows = spark.createDataFrame([(0, "one two three"), (1, None), (2, "one two three"), (3, ""), (4, "a b")], "i int, t string").coalesce(1)
+    signed = {r.i: list(r.s) for r in rows.select("i", v.min_hash(F.col("t")).alias("s")).collect()}
+    assert signed[0] == signed[2] == v.signature_of(["one", "two", "three"]) and signed[1] == signed[3] == signed[4] == [0xFFFFFFFF] * 64
+
+
 def test_chunk_signatures_are_the_loops(spark):
     """Chunks cut and folded in plain Python; the signature of their words is that of test_signatures_are_seeded_minima."""
     import re
