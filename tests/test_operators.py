@@ -168,6 +168,47 @@ def test_chunk_matches_are_all_pairs(spark):
     assert sorted((r.own_idx, r.peer_idx, r.kind, r.strength) for r in both) == [(0, 1, "direct", 1.0), (1, 0, "semantic", 0.6)]
 
 
+@pytest.mark.parametrize("least", [1, 5, 20])
+def test_agreeing_pairs_by_rare_cells_only(spark, least):
+    """A passage that all hold in half of their cells, near copies and chance, against every pair; with a bound, only what reaches it is joined."""
+    draw = np.random.default_rng(least)
+    base = draw.integers(0, 10**6, (4, 64))
+    sigs = {n: [7 if s < n % 5 * 8 else int(base[n % 4, s]) if draw.random() < 0.6 else int(draw.integers(0, 30)) for s in range(64)] for n in range(60)}
+    scope = {n: ("a", None)[n % 2] for n in sigs}
+    own = spark.createDataFrame([(scope[n], n, n % 3, sigs[n]) for n in range(0, 60, 3)], "scope string, own_id int, own_idx int, sig array<long>")
+    peers = spark.createDataFrame([(scope[n], n, 0, sigs[n]) for n in sigs], "scope string, peer_id int, peer_idx int, psig array<long>")
+    common = {(a, b): c for a in range(0, 60, 3) for b in sigs if a != b and scope[a] == scope[b] and (c := sum(x == y for x, y in zip(sigs[a], sigs[b]))) >= least}
+    found = similarity.agreeing(own, peers, least=least).collect()
+    assert {(r.own_id, r.peer_id): round(r.lexical * 64) for r in found} == common and len(found) == len(common)
+
+
+def test_closest_is_the_best_of_all(spark):
+    """Copies, itself among the peers, ties, a frequent cell as the only one in common, and nothing in common."""
+    draw = np.random.default_rng(2)
+    sigs = {n: [5 if s == 0 and n % 2 else int(draw.integers(0, 10**6)) for s in range(64)] for n in range(40)}
+    for n in range(40, 80):
+        sigs[n] = [x if draw.random() > (n % 8) / 7 else int(draw.integers(0, 10**6)) for x in sigs[n % 20]]
+    sigs |= {80: sigs[3], 81: sigs[3], 82: [1] * 64, 83: [2] * 64}
+    scope = {n: None if n % 5 == 4 else "a" for n in sigs}
+    own = spark.createDataFrame([(scope[n], n, 0, sigs[n]) for n in sigs], "scope string, own_id int, own_idx int, sig array<long>")
+    peers = spark.createDataFrame([(scope[n], n, 0, sigs[n]) for n in sigs if n % 3], "scope string, peer_id int, peer_idx int, psig array<long>")
+    wanted = {}
+    for a in sigs:
+        near = max(((sum(x == y for x, y in zip(sigs[a], sigs[b])), -b) for b in sigs if b % 3 and a != b and scope[a] == scope[b]), default=(0, 0))
+        if near[0]:
+            wanted[a] = (-near[1], near[0])
+    found = similarity.closest(own, peers).collect()
+    assert {r.own_id: (r.peer_id, round(r.lexical * 64)) for r in found} == wanted and len(found) == len(wanted)
+    assert {1, 64} <= {c for _, c in wanted.values()} and len(wanted) < len(sigs)
+
+
+def test_chunk_scores_hold_matches_alone(spark):
+    """Pairs below the threshold of a match are not formed, which they were before."""
+    own = spark.createDataFrame([("s", 1, 0, list(range(64)))], "scope string, own_id int, own_idx int, sig array<long>")
+    peers = spark.createDataFrame([("s", n, 0, [s if s < c else -1 for s in range(64)]) for n, c in ((2, 19), (3, 20), (4, 64), (5, 1))], "scope string, peer_id int, peer_idx int, psig array<long>")
+    assert {r.peer_id: r.lexical for r in similarity.chunk_scores(own, peers, semantic=False).collect()} == {3: 20 / 64, 4: 1.0}
+
+
 def test_report_similarity_is_the_loop(spark):
     """Chunks shared whole and in part, a template that half of the pool holds, short reports, a lone scope, against every pair of chunks."""
     draw = np.random.default_rng(8)
