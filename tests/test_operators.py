@@ -291,6 +291,33 @@ def test_frequent_cells_make_few_pairs(spark):
     assert len(common) < 300 * 299 / 4
 
 
+@pytest.mark.parametrize("often", [1, 4])
+def test_asked_reports_have_their_rows_of_all(spark, often):
+    """A family of near copies, copies, texts without words and a null scope: reports that are asked for have the rows that they have among all."""
+    draw = np.random.default_rng(5)
+    family = [f"f{i}" for i in range(30)]
+    rows = [(n, " ".join(w if draw.random() > 0.03 * (n % 3) else f"own{n}" for w in family) + f" tail{n % 7}", ("a", None)[n % 2]) for n in range(80)]
+    rows += [(80 + n, rows[n][1], rows[n][2]) for n in range(9)] + [(90, "", "a"), (91, None, "a"), (100, "alone", "b")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    whole = {tuple(r) for r in similarity.top_peers(table, often=often).collect()}
+    found = similarity.top_peers(table, often=often, asked=F.col("doc_id") % 5 == 0).collect()
+    assert {tuple(r) for r in found} == {r for r in whole if r[0] % 5 == 0} and len(found) == len(set(found)) > 50
+
+
+def test_classes_of_frequent_cells_meet_by_their_rarest(spark):
+    """Classes in the same frequent cells, each with cells that few hold: the best of all pairs, and no more than the asked for ones."""
+    draw = np.random.default_rng(9)
+    own = {n: [0, *(10 + draw.integers(0, 3, 3)).tolist(), *(20 + draw.integers(0, 9, 4)).tolist()] for n in range(200)}
+    count = {c: sum(c in held for held in own.values()) for held in own.values() for c in held}
+    rows = [("s", n, n % 4 == 0, sorted(set(held), key=lambda c: (count[c], c))) for n, held in own.items()]
+    found = similarity.best_classes(spark.createDataFrame(rows, "scope string, node long, asked boolean, hot array<long>"), first=4).collect()
+    near = {tuple(r.hot): set(r.near) for r in found}
+    assert set(near) == {tuple(r[3]) for r in rows if r[2]}
+    for held, listed in near.items():
+        every = sorted((-len(set(held) & set(r[3])), r[1]) for r in rows)
+        assert {n for _, n in every[:4]} <= listed and len(listed) <= 8
+
+
 @pytest.mark.parametrize("heads", [1, 3])
 def test_best_jaccard_is_all_pairs(spark, heads):
     """Copies, near copies, a passage that most reports share, short reports, a null scope, and ties."""
