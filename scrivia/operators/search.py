@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scrivia.functions import text as x
+from scrivia.sources.tables import spread
 
 
 def prefix_join(rows: DataFrame, text: Column, prefixes: DataFrame, prefix: str) -> DataFrame:
@@ -60,10 +61,15 @@ def grams(text: Column) -> Column:
 
 
 def postings(entries: DataFrame, *, id_col: str, name_col: str, field_col: str) -> DataFrame:
-    """(gram, id, name, hay) of every gram that an entry's folded name and field hold, in ranges of grams, to be written once."""
+    """(gram, id, name, hay) of every gram that an entry's folded name and field hold, to be written once: dealt out by gram and a hash of the id, and sorted by gram in each part.
+
+    An entry's texts stand once, in its row of the empty gram, and are null in the others, so that they are not shuffled and stored once for each gram.
+    """
     name = x.fold(F.coalesce(F.col(name_col), F.lit("")))
-    rows = entries.select(F.col(id_col).alias("id"), name.alias("name"), F.concat_ws(" ", name, x.fold(F.col(field_col))).alias("hay"))
-    return rows.select(F.explode(grams(F.col("hay"))).alias("gram"), "id", "name", "hay").repartitionByRange("gram", "id").sortWithinPartitions("gram", "id")
+    rows = spread(entries.select(id_col, name_col, field_col)).select(F.col(id_col).alias("id"), name.alias("name"), F.concat_ws(" ", name, x.fold(F.col(field_col))).alias("hay"))
+    rows = rows.select(F.explode(F.concat(F.array(F.lit("")), grams(F.col("hay")))).alias("gram"), "id", "name", "hay")
+    once = lambda text: F.when(F.col("gram") == "", F.col(text)).alias(text)
+    return rows.select("gram", "id", once("name"), once("hay")).repartition("gram", F.pmod(F.xxhash64("id"), F.lit(64))).sortWithinPartitions("gram", "id")
 
 
 def search_many(posted: DataFrame, queries: DataFrame, *, id_col: str, query_col: str, limit: int, rarest: int = 3, pushed: int = 2_000) -> DataFrame:
@@ -71,7 +77,7 @@ def search_many(posted: DataFrame, queries: DataFrame, *, id_col: str, query_col
     first word, then the others; of equals the lesser id, at most `limit` of them, and how many there are.
 
     A word's own grams (its trigrams, or itself where it is shorter) bound where it can stand. Of each query the `rarest` grams are intersected, and what is in all of them is
-    verified. A few queries' grams are pushed into the scan of the postings, which are sorted by gram. A query without words, or null, finds nothing.
+    verified by its texts, the row of the empty gram. A few queries' grams are pushed into the scan of the postings, which are sorted by gram. A query without words, or null, finds nothing.
     """
     plain = x.fold(F.trim(F.col(query_col)))
     asked = queries.select(F.col(id_col).alias("_q"), F.col(query_col).alias("_wanted"), plain.alias("_query")).withColumn("_words", F.filter(F.split("_query", r"\s+"), lambda w: w != "")).filter("size(_words) > 0")
@@ -84,8 +90,9 @@ def search_many(posted: DataFrame, queries: DataFrame, *, id_col: str, query_col
     counted = needed.join(often, F.col("_gram") == F.col("gram"), "left").select("_q", "_gram", F.coalesce("_n", F.lit(0)).alias("_n"))
     first = counted.withColumn("_r", F.row_number().over(Window.partitionBy("_q").orderBy("_n", "_gram"))).filter(F.col("_r") <= rarest)
     chosen = first.withColumn("_of", F.count("*").over(Window.partitionBy("_q"))).select("_q", "_gram", "_of")
-    both = read.join(chosen, F.col("gram") == F.col("_gram")).groupBy("_q", "id", "_of").agg(F.count("*").alias("_met"), F.first("name").alias("name"), F.first("hay").alias("hay")).filter("_met = _of")
-    found = both.join(asked.withColumnRenamed("_q", "_own"), F.col("_q") == F.col("_own")).filter(F.forall("_words", lambda w: F.contains(F.col("hay"), w)))
+    both = read.join(chosen, F.col("gram") == F.col("_gram")).groupBy("_q", "id", "_of").agg(F.count("*").alias("_met")).filter("_met = _of").select("_q", "id")
+    texts = posted.filter("gram = ''").select(F.col("id").alias("_id"), "name", "hay")
+    found = both.join(texts, F.col("id") == F.col("_id")).join(asked.withColumnRenamed("_q", "_own"), F.col("_q") == F.col("_own")).filter(F.forall("_words", lambda w: F.contains(F.col("hay"), w)))
     word = F.get("_words", F.lit(0))
     rank = F.when(F.startswith("name", F.col("_query")), 0).when(F.contains(F.concat(F.lit(" "), F.regexp_replace("name", r"\s", " ")), F.concat(F.lit(" "), word)), 1).otherwise(2)
     ranked = found.select("_q", "_wanted", "id", rank.alias("rank"))

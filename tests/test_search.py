@@ -53,6 +53,16 @@ def test_search_many_is_the_scan(spark, tmp_path, pushed):
     assert not [r for r in found if r.q >= 100]
 
 
+def test_postings_hold_each_text_once(spark):
+    entries = spark.range(40).selectExpr("id", "concat('entry ', id, ' of many') AS name", "'field' AS field").coalesce(1)
+    posted = search.postings(entries, id_col="id", name_col="name", field_col="field")
+    rows = posted.filter("hay is not null").collect()
+    assert sorted((r.gram, r.id, r["name"], r.hay) for r in rows) == sorted(("", n, f"entry {n} of many", f"entry {n} of many field") for n in range(40))
+    hay = {r.id: r.hay for r in rows}
+    held = sorted((r.gram, r.id) for r in posted.filter("gram <> ''").collect())
+    assert held == sorted({(text[a : a + n], i) for i, text in hay.items() for n in (1, 2, 3) for a in range(len(text) - n + 1)})
+
+
 def test_postings_of_the_query_alone_are_read(spark, tmp_path):
     entries = spark.createDataFrame([(n, f"entry {n} of many", f"field {n % 7}") for n in range(200)], "id long, name string, field string")
     path = f"{tmp_path}/postings"
