@@ -45,18 +45,32 @@ def stage_rank(stage: Column) -> Column:
     return F.coalesce(F.array_position(F.array(*map(F.lit, k.STAGES)), stage), F.lit(9))
 
 
+def cleaned_criteria(raw: DataFrame, *, pages: int) -> DataFrame:
+    """Raw criteria with texts cleaned, pages rounded, `fate` dropped, no_page or null, and the two keys _a and _b by which they repeat each other."""
+    page = F.floor(F.col("page") + 0.5)
+    rows = raw.select("profile", "pos", r.clean_text(F.col("name"), "", 200).alias("name"), r.clean_text(F.col("quote"), "", 320).alias("quote"), r.one_of(F.col("stage"), k.STAGES, "criteria_evidence").alias("stage"), page.alias("page"), "required")
+    fate = F.when((F.col("name") == "") | (F.col("quote") == ""), "dropped").when(~F.coalesce(F.col("page").between(1, pages), F.lit(False)), "no_page")
+    name = F.concat_ws("|", "stage", x.fold_key(F.col("name")))
+    return rows.withColumns({"fate": fate, "_a": F.concat(name, F.lit("|p:"), F.col("page").cast("string")), "_b": F.concat(name, F.lit("|t:"), F.substring(x.fold_key(F.col("quote")), 1, 160))})
+
+
+def extraction_warnings(raw: DataFrame, *, pages: int) -> DataFrame:
+    """(profile, no_page, duplicates, dropped): how many raw criteria of each profile have such a fate by judged_criteria; counted in one grouping, since no row of a criterion is needed."""
+    rows = cleaned_criteria(raw, pages=pages)
+    kept = rules.first_of_two_keys(dict(rows.dtypes), order="pos", first="_a", second="_b", where=F.col("fate").isNull())
+    n = lambda fate, name: F.count_if(F.col("fate") == fate).alias(name)
+    counted = rows.groupBy("profile").agg(n("no_page", "no_page"), n("dropped", "_bad"), F.count_if(F.col("fate").isNull()).alias("_good"), F.size(kept).alias("_kept"))
+    return counted.select("profile", "no_page", (F.col("_good") - F.col("_kept")).alias("duplicates"), (F.col("_bad") + F.greatest(F.col("_kept") - k.MOST_CRITERIA, F.lit(0))).alias("dropped"))
+
+
 def judged_criteria(raw: DataFrame, *, pages: int) -> DataFrame:
     """Raw criteria with `fate`: kept, duplicate, no_page or dropped; texts cleaned, pages rounded.
 
     A criterion repeats another of its profile and stage with an equal folded name where the page or the start of the quotation is equal too; what came
     first stays. The fold goes over one profile's criteria, whose number a document bounds.
     """
-    page = F.floor(F.col("page") + 0.5)
-    rows = raw.select("profile", "pos", r.clean_text(F.col("name"), "", 200).alias("name"), r.clean_text(F.col("quote"), "", 320).alias("quote"), r.one_of(F.col("stage"), k.STAGES, "criteria_evidence").alias("stage"), page.alias("page"), "required")
-    fate = F.when((F.col("name") == "") | (F.col("quote") == ""), "dropped").when(~F.coalesce(F.col("page").between(1, pages), F.lit(False)), "no_page")
-    rows = rows.withColumn("fate", fate)
-    name = F.concat_ws("|", "stage", x.fold_key(F.col("name")))
-    keyed = rows.filter("fate is null").select("profile", "pos", F.concat(name, F.lit("|p:"), F.col("page").cast("string")).alias("_a"), F.concat(name, F.lit("|t:"), F.substring(x.fold_key(F.col("quote")), 1, 160)).alias("_b"))
+    rows = cleaned_criteria(raw, pages=pages)
+    keyed, rows = rows.filter("fate is null").select("profile", "pos", "_a", "_b"), rows.drop("_a", "_b")
     kept = rules.keep_first_of_two_keys(keyed, group="profile", order="pos", first="_a", second="_b")
     kept = kept.select(F.col("profile").alias("_p"), F.col("pos").alias("_q"), F.row_number().over(Window.partitionBy("profile").orderBy("pos")).alias("_n"))
     joined = rows.join(kept, (F.col("profile") == F.col("_p")) & (F.col("pos") == F.col("_q")), "left")

@@ -72,17 +72,22 @@ def replay_stages(commands: DataFrame, *, key: str = "competition", order: str =
     return replayed.drop(unresolved).withColumn("locked", F.col("after").isin("decisions_frozen", "results_published", "archived"))
 
 
-def keep_first_of_two_keys(rows: DataFrame, *, group: str, order: str, first: str, second: str) -> DataFrame:
-    """Rows kept in order unless one of their two keys is that of a kept row before; a group is one document's rules."""
-    types = dict(rows.dtypes)
-    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(first).alias("a"), F.col(second).alias("b"))))
+def first_of_two_keys(types: dict[str, str], *, order: str, first: str, second: str, where: Column | None = None) -> Column:
+    """Aggregate: the group's rows (o, a, b) kept in order unless one of their two keys is that of a kept row before; types are those of the columns."""
+    row = F.struct(F.col(order).alias("o"), F.col(first).alias("a"), F.col(second).alias("b"))
+    items = F.array_sort(F.collect_list(row if where is None else F.when(where, row)))
     none = F.array().cast(f"array<struct<o:{types[order]},a:{types[first]},b:{types[second]}>>")
 
     def step(kept: Column, item: Column) -> Column:
         seen = F.exists(kept, lambda x: (x["a"] == item["a"]) | (x["b"] == item["b"]))
         return F.when(seen, kept).otherwise(F.concat(kept, F.array(item)))
 
-    kept = rows.groupBy(group).agg(F.aggregate(items, none, step).alias("_kept"))
+    return F.aggregate(items, none, step)
+
+
+def keep_first_of_two_keys(rows: DataFrame, *, group: str, order: str, first: str, second: str) -> DataFrame:
+    """Rows kept in order unless one of their two keys is that of a kept row before; a group is one document's rules."""
+    kept = rows.groupBy(group).agg(first_of_two_keys(dict(rows.dtypes), order=order, first=first, second=second).alias("_kept"))
     return kept.select(group, F.explode("_kept").alias("_k")).select(group, F.col("_k.a").alias(first), F.col("_k.b").alias(second), F.col("_k.o").alias(order))
 
 

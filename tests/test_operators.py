@@ -358,3 +358,17 @@ def test_language_counts_each_word_once(spark):
     found = spark.createDataFrame(rows, "t string").select(x.detect_language(F.col("t")).alias("l"))
     assert [r.l for r in found.collect()] == ["en", "tr", "unknown", "unknown", "unknown"]
     assert "regexp_count" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_extraction_warnings_are_counts_of_judged_criteria(spark):
+    """Drawn criteria, a profile of which more are kept than count, and one with none kept; one grouping, without a join."""
+    draw = np.random.default_rng(13)
+    rows = [(p, n, ["", "Kural A", "kural  a", "Kural B"][draw.integers(4)], ["", "x", "y"][draw.integers(3)], "criteria_evidence", [None, 1.0, 2.0, 99.0][draw.integers(4)], True) for p in range(6) for n in range(25)]
+    rows += [(7, n, f"Kural {n}", f"alinti {n}", "odd", float(n % 9 + 1), False) for n in range(405)] + [(8, 0, None, "x", None, 1.0, None)]
+    raw = spark.createDataFrame(rows, "profile long, pos int, name string, quote string, stage string, page double, required boolean")
+    found = evaluation.extraction_warnings(raw, pages=10)
+    n = lambda fate: F.count_if(F.col("fate") == fate)
+    wanted = evaluation.judged_criteria(raw, pages=10).groupBy("profile").agg(n("no_page"), n("duplicate"), n("dropped")).collect()
+    got = {tuple(r) for r in found.collect()}
+    assert got == {tuple(r) for r in wanted} and (7, 0, 0, 5) in got and (8, 0, 0, 1) in got
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
