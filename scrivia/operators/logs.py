@@ -146,7 +146,8 @@ def guarded_replay(commands: DataFrame, transitions: dict[tuple[str | None, str]
     """commands with `before`, `after` and `accepted`: each is taken if the state before it takes it and its guard `ok` holds; a rejected one changes nothing and stays as a row.
 
     A command is a map from states to states. Each key's log is cut into blocks; a block's map is the composition of its commands', and maps of stretches of blocks are composed in doubling spans,
-    so a key with a third of all commands is dealt out like any other. Null commands and null guards are rejected; commands of equal order come in any order.
+    so a key with a third of all commands is dealt out like any other. Rows stay in their block, so nothing is joined back to the log; a log of one block makes no map. Null commands and null
+    guards are rejected; commands of equal order come in any order; columns are of types that can be ordered.
     """
     states = list(dict.fromkeys([start, *(s for s, _ in transitions), *transitions.values()]))
     names = list(dict.fromkeys(c for _, c in transitions))
@@ -159,24 +160,29 @@ def guarded_replay(commands: DataFrame, transitions: dict[tuple[str | None, str]
 
     named = commands.withColumn("_c", F.when(ok, F.try_element_at(number, F.col(command))))
     placed = numbered(named, key, order).withColumn("_block", F.floor(F.col("_n") / block_rows))
-    items = F.array_sort(F.collect_list(F.struct("_n", "_c")))
-    blocks = placed.groupBy(F.col(key).alias("_key"), "_block").agg(items.alias("_items"))
+    items = F.array_sort(F.collect_list(F.struct("_n", "_c", F.struct(*commands.columns).alias("_row"))))
+    blocks = cut(placed.groupBy(F.col(key).alias("_key"), "_block").agg(items.alias("_items")))
+    last = blocks.agg(F.max("_block")).first()[0] or 0
+    long = blocks.filter("_block > 0").select(F.col("_key").alias("_k")).distinct()  # in a log of one block nothing comes before
     same = F.array(*(F.lit(n) for n in range(len(states))))
-    blocks = cut(blocks.withColumn("_map", F.aggregate("_items", same, lambda m, i: F.transform(m, lambda s: step(i["_c"], s)))))
+    spans = blocks.join(long, F.col("_key").eqNullSafe(F.col("_k")), "left_semi")
+    spans = spans.select("_key", "_block", F.aggregate("_items", same, lambda m, i: F.transform(m, lambda s: step(i["_c"], s))).alias("_map"))
 
     # _map: from the state before the span's first block to the one after this block
-    upto, span, last = blocks.select("_key", "_block", "_map"), 1, blocks.agg(F.max("_block")).first()[0] or 0
+    upto, span = cut(spans) if last else spans, 1
     while span <= last:
         left = upto.select(F.col("_key").alias("_k"), (F.col("_block") + span).alias("_b"), F.col("_map").alias("_first"))
         joined = upto.join(left, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_block") == F.col("_b")), "left")
         composed = F.when(F.col("_first").isNull(), F.col("_map")).otherwise(F.transform("_first", lambda s: F.get("_map", s)))
         upto, span = cut(joined.select("_key", "_block", composed.alias("_map"))), 2 * span
 
-    entered = upto.select(F.col("_key").alias("_k"), (F.col("_block") + 1).alias("_b"), F.get("_map", F.lit(place[start])).alias("_state"))
-    begun = blocks.join(entered, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_block") == F.col("_b")), "left").withColumn("_state", F.coalesce("_state", F.lit(place[start])))
+    begun = blocks.withColumn("_state", F.lit(place[start]))
+    if last:
+        entered = upto.select(F.col("_key").alias("_k"), (F.col("_block") + 1).alias("_b"), F.get("_map", F.lit(place[start])).alias("_entered"))
+        begun = blocks.join(entered, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_block") == F.col("_b")), "left").withColumn("_state", F.coalesce("_entered", F.lit(place[start])))
     path = F.aggregate("_items", F.array("_state"), lambda p, i: F.concat(p, F.array(step(i["_c"], F.element_at(p, -1)))))
-    each = begun.select("_key", path.alias("_path"), F.posexplode("_items").alias("_at", "_item")).select("_key", F.col("_item._n").alias("_place"), F.get("_path", F.col("_at")).alias("_s"), F.get("_path", F.col("_at") + 1).alias("_t"))
+    each = begun.select(path.alias("_path"), F.posexplode("_items").alias("_at", "_item"))
+    out = each.select("_item._row.*", F.col("_item._c").alias("_c"), F.get("_path", F.col("_at")).alias("_s"), F.get("_path", F.col("_at") + 1).alias("_t"))
     name = F.array(*map(F.lit, states)) if start is not None else F.array(*(F.lit(s).cast("string") for s in states))
-    out = placed.join(each, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_n") == F.col("_place")))
     accepted = F.coalesce(F.get(F.get(takes, F.col("_c")), F.col("_s")), F.lit(False))
     return out.select(*commands.columns, F.get(name, F.col("_s")).alias("before"), F.get(name, F.col("_t")).alias("after"), accepted.alias("accepted"))

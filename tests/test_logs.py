@@ -134,3 +134,13 @@ def test_equals_sql_where_the_cache_is_full(name, spark):
     if name == "x4_analysis_cache":
         place = found[0].index("evicted")
         assert sum(n for row, n in found[1].items() if row[place] is not None) > 1000
+
+
+def test_guarded_replay_of_one_block_joins_nothing(spark):
+    """Rows come out of their own block; where no log is longer than a block, nothing is joined, and the rows are those of many blocks."""
+    commands = [c for _, c in WAYS] + [None, "odd"]
+    table = spark.createDataFrame([(n % 3, n, commands[n * 7 % len(commands)], n % 5 > 0) for n in range(60)], "key int, seq int, command string, ok boolean")
+    replay = lambda rows: logs.guarded_replay(table, WAYS, key="key", order=["seq"], command="command", ok=F.col("ok"), start="open", block_rows=rows)
+    whole = replay(256)
+    assert "Join" not in whole._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(repr, whole.collect())) == sorted(map(repr, replay(4).collect()))
