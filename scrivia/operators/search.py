@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scrivia.functions import text as x
+from scrivia.functions.digests import hash_on
+from scrivia.lineage import cut
 from scrivia.sources.tables import spread
 
 
@@ -102,7 +108,48 @@ def search_many(posted: DataFrame, queries: DataFrame, *, id_col: str, query_col
     return top.select(F.col("_q").alias(id_col), F.col("_wanted").alias(query_col), "id", "rank", "place", "total")
 
 
-def blob_files(spark, folder: str, pattern: str = "*") -> DataFrame:
-    """(name, size, sha256) of the files below a folder, through the binary file source; a file is one row, read where it lies."""
+_LOCAL = r"^\w+:/*"
+
+
+def blob_files(spark, folder: str, pattern: str = "*", *, whole: int = 64 << 20, piece: int = 256 << 20) -> DataFrame:
+    """(path, name, size, sha256) of the files below a folder, through the binary file source; a file is one row, read where it lies.
+
+    Files of more than `whole` bytes that tasks can open as paths (file:) are not read as rows: they are hashed by pieces, so no task reads more than `piece` bytes
+    of them and none holds such a file. Of other file systems every file is read whole by one task, up to the source's limit of 2 GB. Empty files are none of the source's rows.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
-    return files.select(F.regexp_replace("path", r"^\w+:/*", "/").alias("path"), F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    large = files.filter(F.col("length") > whole).select("path", F.col("length").alias("size")).filter(F.startswith("path", F.lit("file:")))
+    n = large.count()
+    read = files.filter(F.col("length") <= whole) if n else files
+    hashed = read.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    if n:
+        hashed = hashed.unionByName(_hashed_by_pieces(large, n, piece))
+    return hashed.select(F.regexp_replace("path", _LOCAL, "/").alias("path"), F.element_at(F.split("path", "/"), -1).alias("name"), "size", "sha256")
+
+
+def _hashed_by_pieces(files: DataFrame, n: int, piece: int) -> DataFrame:
+    """(path, size, sha256) of n files. A SHA-256 is one chain over its bytes, so a round hashes the next piece of every file, each in its own task, and hands on the states.
+
+    A task that has two files all the same shares its `piece` bytes between them and leaves the rest to later rounds.
+    """
+    columns = "path string, size long, at long, state binary, sha256 string"
+    left = files.select("path", "size", F.lit(0).cast("long").alias("at"), F.lit(None).cast("binary").alias("state"), F.lit(None).cast("string").alias("sha256"))
+    while True:
+        left = cut(left.repartitionByRange(n, "path").mapInArrow(next_pieces(piece), columns))
+        if left.filter("sha256 is null").isEmpty():
+            return left.select("path", "size", "sha256")
+
+
+def next_pieces(piece: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        share = piece
+        for batch in batches:
+            rows = batch.to_pylist()
+            for row in rows:
+                if row["sha256"] is None and share > 0:
+                    begin = row["at"]
+                    row["at"], row["state"], row["sha256"] = hash_on(re.sub(_LOCAL, "/", row["path"]), row["size"], begin, row["state"], share)
+                    share -= row["at"] - begin
+            yield pa.RecordBatch.from_pylist(rows, schema=batch.schema)
+
+    return run

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from scrivia.functions import digests
 from scrivia.operators import checks, meaning, search, writes
 from tests.conftest import DATA
 
@@ -98,6 +102,50 @@ def test_blob_files_are_the_files(spark):
     assert found == wanted and len(found) >= 14
 
 
+def test_blob_files_above_the_sources_limit(spark, tmp_path):
+    """A file of over 2 GB, mostly a hole on disk, which the binary file source refuses."""
+    with open(tmp_path / "hole", "wb") as file:
+        file.write(b"begin")
+        file.truncate((2 << 30) + 77)
+    with open(tmp_path / "hole", "rb") as file:
+        wanted = hashlib.file_digest(file, "sha256").hexdigest()
+    assert [(r["name"], r["size"], r["sha256"]) for r in search.blob_files(spark, str(tmp_path)).collect()] == [("hole", (2 << 30) + 77, wanted)]
+
+
+def test_blob_files_by_pieces_are_the_files(spark, tmp_path):
+    """Files around the limits, with odd names and in folders; pieces that end within a block of 64 bytes; no task reads more than a piece."""
+    draw = np.random.default_rng(3)
+    wanted = {}
+    for k, size in enumerate((1, 2, 499, 500, 501, 700, 701, 1400, 1401, 5000, 64, 640)):
+        path = tmp_path / f"d{k % 3}" / f"ü %20 #{k}=x y"
+        path.parent.mkdir(exist_ok=True)
+        path.write_bytes(draw.bytes(size))
+        wanted[str(path)] = (path.name, size, hashlib.sha256(path.read_bytes()).hexdigest())
+    for whole, piece in ((500, 700), (0, 1401), (10_000, 7)):
+        rows = search.blob_files(spark, str(tmp_path), whole=whole, piece=piece).collect()
+        assert {r["path"]: (r["name"], r["size"], r["sha256"]) for r in rows} == wanted and len(rows) == len(wanted)
+    schema = pa.schema([("path", pa.string()), ("size", pa.int64()), ("at", pa.int64()), ("state", pa.binary()), ("sha256", pa.string())])
+    batch = pa.RecordBatch.from_pylist([{"path": f"file:{p}", "size": size, "at": 0, "state": None, "sha256": None} for p, (_, size, _) in wanted.items()], schema=schema)
+    rounds = 0
+    while batch.column("sha256").null_count:
+        before, rounds = sum(batch.column("at").to_pylist()), rounds + 1
+        (batch,) = search.next_pieces(777)([batch])
+        assert sum(batch.column("at").to_pylist()) - before <= 777
+    assert batch.column("sha256").to_pylist() == [digest for *_, digest in wanted.values()] and rounds >= sum(size for _, size, _ in wanted.values()) / 777
+
+
+def test_hash_on_without_openssl_and_on_a_shorter_file(tmp_path, monkeypatch):
+    path = tmp_path / "file"
+    path.write_bytes(bytes(range(256)) * 9)
+    wanted = hashlib.sha256(path.read_bytes()).hexdigest()
+    at, state, digest = digests.hash_on(str(path), 2304, 0, None, 1000)
+    assert (at, digest) == (1000, None) and digests.hash_on(str(path), 2304, at, state, 5000) == (2304, None, wanted)
+    with pytest.raises(RuntimeError, match="ends at byte 2304"):
+        digests.hash_on(str(path), 2305, at, state, 5000)
+    monkeypatch.setattr(digests, "openssl", lambda: None)
+    assert digests.hash_on(str(path), 2304, 0, None, 1000) == digests.hash_on(str(path), 2304, at, state, 1000) == (2304, None, wanted)
+
+
 def test_partitions_are_replaced_again_and_after_a_break(spark, tmp_path):
     path = f"{tmp_path}/table"
     rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), ("c", 4)], "k string, v int")
