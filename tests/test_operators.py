@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from scrivia.functions import shingles
 from scrivia.functions import text as x
 from scrivia.functions import vectors as v
 from scrivia.operators import checks, evaluation, rules, similarity
@@ -347,6 +351,91 @@ def test_a_passages_shingles_are_one_item(spark):
     assert sizes == {r.doc_id: r.n for r in texts.select("doc_id", F.greatest(F.size(similarity.precheck_shingles(F.col("text"))), F.lit(0)).alias("n")).collect()}
 
 
+def test_a_large_family_is_not_shuffled_as_pairs(spark):
+    """Noisy copies of one passage, of which no two share a rare shingle: all pairs' best in few rounds, from shuffles that grow with the texts."""
+    draw = np.random.default_rng(17)
+    passage = [f"passage{i}" for i in range(260)]
+    rows = [(n, " ".join(w if draw.random() > 0.2 else f"own{n}x{i}" for i, w in enumerate(passage[: int(draw.integers(120, 260))])), "a") for n in range(700)]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for _, t, _ in rows for w in [t.split()]]
+    number = {s: i for i, s in enumerate(sorted({s for own in sets for s in own}))}
+    held = np.zeros((len(rows), len(number)), np.float32)
+    for n, own in enumerate(sets):
+        held[n, [number[s] for s in own]] = 1
+    both, size = (held @ held.T).astype(float), held.sum(1).astype(float)
+    near = both / (size[:, None] + size[None, :] - both)
+    np.fill_diagonal(near, 0)
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    before = written()
+    found = similarity.best_jaccard(spark.createDataFrame(rows, "doc_id long, text string, lang string"), id_col="doc_id", text_col="text", scope_col="lang").collect()
+    assert {(r.doc_id, r.peer, round(r.similarity, 9)) for r in found} == {(n, int(best), round(near[n, best], 9)) for n, best in enumerate(near.argmax(1))}
+    assert written() - before < 10_000_000
+
+
+@pytest.mark.parametrize("at_once", [10, 4_000_000])
+def test_packed_shingles_come_together(monkeypatch, at_once):
+    """Shared shingles of texts with copies, a passage, a null and short texts, in one pack and in many, against plain sets; some 9 bytes a shingle."""
+    monkeypatch.setattr(shingles, "AT_ONCE", at_once)
+    draw = np.random.default_rng(3)
+    own = lambda n: " ".join(f"word{w}" for w in draw.integers(0, 10**6, n))
+    passage = own(30)
+    texts = [f"{own(2000)} {passage} {own(2000)}" for _ in range(8)]
+    texts += [texts[0], texts[1], f"{texts[2]} {texts[2]}", "", None, "one two three four"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(a, z)), pa.array(texts[a:z]), pa.array([5] * (z - a))], ["id", "text", "salt"]) for a, z in ((0, 5), (5, len(texts)))]
+    packs = pa.Table.from_batches(shingles.packed(6)(iter(batches)))
+    rows = [r for batch in shingles.common(iter(packs.sort_by("bucket").to_batches(max_chunksize=7))) for r in batch.to_pylist()]
+    named = {r["id"]: r for r in rows if r["id"] is not None}
+    sets = [set(shingles.shingle_hashes(t, 5, shingles._WordHashes()).tolist()) for t in texts]
+    assert {i: r["n"] for i, r in named.items()} == {i: len(s) for i, s in enumerate(sets)} and [named[i]["set"] for i in (11, 12, 13)] == [None] * 3
+    assert len({r["set"] for r in named.values()}) == 10 and named[0]["set"] == named[8]["set"] != named[2]["set"]
+    once = {named[i]["set"]: s for i, s in enumerate(sets) if s}
+    holders = {}
+    for name, hashes in once.items():
+        for h in hashes:
+            holders.setdefault(h, set()).add(name)
+    wanted = Counter(frozenset(names) for names in holders.values() if len(names) > 1)
+    items, weight = {}, {}
+    for r in rows:
+        if r["id"] is None:
+            items.setdefault(r["item"], set()).add(r["set"])
+            weight.setdefault(r["item"], []).append((r["w"], r["df"]))
+    for item, names in items.items():
+        assert {d for _, d in weight[item]} == {len(names)}
+    total = Counter()
+    for item, names in items.items():
+        total[frozenset(names)] += sum(w for w, _ in weight[item]) // len(names)
+    assert total == wanted
+    if at_once > 10:
+        assert sum(sum(map(len, packs[c].to_pylist())) for c in ("hashes", "counts", "sets")) < 9 * sum(map(len, sets))
+
+
+@pytest.mark.parametrize("dense", [2, 48, 10**6])
+def test_groups_meet_as_all_pairs(monkeypatch, dense):
+    """Probes' best peers in small and large groups, with frequent and rare items, weights, ties and rows that come in batches."""
+    monkeypatch.setattr(shingles, "DENSE", dense)
+    monkeypatch.setattr(shingles, "PAIRS", 500)
+    draw = np.random.default_rng(11)
+    weight = draw.integers(1, 9, 200)
+    rows, wanted = [], set()
+    for g, size in enumerate([1, 2, 3, 5, 60, 2, 130, 4, 49]):
+        own = []
+        for _ in range(size):
+            items = sorted(set((200 * draw.random(int(draw.integers(1, 25))) ** 2).astype(int).tolist()))
+            own.append((g, int(draw.integers(1, 4)), int(draw.integers(0, 10**9)), int(weight[items].sum() + draw.integers(0, 4)), items, weight[items].tolist()))
+        own.append((g, 2, own[0][2], *own[0][3:])) if own[0][1] == 1 else None  # the same node as a probe and, apart, as a peer
+        rows += own
+        for _, role, node, n, items, _ in own:
+            if role & 1:
+                common = [(sum(weight[i] for i in set(items) & set(b[4])), b) for b in own if b[1] & 2 and b[2] != node]
+                best = min(((-c / (n + b[3] - c), b[2]) for c, b in common if c), default=None)
+                wanted |= {(node, best[1], -best[0])} if best else set()
+    columns = list(zip(*rows))
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+    table = pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["g", "role", "node", "n", "items", "ws"])
+    for step in (1, 7, 100, 1000):
+        found = [r for batch in shingles.meet(iter(table.to_batches(max_chunksize=step))) for r in batch.to_pylist()]
+        assert {(r["node"], r["peer"], r["similarity"]) for r in found} == wanted and len(found) == len(wanted) > 100
+
+
 def test_folds(spark):
     row = spark.createDataFrame([("İNSANSIZ IŞIK Çağrı é",)], "t string").select(x.tr_lower(F.col("t")), x.fold(F.col("t")), x.fold_line(F.col("t")), x.fold_line_exact(F.col("t"))).first()
     assert tuple(row) == ("insansız ışık çağrı é", "insansiz isik cagri é", "insansiz isik cagri e", "insansiz isik cagri e")
