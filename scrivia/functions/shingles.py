@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Shingles that are packed at once; pairs that are counted at once; nodes from which on a group is counted in a table of its own.
-AT_ONCE, PAIRS, DENSE = 4_000_000, 1_000_000, 48
+AT_ONCE, PAIRS, DENSE = 1_000_000, 1_000_000, 48
 _WORD = re.compile("[a-zçğıöşüâîû0-9]{3,}")
 _FACTOR = np.uint64(0x9E3779B97F4A7C1B)
 

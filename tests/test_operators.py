@@ -371,7 +371,7 @@ def test_a_large_family_is_not_shuffled_as_pairs(spark):
     assert written() - before < 10_000_000
 
 
-@pytest.mark.parametrize("at_once", [10, 4_000_000])
+@pytest.mark.parametrize("at_once", [10, 1_000_000])
 def test_packed_shingles_come_together(monkeypatch, at_once):
     """Shared shingles of texts with copies, a passage, a null and short texts, in one pack and in many, against plain sets; some 9 bytes a shingle."""
     monkeypatch.setattr(shingles, "AT_ONCE", at_once)
